@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, line_dedup, simhash
+from . import chat, covertree, decontaminate, language_id, line_dedup, pii, sentencepiece_lattice, simhash, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,41 @@ def bucket(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents")).drop("sanitised")
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    found = chat.read_back(chat.format_paths(chat.linear(turns)))
+    conv = F.when(F.col("conv") > -(2**63), F.col("conv")).alias("conv_id")
+    return found.select(conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_lattice.round_trip(table(spark, sf_dir, "documents"), sentencepiece_lattice.Pieces.load())
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(bucket(5) != 0))
+    return toxicity.score(docs, model).select("doc_id", (bucket(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_covertree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_dedup.digests(docs, line_dedup.keep_bitmaps(docs))
@@ -38,7 +69,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
+    "op3_pii": op3_pii,
+    "op4_chat": op4_chat,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op6_toxicity": op6_toxicity,
+    "op7_covertree": op7_covertree,
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,

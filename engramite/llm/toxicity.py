@@ -17,18 +17,22 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BITS = 20
 #: Odd multipliers that keep word pairs at distance one and two apart from single words.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
+#: Bytes of a word's beginning that count as a word of their own, so inflected forms share evidence.
+STEMS = (5, 7)
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
-    """Slots of the words, the pairs of neighbours and the pairs with one word between them; repeats stay."""
+    """Slots of the words, their beginnings, the pairs of neighbours and the pairs with one word between; repeats stay."""
     words = WORD.findall((text or "").encode("utf-8", "replace").lower())
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    digest = xxhash.xxh3_64_intdigest
+    h = np.fromiter(map(digest, words), np.uint64, len(words))
+    stems = [np.fromiter([digest(w[:k]) + k & 0xFFFFFFFFFFFFFFFF for w in words if len(w) > k], np.uint64) for k in STEMS]
     with np.errstate(over="ignore"):
-        every = np.concatenate([h * MIX[0], (h[:-1] * MIX[1]) ^ (h[1:] * MIX[0]), (h[:-2] * MIX[2]) ^ (h[2:] * MIX[0])])
+        every = np.concatenate([h * MIX[0], *(s * MIX[1] for s in stems), (h[:-1] * MIX[1]) ^ (h[1:] * MIX[0]), (h[:-2] * MIX[2]) ^ (h[2:] * MIX[0])])
     return (every >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def fit(examples, bits: int = BITS, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1, epochs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(examples, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: float = 8.0, l2: float = 0.1, epochs: int = 5) -> tuple[np.ndarray, np.ndarray, float]:
     """FTRL-proximal over (slots, label), per-coordinate rates; returns the slots with a weight, the weights, the bias.
     L1 leaves most coordinates at exactly zero."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
@@ -71,7 +75,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
         at, w, bias = fit([(np.frombuffer(s, np.int32), y) for _, y, s in rows], bits)
         return pa.table({"at": [at.astype(np.int32).tobytes()], "w": [w.tobytes()], "bias": [bias]}, schema=pa.schema([("at", pa.binary()), ("w", pa.binary()), ("bias", pa.float64())]))
 
-    model = sample.mapInArrow(slots, "doc_id long, label int, slots binary").groupBy(F.lit(1)).applyInArrow(learn, "at binary, w binary, bias double").first()
+    model = sample.mapInArrow(slots, "doc_id long, label int, slots binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "at binary, w binary, bias double").first()
     return {"bits": bits, "at": np.frombuffer(model.at, np.int32) if model else np.empty(0, np.int32), "w": np.frombuffer(model.w) if model else np.empty(0), "bias": model.bias if model else 0.0}
 
 

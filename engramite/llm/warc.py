@@ -103,7 +103,7 @@ class _Stream:
 
     def more(self) -> bool:
         if self.z.eof:
-            self.z, self.left = zlib.decompressobj(31), self.z.unused_data + self.left
+            self.z, self.left = zlib.decompressobj(31), self.z.unused_data  # the unconsumed tail may repeat it
         source = self.left or self.raw.read(self.piece)
         if not source:
             return False
