@@ -44,3 +44,12 @@ def text_key():
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def sliced(run, rows: int = 256):
+    """``run`` over batches of at most ``rows`` rows: what Python holds at once doesn't follow the session's batch size."""
+
+    def over(batches):
+        yield from run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+
+    return over

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, text_columns
+from .common import batch, sliced, text_columns
 
 #: A run of letters; digits, underscores and the rest separate words.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -50,7 +50,7 @@ def profiles(labelled: DataFrame, lang_col: str = "lang", per_language: int = 40
                 keys, n = grams(text)
                 yield batch(out, [lang] * len(keys), keys, n)
 
-    counts = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = sample.select("text", "lang").mapInArrow(sliced(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     return counts.withColumn("rank", F.row_number().over(best) - 1).where(F.col("rank") < ranks).select("lang", "gram", "rank")
 
@@ -95,7 +95,7 @@ def identify(docs: DataFrame, profile: DataFrame, id_col: str = "doc_id", text_c
             yield batch(out, b.column(0), [x[0] for x in found], [x[1] for x in found])
 
     kind = dict(docs.dtypes)[id_col]
-    return text_columns(docs, id_col, text_col).mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return text_columns(docs, id_col, text_col).mapInArrow(sliced(run), f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, profile: DataFrame, text_col: str = "text", ranks: int = RANKS) -> DataFrame:
@@ -107,4 +107,4 @@ def keep_identified(docs: DataFrame, profile: DataFrame, text_col: str = "text",
         for b in batches:
             yield b.filter(pa.array([scorer(t)[0] != "und" for t in b.column(at).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(sliced(run), docs.schema)

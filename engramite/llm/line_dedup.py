@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, text_columns, text_key
+from .common import batch, cut, sliced, text_columns, text_key
 
 #: ASCII space and the five controls from tab to carriage return.
 BLANK = " \t\n\v\f\r"
@@ -106,7 +106,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives no rows. Equal (hash, id) always share a range, so a hash of a third of all rows spreads over many tasks; the
     hashes at the ranges' ends, two a range, are settled by a broadcast of that size.
     """
-    rows = text_columns(docs, id_col, text_col).select("doc_id", text_key().alias("tkey"), "text").mapInArrow(_occurrences(min_chars), SORTED)
+    rows = text_columns(docs, id_col, text_col).select("doc_id", text_key().alias("tkey"), "text").mapInArrow(sliced(_occurrences(min_chars)), SORTED)
     ranges = rows.repartitionByRange("h", F.desc("doc_id")).sortWithinPartitions("h", F.desc("doc_id"), "tkey")
     said = cut(ranges.mapInArrow(_verdicts(min_docs), VERDICT))
     open_ = said.where("not sure")
@@ -138,7 +138,7 @@ def digests(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_co
             found = [kept_lines(t, k) for t, k in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield batch(out, b.column(0), [x[1] for x in found], [x[2] for x in found], [hashlib.sha256(x[0].encode("utf-8", "replace")).hexdigest() for x in found])
 
-    return both.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return both.mapInArrow(sliced(run), "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,4 +154,4 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
             columns = [b.column(i) if i != at else pa.array(texts, b.schema.field(at).type) for i in range(b.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(columns, names=[b.schema.field(i).name for i in range(b.num_columns - 1)])
 
-    return both.mapInArrow(run, names)
+    return both.mapInArrow(sliced(run), names)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_columns, text_key
+from .common import sliced, text_columns, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -92,7 +92,7 @@ def disclosing_terms(docs: DataFrame, min_bits: float = 4.0, min_share: float =
     more, and ``share``, the part of the term's documents in which the entity is next to it, is ``min_share`` or more.
     Counts are combined in the tasks before they shuffle.
     """
-    counts = docs.select("text").mapInArrow(_statistics, "term string, entity string, n long").groupBy("term", "entity").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").mapInArrow(sliced(_statistics), "term string, entity string, n long").groupBy("term", "entity").agg(F.sum("n").alias("n"))
     total = counts.where("term is null and entity is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"))
     pairs = counts.where(f"term is not null and entity is not null and n >= {int(min_docs)}").withColumnRenamed("n", "n_pair")
     terms = counts.where("term is not null and entity is null").select("term", F.col("n").alias("n_term"))
@@ -157,7 +157,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadc
                     out += own
                 yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(keys, pa.int64()), pa.array(out, pa.string())], names=["own_id", "own_key", "term"])
 
-        each = rows.mapInArrow(every, f"own_id {dict(rows.dtypes)['doc_id']}, own_key long, term string").distinct().join(terms, "term")
+        each = rows.mapInArrow(sliced(every), f"own_id {dict(rows.dtypes)['doc_id']}, own_key long, term string").distinct().join(terms, "term")
         own = each.groupBy("own_id", "own_key").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("own"))
         joined = rows.join(own, rows.doc_id.eqNullSafe(own.own_id) & (rows.tkey == own.own_key), "left").select("doc_id", "text", "own")
 
@@ -175,4 +175,4 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadc
             columns = list(zip(*out, strict=True)) or [[]] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "sanitised"])
 
-    return joined.mapInArrow(run, FOUND.format(kind=dict(rows.dtypes)["doc_id"]))
+    return joined.mapInArrow(sliced(run), FOUND.format(kind=dict(rows.dtypes)["doc_id"]))

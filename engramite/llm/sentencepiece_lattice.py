@@ -13,6 +13,7 @@ import re
 import struct
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, shared_dir, text_columns, text_key
+from .common import batch, shared_dir, sliced, text_columns, text_key
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -31,6 +32,8 @@ MAX_PIECES = 1_000_000
 MAX_WORDS = 2_000_000
 #: Characters of a word that the fold's 64-bit mask has room for; longer words are folded over an array.
 MASK_CHARS = 60
+#: Words a task remembers the place of.
+MEMO = 100_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -160,21 +163,32 @@ class Pieces:
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    rows = [(p, -score, i) for p, (score, i) in pieces.scored.items()]
-    frame = spark.createDataFrame(rows, "piece string, cost double, id int")
+    """(piece, rank, cost, id); pieces of equal score share a rank."""
+    order = {c: k for k, c in enumerate(sorted({-score for score, _ in pieces.scored.values()}))}
+    rows = [(p, order[-score], -score, i) for p, (score, i) in pieces.scored.items()]
+    frame = spark.createDataFrame(rows, "piece string, rank long, cost double, id int")
     return F.broadcast(frame) if len(rows) <= MAX_PIECES else frame
 
 
+def _edge() -> Column:
+    """One edge as the folds take it: ``key`` orders by rank, end and latest start; ``ends`` and ``inside`` are its
+    boundaries as bits. All of it is computed per row, before the rows are grouped, so the folds stay short."""
+    one, s, l = F.lit(1).cast("long"), F.col("s"), F.col("l")
+    key = _shl(F.col("rank"), F.lit(14)) + _shl((s + l).cast("long"), F.lit(7)) + (127 - s)
+    ends = _shl(one, s).bitwiseOR(_shl(one, s + l))
+    return F.struct(key.alias("key"), ends.alias("ends"), (_shl(one, s + l) - _shl(one, s + 1)).alias("inside"), "id", s.alias("s"), (s + l).alias("e"), "cost")
+
+
 def _merge_fold(edges: Column, n: Column) -> Column:
-    one = F.lit(1).cast("long")
-    inside = lambda m, x: m.bitwiseAND(_shl(_shl(one, x["e"] + x["ms"] - 1) - 1, 1 - x["ms"]))
-    ends = lambda m, x: (F.getbit(m, -x["ms"]) == 1) & (F.getbit(m, x["e"]) == 1)
-    mask = F.aggregate(edges, _shl(one, n + 1) - 1, lambda m, x: F.when(ends(m, x) & (F.bit_count(inside(m, x)) == 1), m.bitwiseXOR(inside(m, x))).otherwise(m))
+    """The codes by merges in order: an edge is taken where both its boundaries stand and one stands between them."""
+    held = lambda m, x: m.bitwiseAND(x["ends"]) == x["ends"]
+    step = lambda m, x: F.when(held(m, x) & (F.bit_count(m.bitwiseAND(x["inside"])) == 1), m.bitwiseAND(F.bitwise_not(x["inside"]))).otherwise(m)
+    mask = F.aggregate(edges, _shl(F.lit(1).cast("long"), n + 1) - 1, step)
 
     def ids(m: Column) -> Column:
-        kept = F.filter(edges, lambda x: ends(m, x) & (inside(m, x) == 0))
+        kept = F.filter(edges, lambda x: m.bitwiseAND(x["ends"] + x["inside"]) == x["ends"])
         found = F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["e"].alias("e"), x["id"].alias("id")))), lambda x: x["id"])
-        return F.when(F.size(kept) == F.bit_count(m) - 1, found)
+        return F.when(F.size(found) == F.bit_count(m) - 1, found)
 
     return F.transform(F.array(mask), ids)[0]
 
@@ -188,13 +202,13 @@ def _viterbi_fold(edges: Column, n: Column) -> Column:
     start = F.transform(F.sequence(F.lit(0), n), lambda i: F.struct(F.when(i == 0, F.lit(0.0)).alias("cost"), none.alias("ids")))
 
     def step(best: Column, x: Column) -> Column:
-        come = F.get(best, -x["ms"])
+        come = F.get(best, x["s"])
         cost = come["cost"] + x["cost"]
         better = cost.isNotNull() & (F.get(best, x["e"])["cost"].isNull() | (cost < F.get(best, x["e"])["cost"]))
         put = F.transform(best, lambda y, i: F.when(i == x["e"], F.struct(cost.alias("cost"), F.concat(come["ids"], F.array(x["id"])).alias("ids"))).otherwise(y))
         return F.when(better, put).otherwise(best)
 
-    ordered = F.array_sort(F.transform(edges, lambda x: F.struct(x["e"].alias("e"), x["ms"].alias("ms"), x["cost"].alias("cost"), x["id"].alias("id"))))
+    ordered = F.array_sort(F.transform(edges, lambda x: F.struct(x["e"].alias("e"), x["s"].alias("s"), x["cost"].alias("cost"), x["id"].alias("id"))))
     return F.transform(F.array(F.aggregate(ordered, start, step)), lambda b: F.when(F.get(b, n)["cost"].isNotNull(), F.get(b, n)["ids"]))[0]
 
 
@@ -207,8 +221,7 @@ def lattice(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
     starts = w.select(*keys, "_w", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select(*keys, "_w", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("l"))
     edges = spans.withColumn("piece", F.substring("_w", F.col("s") + 1, F.col("l"))).join(table, "piece")
-    edge = F.struct("cost", (F.col("s") + F.col("l")).alias("e"), (-F.col("s")).alias("ms"), "id")
-    grouped = edges.groupBy(*keys).agg(F.array_sort(F.collect_list(edge)).alias("edges"), F.max(n).alias("n"))
+    grouped = edges.select(*keys, _edge().alias("edge"), n.alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list("edge")).alias("edges"), F.max("n").alias("n"))
     fold = _merge_fold if pieces.kind == BPE else _viterbi_fold
     return grouped.select(*keys, fold(F.col("edges"), F.col("n")).alias("ids")).where("ids is not null")
 
@@ -233,7 +246,7 @@ def _hash(word: str) -> int:
     return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
 
 
-def _counts(pieces: Pieces, most: int = 300_000):
+def _counts(pieces: Pieces, most: int = 200_000):
     out = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches):
@@ -262,7 +275,7 @@ def _pack(batches):
 def frequent_codes(docs: DataFrame, pieces: Pieces, max_words: int = MAX_WORDS) -> Codes:
     """Codes of the words seen twice or more, the most frequent ``max_words`` at most, through the lattice."""
     spark = docs.sparkSession
-    counted = docs.select("text").mapInArrow(_counts(pieces), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = docs.select("text").mapInArrow(sliced(_counts(pieces)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counted.write.parquet(path := shared_dir(spark, "words"))
     words = spark.read.parquet(path)
     times = sorted((r[0], r[1]) for r in words.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).count().collect())
@@ -288,12 +301,18 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     codes = spark.sparkContext.broadcast(frequent_codes(rows, pieces, max_words))
 
     def look_up(batches):
-        split, found = pieces.words, codes.value
+        split, found, known = pieces.words, codes.value, {}
         for b in batches:
             packed, rare, shas = [], [], []
             for text in b.column(2).to_pylist():
                 words = split(text)
-                at = found.find(np.fromiter(map(_hash, words), np.uint64, len(words)))
+                at = np.fromiter(map(known.get, words, repeat(-2)), np.int64, len(words))
+                if len(new := np.nonzero(at == -2)[0]):
+                    fresh = [words[i] for i in new.tolist()]
+                    at[new] = found.find(np.fromiter(map(_hash, fresh), np.uint64, len(fresh)))
+                    if len(known) > MEMO:
+                        known.clear()
+                    known.update(zip(fresh, at[new].tolist(), strict=True))
                 miss = at < 0
                 n = np.where(miss, 1, found.n[at] if len(found.n) else 1).astype(np.int64)
                 start = np.where(miss, 0, found.start[at] if len(found.n) else 0)
@@ -305,10 +324,12 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 shas.append(hashlib.sha256((text or "").replace(SPACE, " ").encode("utf-8", "replace")).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), pa.array(rare, RARE), pa.array(shas)], names=["doc_id", "tkey", "packed", "rare", "sha"])
 
-    looked = rows.select("doc_id", text_key().alias("tkey"), "text").mapInArrow(look_up, f"doc_id {kind}, tkey long, packed binary, rare array<struct<k int, word string>>, sha string")
+    looked = rows.select("doc_id", text_key().alias("tkey"), "text").mapInArrow(sliced(look_up), f"doc_id {kind}, tkey long, packed binary, rare array<struct<k int, word string>>, sha string")
     own = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast(kind)).alias("kid")
     dealt = looked.select(own, "*").repartition("kid", "tkey")
-    each = dealt.select("kid", "tkey", F.explode("rare").alias("x")).select("kid", "tkey", F.col("x.k").alias("k"), F.col("x.word").alias("word"))
+    # reads every column, so that this branch and the join below share one exchange
+    every = F.when((F.octet_length("packed") >= 0) & (F.char_length("sha") >= 0) & (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("kid"))), F.col("rare"))
+    each = dealt.select("kid", "tkey", F.explode(every).alias("x")).select("kid", "tkey", F.col("x.k").alias("k"), F.col("x.word").alias("word"))
     late = lattice(each, ["kid", "tkey", "k"], pieces).groupBy("kid", "tkey").agg(F.collect_list(F.struct("k", "ids")).alias("late"))
     both = dealt.join(late, ["kid", "tkey"], "left").select("doc_id", "packed", F.col("rare.word").alias("rare"), "sha", "late")
 
@@ -325,7 +346,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                 out.append(np.concatenate([*parts, ids[last:]]).astype(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32())), b.column(3)], names=["doc_id", "ids", "text_sha256"])
 
-    return both.mapInArrow(fill, f"doc_id {kind}, ids array<int>, text_sha256 string")
+    return both.mapInArrow(sliced(fill), f"doc_id {kind}, ids array<int>, text_sha256 string")
 
 
 RARE = pa.list_(pa.struct([("k", pa.int32()), ("word", pa.string())]))
@@ -340,7 +361,7 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
             texts = [None if x is None else pieces.decode(x).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
 
-    return encoded.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in [*encoded.dtypes, ("text", "string")]))
+    return encoded.mapInArrow(sliced(run), ", ".join(f"`{n}` {t}" for n, t in [*encoded.dtypes, ("text", "string")]))
 
 
 def round_trip(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, text_columns
+from .common import batch, cut, sliced, text_columns
 from .components import connected_components
 
 SEED = 42
@@ -40,7 +40,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches:
             yield batch(out, b.column(0), np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64).view(np.int64))
 
-    return text_columns(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return text_columns(docs, id_col, text_col).mapInArrow(sliced(run), "doc_id long, fp long")
 
 
 def _far(a: np.ndarray, v) -> np.ndarray:

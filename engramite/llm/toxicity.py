@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_columns
+from .common import sliced, text_columns
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BITS = 20
@@ -75,7 +75,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
         at, w, bias = fit([(np.frombuffer(s, np.int32), y) for _, y, s in rows], bits)
         return pa.table({"at": [at.astype(np.int32).tobytes()], "w": [w.tobytes()], "bias": [bias]}, schema=pa.schema([("at", pa.binary()), ("w", pa.binary()), ("bias", pa.float64())]))
 
-    model = sample.mapInArrow(slots, "doc_id long, label int, slots binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "at binary, w binary, bias double").first()
+    model = sample.mapInArrow(sliced(slots), "doc_id long, label int, slots binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "at binary, w binary, bias double").first()
     return {"bits": bits, "at": np.frombuffer(model.at, np.int32) if model else np.empty(0, np.int32), "w": np.frombuffer(model.w) if model else np.empty(0), "bias": model.bias if model else 0.0}
 
 
@@ -97,4 +97,4 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.float64()), pa.array([int(s >= 0.5) for s in out], pa.int32())], names=["doc_id", "score", "predicted"])
 
     rows = text_columns(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, score double, predicted int")
+    return rows.mapInArrow(sliced(run), f"doc_id {dict(rows.dtypes)['doc_id']}, score double, predicted int")

@@ -16,7 +16,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, shared_dir, sliced
 
 CHUNK = 1 << 20
 ROTATE = 256 << 20
@@ -92,7 +92,7 @@ def write(found: DataFrame, folder: str, rotate: int = ROTATE) -> DataFrame:
             done.append((path, n))
         yield pa.RecordBatch.from_pydict({"path": [x[0] for x in done], "n_records": [x[1] for x in done]}, schema=pa.schema([("path", pa.string()), ("n_records", pa.int64())]))
 
-    return cut(chunks(found).mapInArrow(run, "path string, n_records long"))
+    return cut(chunks(found).mapInArrow(sliced(run), "path string, n_records long"))
 
 
 class _Stream:
@@ -172,7 +172,7 @@ def read(manifest: DataFrame, size: int = CHUNK, data: bool = False) -> DataFram
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], schema=schema)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, CHUNKS + ", data binary" * data)
+    return manifest.select("path").repartition("path").mapInArrow(sliced(run), CHUNKS + ", data binary" * data)
 
 
 def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
