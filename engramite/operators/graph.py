@@ -145,7 +145,7 @@ def label_match(label, term: str):
 
 def recency(at, as_of):
     """max(0, 1 / (1 + days / 7)); 0 without a time."""
-    days = (F.unix_micros(as_of) - F.unix_micros(at)) / 86_400_000_000.0
+    days = (F.unix_micros(as_of) - F.unix_micros(at.cast("timestamp"))) / 86_400_000_000.0
     return F.coalesce(F.when(days >= 0, 1 / (1 + F.floor(days) / 7)), F.lit(0.0))
 
 

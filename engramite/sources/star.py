@@ -26,7 +26,8 @@ def _id(name):
     return F.concat(F.lit("ent::"), F.upper(name))
 
 
-PART = F.concat(F.lit("PART#"), F.col("p_partkey").cast("string"))
+def _part():
+    return F.concat(F.lit("PART#"), F.col("p_partkey").cast("string"))
 
 
 def order_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,13 +47,13 @@ def catalog(spark: SparkSession, sf_dir: str) -> GraphCatalog:
         nation.select(F.col("n_name").alias("name"), F.lit("NATION").alias("label")),
         customer.select(F.col("c_name").alias("name"), F.lit("CUSTOMER").alias("label")),
         supplier.select(F.col("s_name").alias("name"), F.lit("SUPPLIER").alias("label")),
-        part.select(PART.alias("name"), F.lit("PART").alias("label")),
+        part.select(_part().alias("name"), F.lit("PART").alias("label")),
     ]
     nodes = reduce(DataFrame.union, named).select(_id("name").alias("id"), "name", "label")
     prop = lambda frame, name, key, value: frame.select(_id(name).alias("node_id"), F.lit(key).alias("key"), F.col(value).cast("string").alias("value"))
-    props = [prop(customer, "c_name", "segment", "c_mktsegment"), prop(part.withColumn("n", PART), "n", "brand", "p_brand"), prop(part.withColumn("n", PART), "n", "size", "p_size")]
-    none = F.lit(None).cast("timestamp")
-    link = lambda frame, a, relation, b, w=F.lit(1.0), start=none, end=none: frame.select(_id(a).alias("source"), F.lit(relation).alias("relationship"), _id(b).alias("destination"), w.alias("weight"), start.alias("created_at"), end.alias("updated_at"))
+    props = [prop(customer, "c_name", "segment", "c_mktsegment"), prop(part.withColumn("n", _part()), "n", "brand", "p_brand"), prop(part.withColumn("n", _part()), "n", "size", "p_size")]
+    none, one = F.lit(None).cast("timestamp"), F.lit(1.0)
+    link = lambda frame, a, relation, b, w=one, start=none, end=none: frame.select(_id(a).alias("source"), F.lit(relation).alias("relationship"), _id(b).alias("destination"), w.alias("weight"), start.alias("created_at"), end.alias("updated_at"))
     ordered = order_evidence(spark, sf_dir).join(customer.select("c_custkey", "c_name"), "c_custkey").join(supplier.select("s_suppkey", "s_name"), "s_suppkey")
     lines = t("lineitem").groupBy("l_suppkey", "l_partkey").agg(F.count("*").cast("double").alias("weight"))
     supplied = lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).withColumn("n", F.concat(F.lit("PART#"), F.col("l_partkey").cast("string")))
