@@ -289,8 +289,8 @@ def frequent_codes(docs: DataFrame, pieces: Pieces, max_words: int = MAX_WORDS)
     return Codes(blobs)
 
 
-def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> DataFrame:
-    """``(doc_id, ids array<int>, text_sha256)``, one row per row of ``docs``, whole texts.
+def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS, back: bool = False) -> DataFrame:
+    """``(doc_id, ids array<int>, text_sha256)``, and with ``back`` the decoded ``text`` from the same pass; one row per row of ``docs``, whole texts.
 
     Frequent words are coded once and looked up; every other occurrence goes through the lattice, dealt by document.
     Null and empty texts have no ids. U+2581 in a text is a space to this encoding, so ``text_sha256`` is the digest of
@@ -327,9 +327,9 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     looked = rows.select("doc_id", text_key().alias("tkey"), "text").mapInArrow(sliced(look_up), f"doc_id {kind}, tkey long, packed binary, rare array<struct<k int, word string>>, sha string")
     own = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast(kind)).alias("kid")
     dealt = looked.select(own, "*").repartition("kid", "tkey")
-    # reads every column, so that this branch and the join below share one exchange
+    # reads every column and infers no filter, so that this branch and the join below share one exchange
     every = F.when((F.octet_length("packed") >= 0) & (F.char_length("sha") >= 0) & (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("kid"))), F.col("rare"))
-    each = dealt.select("kid", "tkey", F.explode(every).alias("x")).select("kid", "tkey", F.col("x.k").alias("k"), F.col("x.word").alias("word"))
+    each = dealt.select("kid", "tkey", F.explode_outer(every).alias("x")).select("kid", "tkey", F.col("x.k").alias("k"), F.col("x.word").alias("word")).where("k is not null")
     late = lattice(each, ["kid", "tkey", "k"], pieces).groupBy("kid", "tkey").agg(F.collect_list(F.struct("k", "ids")).alias("late"))
     both = dealt.join(late, ["kid", "tkey"], "left").select("doc_id", "packed", F.col("rare.word").alias("rare"), "sha", "late")
 
@@ -344,9 +344,10 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
                     parts += [ids[last:at], np.array(got.get(k) or pieces.fold(rare[k]), np.uint32)]
                     last = at + 1
                 out.append(np.concatenate([*parts, ids[last:]]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32())), b.column(3)], names=["doc_id", "ids", "text_sha256"])
+            texts = [pa.array([pieces.decode(x.tolist()).decode("utf-8", "replace") for x in out], pa.string())] if back else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32())), b.column(3), *texts], names=["doc_id", "ids", "text_sha256", *["text"] * back])
 
-    return both.mapInArrow(sliced(fill), f"doc_id {kind}, ids array<int>, text_sha256 string")
+    return both.mapInArrow(sliced(fill), f"doc_id {kind}, ids array<int>, text_sha256 string" + ", text string" * back)
 
 
 RARE = pa.list_(pa.struct([("k", pa.int32()), ("word", pa.string())]))
@@ -366,6 +367,6 @@ def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
 
 def round_trip(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, ids_sha256, decoded_sha256, round_trip)``: codes, and whether decoding them gives the text."""
-    back = decode(encode(docs, pieces, id_col, text_col), pieces)
+    back = encode(docs, pieces, id_col, text_col, back=True)
     decoded = F.sha2(F.col("text").cast("binary"), 256)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("round_trip"))
