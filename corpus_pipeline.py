@@ -33,7 +33,7 @@ def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``(doc_id, n_tokens, ids, round_trip)``: each document's piece ids, and whether they decode to its text."""
     pieces = sentencepiece_lattice.Pieces.load()
-    back = sentencepiece_lattice.decode(sentencepiece_lattice.encode(docs, pieces), pieces)
+    back = sentencepiece_lattice.encode(docs, pieces, back=True)
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", (F.sha2(F.col("text").cast("binary"), 256) == F.col("text_sha256")).alias("round_trip"))
 
 
