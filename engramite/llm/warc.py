@@ -172,7 +172,8 @@ def read(manifest: DataFrame, size: int = CHUNK, data: bool = False) -> DataFram
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], schema=schema)
 
-    return manifest.select("path").repartition("path").mapInArrow(sliced(run), CHUNKS + ", data binary" * data)
+    # a task reads what one task wrote: dealing the few short paths anew would let them be merged into one task
+    return manifest.select("path").mapInArrow(sliced(run), CHUNKS + ", data binary" * data)
 
 
 def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
