@@ -51,8 +51,10 @@ def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     while now.where("up is not null").limit(1).count() and rounds < most:
         steps.append(now.select("conv", "node", "up"))
         far = now.select(F.col("conv").alias("c"), F.col("node").alias("p"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
-        join = now.join(far, (now.conv == far.c) & (now.up == far.p), "left")
-        now = cut(join.select("conv", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")))
+        open_ = now.where("up is not null")  # nodes whose root is known have nothing left to join
+        join = open_.join(far, (open_.conv == far.c) & (open_.up == far.p), "left")
+        longer = join.select("conv", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
+        now = cut(longer.union(now.where("up is null").select("conv", "node", "up", "depth", "score")))
         rounds += 1
     rooted = now.where("up is null")
     parents = first.where("up is not null").select(F.col("conv").alias("c"), F.col("up").alias("p")).distinct()
