@@ -32,6 +32,8 @@ MAX_PIECES = 1_000_000
 MAX_WORDS = 2_000_000
 #: Characters of a word that the fold's 64-bit mask has room for; longer words are folded over an array.
 MASK_CHARS = 60
+#: Letters around which words are cut, like ASCII marks, where no piece holds the two neighbours: accented Latin-1 letters.
+CUT_AROUND = range(0xC0, 0x100)
 #: Words a task remembers the place of.
 MEMO = 100_000
 UNIGRAM, BPE = 1, 2
@@ -78,21 +80,23 @@ class Pieces:
         many = [p for p in self.scored if len(p) > 1]
         inside = {c for p in many for c in p}
         before: dict[str, set[str]] = {}
+        after: dict[str, set[str]] = {}
         for p in many:
             for a, b in zip(p, p[1:], strict=False):
                 before.setdefault(b, set()).add(a)
-        ascii_ = [chr(i) for i in range(128) if chr(i) != " "]
-        alone = {c for c in ascii_ if c not in inside}
-        heads = {c for c in ascii_ if not c.isalpha() and c not in alone}
-        while bad := {c for c in heads if before.get(c, set()) - heads - {SPACE}}:
-            heads -= bad
+                after.setdefault(a, set()).add(b)
         if any(SPACE in p.lstrip(SPACE) for p in self.scored):
             raise ValueError("a piece has a space inside: words can't be encoded apart")
+        ascii_ = [chr(i) for i in range(128) if chr(i) != " "]
+        alone = {c for c in ascii_ if c not in inside}
+        marks = ({c for c in ascii_ if not c.isalpha()} | set(map(chr, CUT_AROUND))) & inside
         cls = lambda s: "".join(map(re.escape, sorted(s)))
-        a, h = cls(alone), cls(heads)
-        head = f"[{h}]" if h else "(?!)"
-        body = f"[^ {a}{h}]"
-        self.pattern = (f"[{a}]|" if a else "") + f" +{head}*{body}*|{head}+{body}*|{body}+"
+        a, m = cls(alone), cls(marks)
+        body, mark = f"[^ {a}{m}]", f"[{m}]" if m else "(?!)"
+        # a mark goes on with what some piece holds before it, other characters with a mark that some piece holds before them
+        onto = "|".join(f"(?<=[{cls(b)}]){re.escape(c)}" for c in sorted(marks) if (b := before.get(c, set()) - {SPACE})) or "(?!)"
+        from_ = "|".join(f"(?<={re.escape(c)})(?=[{cls(b)}])" for c in sorted(marks) if (b := after.get(c, set()) - marks)) or "(?!)"
+        self.pattern = (f"[{a}]|" if a else "") + f"(?: +(?:{body}+|{mark})?|{body}+|{mark})(?:(?={mark})(?:{onto})|(?={body})(?:{from_}){body}+)*"
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
@@ -170,13 +174,15 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return F.broadcast(frame) if len(rows) <= MAX_PIECES else frame
 
 
-def _edge() -> Column:
-    """One edge as the folds take it: ``key`` orders by rank, end and latest start; ``ends`` and ``inside`` are its
-    boundaries as bits. All of it is computed per row, before the rows are grouped, so the folds stay short."""
+def _edge(kind: int) -> Column:
+    """One edge as the fold takes it, no field more. For merges ``key`` orders by rank, end and latest start; ``ends`` and
+    ``inside`` are the edge's boundaries as bits, computed per row before the rows are grouped, so the fold stays short."""
     one, s, l = F.lit(1).cast("long"), F.col("s"), F.col("l")
+    if kind != BPE:
+        return F.struct((s + l).alias("e"), s.alias("s"), "cost", "id")
     key = _shl(F.col("rank"), F.lit(14)) + _shl((s + l).cast("long"), F.lit(7)) + (127 - s)
     ends = _shl(one, s).bitwiseOR(_shl(one, s + l))
-    return F.struct(key.alias("key"), ends.alias("ends"), (_shl(one, s + l) - _shl(one, s + 1)).alias("inside"), "id", s.alias("s"), (s + l).alias("e"), "cost")
+    return F.struct(key.alias("key"), ends.alias("ends"), (_shl(one, s + l) - _shl(one, s + 1)).alias("inside"), "id", (s + l).alias("e"))
 
 
 def _merge_fold(edges: Column, n: Column) -> Column:
@@ -208,8 +214,7 @@ def _viterbi_fold(edges: Column, n: Column) -> Column:
         put = F.transform(best, lambda y, i: F.when(i == x["e"], F.struct(cost.alias("cost"), F.concat(come["ids"], F.array(x["id"])).alias("ids"))).otherwise(y))
         return F.when(better, put).otherwise(best)
 
-    ordered = F.array_sort(F.transform(edges, lambda x: F.struct(x["e"].alias("e"), x["s"].alias("s"), x["cost"].alias("cost"), x["id"].alias("id"))))
-    return F.transform(F.array(F.aggregate(ordered, start, step)), lambda b: F.when(F.get(b, n)["cost"].isNotNull(), F.get(b, n)["ids"]))[0]
+    return F.transform(F.array(F.aggregate(edges, start, step)), lambda b: F.when(F.get(b, n)["cost"].isNotNull(), F.get(b, n)["ids"]))[0]
 
 
 def lattice(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
@@ -221,7 +226,7 @@ def lattice(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
     starts = w.select(*keys, "_w", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select(*keys, "_w", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("l"))
     edges = spans.withColumn("piece", F.substring("_w", F.col("s") + 1, F.col("l"))).join(table, "piece")
-    grouped = edges.select(*keys, _edge().alias("edge"), n.alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list("edge")).alias("edges"), F.max("n").alias("n"))
+    grouped = edges.select(*keys, _edge(pieces.kind).alias("edge"), n.alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list("edge")).alias("edges"), F.max("n").alias("n"))
     fold = _merge_fold if pieces.kind == BPE else _viterbi_fold
     return grouped.select(*keys, fold(F.col("edges"), F.col("n")).alias("ids")).where("ids is not null")
 
