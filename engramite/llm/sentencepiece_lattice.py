@@ -331,12 +331,13 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
 
     looked = rows.select("doc_id", text_key().alias("tkey"), "text").mapInArrow(sliced(look_up), f"doc_id {kind}, tkey long, packed binary, rare array<struct<k int, word string>>, sha string")
     own = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast(kind)).alias("kid")
-    dealt = looked.select(own, "*").repartition("kid", "tkey")
-    # reads every column and infers no filter, so that this branch and the join below share one exchange
+    dealt = looked.select(own, "doc_id", F.coalesce("tkey", F.lit(0).cast("long")).alias("tkey"), "packed", "rare", "sha").repartition("kid", "tkey")
+    # reads every column, has keys that can't be null (no filter is inferred) and takes no field of ``rare`` by name
+    # (none is pruned), so that this branch and the join below share one exchange
     every = F.when((F.octet_length("packed") >= 0) & (F.char_length("sha") >= 0) & (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("kid"))), F.col("rare"))
     each = dealt.select("kid", "tkey", F.explode_outer(every).alias("x")).select("kid", "tkey", F.col("x.k").alias("k"), F.col("x.word").alias("word")).where("k is not null")
     late = lattice(each, ["kid", "tkey", "k"], pieces).groupBy("kid", "tkey").agg(F.collect_list(F.struct("k", "ids")).alias("late"))
-    both = dealt.join(late, ["kid", "tkey"], "left").select("doc_id", "packed", F.col("rare.word").alias("rare"), "sha", "late")
+    both = dealt.join(late, ["kid", "tkey"], "left").select("doc_id", "packed", F.transform("rare", lambda x: x["word"]).alias("rare"), "sha", "late")
 
     def fill(batches):
         for b in batches:
