@@ -188,12 +188,12 @@ def _edge(kind: int) -> Column:
 def _merge_fold(edges: Column, n: Column) -> Column:
     """The codes by merges in order: an edge is taken where both its boundaries stand and one stands between them."""
     held = lambda m, x: m.bitwiseAND(x["ends"]) == x["ends"]
-    step = lambda m, x: F.when(held(m, x) & (F.bit_count(m.bitwiseAND(x["inside"])) == 1), m.bitwiseAND(F.bitwise_not(x["inside"]))).otherwise(m)
+    step = lambda m, x: F.when((F.bit_count(m.bitwiseAND(x["inside"])) == 1) & held(m, x), m.bitwiseAND(F.bitwise_not(x["inside"]))).otherwise(m)
     mask = F.aggregate(edges, _shl(F.lit(1).cast("long"), n + 1) - 1, step)
 
     def ids(m: Column) -> Column:
         kept = F.filter(edges, lambda x: m.bitwiseAND(x["ends"] + x["inside"]) == x["ends"])
-        found = F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(x["e"].alias("e"), x["id"].alias("id")))), lambda x: x["id"])
+        found = F.transform(F.sort_array(F.transform(kept, lambda x: F.struct(x["e"].alias("e"), x["id"].alias("id")))), lambda x: x["id"])
         return F.when(F.size(found) == F.bit_count(m) - 1, found)
 
     return F.transform(F.array(mask), ids)[0]
@@ -226,7 +226,7 @@ def lattice(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
     starts = w.select(*keys, "_w", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select(*keys, "_w", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("l"))
     edges = spans.withColumn("piece", F.substring("_w", F.col("s") + 1, F.col("l"))).join(table, "piece")
-    grouped = edges.select(*keys, _edge(pieces.kind).alias("edge"), n.alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list("edge")).alias("edges"), F.max("n").alias("n"))
+    grouped = edges.select(*keys, _edge(pieces.kind).alias("edge"), n.alias("n")).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.max("n").alias("n"))
     fold = _merge_fold if pieces.kind == BPE else _viterbi_fold
     return grouped.select(*keys, fold(F.col("edges"), F.col("n")).alias("ids")).where("ids is not null")
 
