@@ -117,6 +117,9 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return packed.mapInArrow(_bitmaps, "doc_id long, tkey long, keep binary")
 
 
+# Both joins below build a hash of a partition's bitmaps, a few bytes a document, and stream the texts past it unsorted.
+
+
 def kept_lines(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
     """The text that stays, the number of lines before, and how many went."""
     lines = (text or "").split("\n")
@@ -130,7 +133,7 @@ def kept_lines(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
 def digests(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_lines, n_dropped, kept_sha256)`` of every row of ``docs`` under its bitmap."""
     rows = text_columns(docs, id_col, text_col).withColumn("tkey", text_key())
-    both = rows.join(bitmaps, ["doc_id", "tkey"], "left").select("doc_id", "text", "keep")
+    both = rows.join(bitmaps.hint("shuffle_hash"), ["doc_id", "tkey"], "left").select("doc_id", "text", "keep")
 
     def run(batches):
         out = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
@@ -145,7 +148,7 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text
     """``docs`` with the lines gone, all columns kept; a null text stays null."""
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tkey"), row)
-    both = keyed.join(bitmaps, ["doc_id", "tkey"], "left").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns), F.col("keep").alias("_keep_bits"))
+    both = keyed.join(bitmaps.hint("shuffle_hash"), ["doc_id", "tkey"], "left").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns), F.col("keep").alias("_keep_bits"))
     at, names = docs.columns.index(text_col), docs.schema
 
     def run(batches):
