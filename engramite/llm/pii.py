@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, text_columns, text_key
+from .common import shared_dir, sliced, text_columns, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -90,9 +90,11 @@ def disclosing_terms(docs: DataFrame, min_bits: float = 4.0, min_share: float =
     Counted over all documents: in how many each term, each entity and each neighbouring pair occurs. A term discloses
     an entity when they met in ``min_docs`` documents or more, the pair's pointwise information is ``min_bits`` or
     more, and ``share``, the part of the term's documents in which the entity is next to it, is ``min_share`` or more.
-    Counts are combined in the tasks before they shuffle.
+    Counts are combined in the tasks before they shuffle, and written once to the shared folder for their four uses.
     """
-    counts = docs.select("text").mapInArrow(sliced(_statistics), "term string, entity string, n long").groupBy("term", "entity").agg(F.sum("n").alias("n"))
+    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "counts")
+    docs.select("text").mapInArrow(sliced(_statistics), "term string, entity string, n long").groupBy("term", "entity").agg(F.sum("n").alias("n")).write.parquet(path)
+    counts = spark.read.parquet(path)
     total = counts.where("term is null and entity is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"))
     pairs = counts.where(f"term is not null and entity is not null and n >= {int(min_docs)}").withColumnRenamed("n", "n_pair")
     terms = counts.where("term is not null and entity is null").select("term", F.col("n").alias("n_term"))
