@@ -31,3 +31,15 @@ def merge_entities(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     m = lambda end: mapping.select(F.col("source_name").alias(end), F.col("target_name").alias(f"{end}_to"))
     moved = edges.join(m("source"), "source", "left").join(m("destination"), "destination", "left")
     return moved.groupBy(F.coalesce("source_to", "source").alias("source"), "relationship", F.coalesce("destination_to", "destination").alias("destination")).agg(F.sum("weight").alias("weight"))
+
+
+def delete_candidates(memories: DataFrame, query: str, column: str = "text") -> DataFrame:
+    """Memories whose lower-cased text holds any token of ``query`` longer than two characters."""
+    tokens = [t for t in query.lower().split() if len(t) > 2]
+    hit = F.exists(F.array(*map(F.lit, tokens)), lambda t: F.contains(F.lower(F.col(column)), t)) if tokens else F.lit(False)
+    return memories.where(hit)
+
+
+def entity_index(memories: DataFrame, keys: list[str], entities) -> DataFrame:
+    """(keys..., entity): the entities of each memory, each once."""
+    return memories.select(*keys, F.explode(F.array_distinct(entities)).alias("entity"))

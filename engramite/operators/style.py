@@ -64,3 +64,38 @@ def edit_pairs(words_: DataFrame, most: int = 1) -> DataFrame:
     keyed = w.select("word", F.explode(F.array_distinct(F.array_append(cuts, F.col("word")))).alias("v"))
     a, b = keyed.select(F.col("word").alias("a"), "v"), keyed.select(F.col("word").alias("b"), "v")
     return a.join(b, "v").where("a < b").select("a", "b").distinct().where(F.levenshtein("a", "b") <= most)
+
+
+def lexicon_hits(messages: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
+    """(conv_id, turn, category, n): words of each message found in the lexicon, a parameter and so broadcast."""
+    rows = [(c, w) for c, ws in lexicon.items() for w in ws]
+    known = messages.sparkSession.createDataFrame(rows, "category string, word string")
+    return words(messages).join(F.broadcast(known), "word").groupBy("conv_id", "turn", "category").agg(F.count("*").alias("n"))
+
+
+def word_classes(messages: DataFrame, signature: str, rare: str) -> DataFrame:
+    """(conv_id, turn, frequent, signature, rare): occurrences of words said more than once in the message, occurrences
+    of words longer than six letters or matching ``signature``, and distinct words longer than eight or matching ``rare``."""
+    said = words(messages).where("char_length(word) > 1").groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"))
+    size, total = F.char_length("word"), lambda c, n: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).cast("long")
+    marked, odd = (size > 6) | F.col("word").rlike(signature), (size > 8) | F.col("word").rlike(rare)
+    return said.groupBy("conv_id", "turn").agg(total(F.col("n") > 1, F.col("n")).alias("frequent"), total(marked, F.col("n")).alias("signature"), total(odd, F.lit(1)).alias("rare"))
+
+
+def percentages(scores: DataFrame, item: str) -> DataFrame:
+    """``scores(conv_id, turn, item, n)`` as percentages of each message at two places; what rounding leaves of 100 goes to
+    the largest, ties to the first item."""
+    message = Window.partitionBy("conv_id", "turn")
+    pct = scores.withColumn("p", F.round(100.0 * F.col("n") / F.sum("n").over(message), 2))
+    first = F.row_number().over(message.orderBy(F.desc("n"), item)) == 1
+    drift = F.when(first, 100.0 - F.sum("p").over(message)).otherwise(0.0)
+    return pct.select("conv_id", "turn", item, F.round(F.col("p") + drift, 2).alias("pct"))
+
+
+def blueprint(hits: DataFrame, messages: DataFrame) -> DataFrame:
+    """(category, overall, share): hits per hundred messages, at most 100, and the overalls above zero normalised to 100.
+    One row a category, so the window over them is small whatever the input."""
+    total = messages.agg(F.greatest(F.count("*"), F.lit(1)).alias("messages"))
+    summed = hits.groupBy("category").agg(F.sum("n").alias("n")).join(F.broadcast(total))
+    overall = summed.select("category", F.round(F.least(F.lit(100.0), 100.0 * F.col("n") / F.col("messages")), 2).alias("overall")).where("overall > 0")
+    return overall.withColumn("share", F.round(100.0 * F.col("overall") / F.sum("overall").over(Window.partitionBy()), 1))

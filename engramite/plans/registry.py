@@ -428,3 +428,54 @@ def stream_events_window(spark, sf_dir):
 def stream_edges(spark, sf_dir):
     said = _stream(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("source"), F.upper("event_type").alias("relationship"), F.get_json_object("props", "$.k").alias("destination"), F.lit(1.0).alias("weight"))
     return windows.drained(spark, windows.evidence(said))
+
+
+# --- entity index, aliases, lexicons, blueprint
+
+_LEXICON = {"function": ["the", "of", "and", "to", "in"], "hedge": ["maybe", "perhaps", "some"], "filler": ["er", "haha", "well", "so"]}
+_SQL_LEXICON = "(VALUES " + ", ".join(f"('{c}', '{w}')" for c, ws in _LEXICON.items() for w in ws) + ") AS lex(category, word)"
+_SQL_SAID = "said AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM conversations)"
+_SQL_HITS = f"{_SQL_SAID}, hits AS (SELECT conv_id, turn, category, count(*) AS n FROM said JOIN {_SQL_LEXICON} USING (word) GROUP BY 1, 2, 3)"
+_SIGNATURE, _RARE = "[xzq]|(ness|ment|able|ious)$", "[zq]|y.*y|(ae|oe|ph|rh|ps|mn)"
+
+
+@query("SELECT s_name AS entity, CASE WHEN s_suppkey % 3 = 0 THEN 'HOUSE ' || s_nationkey ELSE s_name END AS canonical FROM supplier")
+def alias_resolve(spark, sf_dir):
+    supplier = table(spark, sf_dir, "supplier")
+    aliases = supplier.where("s_suppkey % 3 = 0").select(F.col("s_name").alias("alias"), F.concat(F.lit("HOUSE "), F.col("s_nationkey").cast("string")).alias("canonical"))
+    return lifecycle.resolve_aliases(supplier.select(F.col("s_name").alias("entity")), aliases)
+
+
+@query("WITH e AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(text, '\\b([A-Z][a-zA-Z0-9_\\-]+)\\b', 1))) AS entity FROM conversations WHERE strlen(text) = length(text)) SELECT lower(entity) AS entity, count(DISTINCT (conv_id, turn)) AS memories, min(conv_id) AS first_conv FROM e GROUP BY 1")
+def entity_index_join(spark, sf_dir):
+    index = lifecycle.entity_index(_turns(spark, sf_dir).where("octet_length(text) = char_length(text)"), ["conv_id", "turn"], text.entities(F.col("text")))
+    folded = index.select("conv_id", "turn", F.lower("entity").alias("entity")).distinct()
+    return folded.groupBy("entity").agg(F.count("*").alias("memories"), F.min("conv_id").alias("first_conv"))
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE strlen(text) = length(text) AND (contains(lower(text), 'ing') OR contains(lower(text), 'the'))")
+def delete_by_query_candidates(spark, sf_dir):
+    turns = _turns(spark, sf_dir).where("octet_length(text) = char_length(text)")
+    return lifecycle.delete_candidates(turns, "ing of The").select("conv_id", "turn")
+
+
+@query(f"WITH {_SQL_HITS} SELECT conv_id, turn, category, n FROM hits")
+def lexicon_hits(spark, sf_dir):
+    return style.lexicon_hits(_turns(spark, sf_dir), _LEXICON)
+
+
+@query(f"WITH {_SQL_SAID}, w AS (SELECT conv_id, turn, word, count(*) AS n FROM said WHERE length(word) > 1 GROUP BY 1, 2, 3) SELECT conv_id, turn, CAST(sum(CASE WHEN n > 1 THEN n ELSE 0 END) AS BIGINT) AS frequent, CAST(sum(CASE WHEN length(word) > 6 OR regexp_matches(word, '{_SIGNATURE}') THEN n ELSE 0 END) AS BIGINT) AS signature, CAST(sum(CASE WHEN length(word) > 8 OR regexp_matches(word, '{_RARE}') THEN 1 ELSE 0 END) AS BIGINT) AS rare FROM w GROUP BY 1, 2")
+def user_word_classes(spark, sf_dir):
+    return style.word_classes(_turns(spark, sf_dir), _SIGNATURE, _RARE)
+
+
+@query(f"WITH {_SQL_HITS}, p AS (SELECT *, round(CAST(100 AS DOUBLE) * n / sum(n) OVER (PARTITION BY conv_id, turn), 2) AS p, row_number() OVER (PARTITION BY conv_id, turn ORDER BY n DESC, category) AS k FROM hits) SELECT conv_id, turn, category, round(p + CASE WHEN k = 1 THEN 100 - sum(p) OVER (PARTITION BY conv_id, turn) ELSE 0 END, 2) AS pct FROM p")
+def emotion_distribution(spark, sf_dir):
+    """Percentages of a pluggable scorer; here the scorer is the lexicon."""
+    return style.percentages(style.lexicon_hits(_turns(spark, sf_dir), _LEXICON), "category")
+
+
+@query(f"WITH {_SQL_HITS}, o AS (SELECT category, round(least(CAST(100 AS DOUBLE), CAST(100 AS DOUBLE) * sum(n) / (SELECT greatest(count(*), 1) FROM conversations)), 2) AS overall FROM hits GROUP BY 1) SELECT category, overall, round(CAST(100 AS DOUBLE) * overall / sum(overall) OVER (), 1) AS share FROM o WHERE overall > 0")
+def blueprint_normalized(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    return style.blueprint(style.lexicon_hits(turns, _LEXICON), turns)
