@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramite.llm import decontaminate, language_id, line_dedup, sentencepiece_lattice, simhash
+from engramite.llm import decontaminate, language_id, line_dedup, near_copies, sentencepiece_lattice
 from engramite.llm.common import shared_dir
 
 
@@ -21,8 +21,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more) the document with the least id stays."""
+    return near_copies.keep_one(docs)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

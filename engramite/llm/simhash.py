@@ -180,11 +180,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     return each.join(of, F.col("fp") == F.col("_fp"), "left").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, near: int = 2) -> DataFrame:
-    """``docs`` with one document of each group, the one with the least id; rows with a null id stay; of rows that repeat
-    one id, one stays."""
-    found = groups(docs, id_col, text_col, words, near)
+def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each group in ``found(doc_id, component_id)``, the one with the least id; rows with a
+    null id stay; of rows that repeat one id, one stays."""
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
     own = docs.where(F.col(f"`{id_col}`").isNotNull())
     kept = own.join(stay, F.col(f"`{id_col}`") == F.col("_stay"), "left_semi").dropDuplicates([id_col])
     return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, near: int = 2) -> DataFrame:
+    """``docs`` with one document of each group, the one with the least id; rows with a null id stay; of rows that repeat
+    one id, one stays."""
+    return keep_least(docs, groups(docs, id_col, text_col, words, near), id_col)
