@@ -58,13 +58,19 @@ KIND_WEIGHTS = {"factual": (0.3, 0.5, 0.2), "conceptual": (0.6, 0.2, 0.2), "shor
 def adaptive_fusion(query: Column, doc: Column, dense: Column, sparse: Column, token: Column) -> Column:
     """Query-adaptive blend of three pair scores, negative ones taken as 0 (a power of them has no real value)."""
     bind = lambda value, body: F.transform(F.array(value), body)[0]
-    split = lambda c: F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != "")
-    contains_any = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(query), w))
-    n = F.size(split(query))
-    overlap = F.size(F.array_intersect(split(query), split(doc))) / F.greatest(n, F.lit(1))
-    exact = F.size(F.filter(split(query), lambda w: F.contains(F.lower(doc), w)))
-    kind = F.when(contains_any(FACTUAL) & (overlap > 0.3), "factual").when(contains_any(CONCEPTUAL), "conceptual").when(n <= 3, "short").when(n > 8, "long").otherwise("balanced")
-    parts = F.struct(kind.alias("kind"), overlap.alias("overlap"), exact.alias("exact"), F.size(split(doc)).alias("length"), *(F.greatest(F.lit(0.0), c).alias(k) for c, k in ((dense, "d"), (sparse, "s"), (token, "t"))))
+    split = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+
+    def parts(x: Column) -> Column:
+        contains_any = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(x["query"], w))
+        n = F.size(x["q"])
+        overlap = F.size(F.array_intersect(x["q"], x["d"])) / F.greatest(n, F.lit(1))
+        exact = F.size(F.filter(x["q"], lambda w: F.contains(x["doc"], w)))
+        kind = F.when(contains_any(FACTUAL) & (overlap > 0.3), "factual").when(contains_any(CONCEPTUAL), "conceptual").when(n <= 3, "short").when(n > 8, "long").otherwise("balanced")
+        return F.struct(kind.alias("kind"), overlap.alias("overlap"), exact.alias("exact"), F.size(x["d"]).alias("length"), *(F.greatest(F.lit(0.0), c).alias(k) for c, k in ((dense, "d"), (sparse, "s"), (token, "t"))))
+
+    # lower-cased and split once a pair; a plain column would be evaluated again for each word
+    read = F.struct(F.lower(query).alias("query"), F.lower(doc).alias("doc"))
+    words = lambda x: F.struct(x["query"].alias("query"), x["doc"].alias("doc"), split(x["query"]).alias("q"), split(x["doc"]).alias("d"))
 
     def weights(x: Column) -> Column:
         base = [F.element_at(F.create_map(*(F.lit(v) for k, w in KIND_WEIGHTS.items() for v in (k, w[i]))), x["kind"]) for i in range(3)]
@@ -87,4 +93,4 @@ def adaptive_fusion(query: Column, doc: Column, dense: Column, sparse: Column, t
         once = F.when(F.greatest(x["d"], x["s"], x["t"]) > 0.85, F.least(F.lit(1.0), score * 1.1)).otherwise(score)
         return F.when((x["length"] > 10) & (once > 0.6), F.least(F.lit(1.0), once * 1.05)).otherwise(once)
 
-    return bind(parts, lambda x: bind(bind(weights(x), lambda w: fused(x, w)), lambda score: boosted(x, score)))
+    return bind(bind(bind(read, words), parts), lambda x: bind(bind(weights(x), lambda w: fused(x, w)), lambda score: boosted(x, score)))

@@ -275,9 +275,11 @@ def fusion_graph(spark, sf_dir):
 
 @query()
 def fusion_adaptive(spark, sf_dir):
-    docs, asked = table(spark, sf_dir, "documents").where("doc_id % 50 = 0"), table(spark, sf_dir, "benchmark")
-    met = asked.where("item_id % 50 = 0").select("item_id", F.col("text").alias("query"))
-    pairs = docs.join(met, F.pmod(F.xxhash64("doc_id"), F.lit(4)) == F.pmod(F.xxhash64("item_id"), F.lit(4)))
+    """All documents with all benchmark items that share a token with them."""
+    docs, asked = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"))
+    tokens = lambda frame, key, c: frame.select(key, F.explode(F.array_distinct(F.split(F.lower(c), r"\s+"))).alias("token")).where("token <> ''")
+    met = tokens(docs, "doc_id", "text").join(tokens(asked, "item_id", "query"), "token").select("doc_id", "item_id").distinct()
+    pairs = met.join(docs, "doc_id").join(asked, "item_id")
     part = lambda k: F.pmod(F.xxhash64("doc_id", "item_id", F.lit(k)), F.lit(1000)) / 1000.0
     return pairs.select("doc_id", "item_id", F.round(scoring.adaptive_fusion(F.col("query"), F.col("text"), part(1), part(2), part(3)), 6).alias("score"))
 
