@@ -99,7 +99,7 @@ def distances(edges: DataFrame, start: str, max_rounds: int = 50, weighted: bool
         if front.isEmpty():
             return best
         best = settled(best.join(front.select("id"), "id", "left_anti").unionByName(front))
-    return best
+    raise RuntimeError("distances did not settle")
 
 
 def path_edges(paths: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,8 +1,10 @@
 """Queries without SQL against brute force on small tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from engramite.functions import scoring
+from engramite.operators import graph
 from engramite.plans import registry
 
 
@@ -19,3 +21,11 @@ def test_fusion_adaptive_pairs_all_that_share_a_token(spark, tmp_path):
     got = [tuple(r) for r in registry.fusion_adaptive(spark, str(tmp_path)).collect()]
     assert len(want) == len(got) == 5
     assert set(got) == want
+
+
+def test_distances_unsettled_raise(spark):
+    chain = [(f"n{i}", "R", f"n{i + 1}", 1.0) for i in range(5)]
+    edges = spark.createDataFrame(chain, "source string, relationship string, destination string, weight double")
+    assert graph.distances(edges, "n0", max_rounds=6).count() == 6
+    with pytest.raises(RuntimeError):
+        graph.distances(edges, "n0", max_rounds=3)
