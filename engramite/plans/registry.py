@@ -340,7 +340,8 @@ def edit_distance_pairs(spark, sf_dir):
 
 @query()
 def elongation_groups(spark, sf_dir):
-    return style.elongation_groups(_words(spark, sf_dir)).where("variants > 1")
+    every = style.words(_turns(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("n"))
+    return style.elongation_groups(every).where("variants > 1")
 
 
 # --- history

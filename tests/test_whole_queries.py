@@ -23,6 +23,13 @@ def test_fusion_adaptive_pairs_all_that_share_a_token(spark, tmp_path):
     assert set(got) == want
 
 
+def test_elongation_groups_of_long_words(spark, tmp_path):
+    turns = [(1, 1, "so sooooooooooooo good"), (1, 2, "sooooooooooooooo hm")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = [(r.canonical, r.variants, r.total) for r in registry.elongation_groups(spark, str(tmp_path)).collect()]
+    assert got == [("so", 3, 3)]
+
+
 def test_distances_unsettled_raise(spark):
     chain = [(f"n{i}", "R", f"n{i + 1}", 1.0) for i in range(5)]
     edges = spark.createDataFrame(chain, "source string, relationship string, destination string, weight double")
