@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scoring
 
-#: Queries of one search, broadcast. More are searched in blocks of this size by the caller.
+#: Queries of one search, broadcast. More are searched in blocks of about half this size.
 MAX_QUERIES = 10_000
 
 
@@ -17,8 +20,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
     A block of queries is broadcast against all rows; each task keeps its k best a query before anything shuffles.
     Metadata filters go on ``vectors`` first. ``l2`` scores are squared distances, least first; ties go to the lesser id.
     """
-    if queries.count() > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in one block")
+    n = queries.count()
+    if n > MAX_QUERIES:
+        blocks = math.ceil(2 * n / MAX_QUERIES)
+        block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+        return reduce(DataFrame.unionByName, (_top_k(vectors, queries.where(block == i), k, metric, exclude_self) for i in range(blocks)))
+    return _top_k(vectors, queries, k, metric, exclude_self)
+
+
+def _top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
     score = {"cosine": scoring.cosine, "ip": scoring.dot, "l2": scoring.squared_l2}[metric](F.col("embedding"), F.col("query"))
     met = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("qid") if exclude_self else F.lit(True))
     scored = met.select("qid", "vec_id", score.alias("score"))

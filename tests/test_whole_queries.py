@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engramite.functions import scoring
-from engramite.operators import graph
+from engramite.operators import graph, vector
 from engramite.plans import registry
 
 
@@ -36,3 +36,13 @@ def test_distances_unsettled_raise(spark):
     assert graph.distances(edges, "n0", max_rounds=6).count() == 6
     with pytest.raises(RuntimeError):
         graph.distances(edges, "n0", max_rounds=3)
+
+
+def test_top_k_searches_more_queries_in_blocks(spark, monkeypatch):
+    rows = [(i, [float(i % 5) + 1, float(i % 3), float(i)]) for i in range(20)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    queries = vectors.selectExpr("vec_id as qid", "embedding as query")
+    want = sorted(map(tuple, vector.top_k(vectors, queries, 3).collect()))
+    monkeypatch.setattr(vector, "MAX_QUERIES", 6)
+    assert len(want) == 60
+    assert sorted(map(tuple, vector.top_k(vectors, queries, 3).collect())) == want
