@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,3 +67,20 @@ def sliced(run, rows: int = 256):
         yield from run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
 
     return over
+
+
+def by_bytes(run, column: int, most: int = 2 << 20):
+    """``run`` over slices of batches that hold at most ``most`` bytes in ``column``, or one row."""
+
+    def parts(b: pa.RecordBatch):
+        ends, start = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+        while start < b.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+    def over(batches):
+        yield from run(part for b in batches for part in parts(b))
+
+    return over

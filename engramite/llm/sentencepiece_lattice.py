@@ -9,20 +9,19 @@ of all words), so there the fold takes the edges in merge order and keeps a bit
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
-from collections import Counter
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, shared_dir, sliced, text_columns, text_key
+from .common import batch, by_bytes, shared_dir, sliced, text_columns, text_key
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -30,12 +29,13 @@ SPACE = "▁"
 MAX_PIECES = 1_000_000
 #: Words of the corpus whose codes are broadcast, the most frequent first, about 20 bytes each; the others are joined.
 MAX_WORDS = 2_000_000
-#: Characters of a word that the fold's 64-bit mask has room for; longer words are folded over an array.
-MASK_CHARS = 60
+#: Characters of a word that the fold's 64-bit mask has room for; longer words are folded over an array, and those of over
+#: LONG_CHARS in Python, as the row of a word's edges grows with it.
+MASK_CHARS, LONG_CHARS = 60, 400
+#: Words in a task of the lattice, about 30 edges each.
+WORDS_A_TASK = 40_000
 #: Letters around which words are cut, like ASCII marks, where no piece holds the two neighbours: accented Latin-1 letters.
 CUT_AROUND = range(0xC0, 0x100)
-#: Words a task remembers the place of.
-MEMO = 100_000
 UNIGRAM, BPE = 1, 2
 
 
@@ -77,26 +77,26 @@ class Pieces:
 
     def __post_init__(self):
         self.longest = max(map(len, self.scored), default=1)
-        many = [p for p in self.scored if len(p) > 1]
-        inside = {c for p in many for c in p}
-        before: dict[str, set[str]] = {}
-        after: dict[str, set[str]] = {}
-        for p in many:
-            for a, b in zip(p, p[1:], strict=False):
-                before.setdefault(b, set()).add(a)
-                after.setdefault(a, set()).add(b)
         if any(SPACE in p.lstrip(SPACE) for p in self.scored):
             raise ValueError("a piece has a space inside: words can't be encoded apart")
-        ascii_ = [chr(i) for i in range(128) if chr(i) != " "]
-        alone = {c for c in ascii_ if c not in inside}
+        many = [p for p in self.scored if len(p) > 1]
+        pairs = {(a, b) for p in many for a, b in zip(p, p[1:], strict=False) if a != SPACE}
+        ascii_, inside = {chr(i) for i in range(128)} - {" "}, {c for p in many for c in p}
+        alone = ascii_ - inside
         marks = ({c for c in ascii_ if not c.isalpha()} | set(map(chr, CUT_AROUND))) & inside
-        cls = lambda s: "".join(map(re.escape, sorted(s)))
-        a, m = cls(alone), cls(marks)
-        body, mark = f"[^ {a}{m}]", f"[{m}]" if m else "(?!)"
-        # a mark goes on with what some piece holds before it, other characters with a mark that some piece holds before them
-        onto = "|".join(f"(?<=[{cls(b)}]){re.escape(c)}" for c in sorted(marks) if (b := before.get(c, set()) - {SPACE})) or "(?!)"
-        from_ = "|".join(f"(?<={re.escape(c)})(?=[{cls(b)}])" for c in sorted(marks) if (b := after.get(c, set()) - marks)) or "(?!)"
-        self.pattern = (f"[{a}]|" if a else "") + f"(?: +(?:{body}+|{mark})?|{body}+|{mark})(?:(?={mark})(?:{onto})|(?={body})(?:{from_}){body}+)*"
+        # characters that behave alike share a class; class 0 is that of all others
+        apart = sorted(alone | marks | {x for p in pairs if marks & {*p} for x in p} | {" "})
+        self.kinds = np.zeros(0x110000, np.uint16)
+        self.kinds[list(map(ord, apart))] = np.arange(1, len(apart) + 1)
+        self.held = np.zeros(0x110000, bool)
+        self.held[[ord(p) for p in self.scored if len(p) == 1 and p != SPACE] + [32]] = True
+
+        def cut(a: str, b: str) -> bool:
+            if " " in (a, b):
+                return b in alone or b == " " != a
+            return bool(alone & {a, b}) or (bool(marks & {a, b}) and (a, b) not in pairs)
+
+        self.cut = np.array([[cut(a, b) for b in ("", *apart)] for a in ("", *apart)])
 
     @classmethod
     def load(cls, path: str = MODEL) -> Pieces:
@@ -119,14 +119,32 @@ class Pieces:
                 prefix = bool(dict(_fields(value)).get(3, 1))
         return cls(scored, texts, byte_ids, unk, kind, prefix)
 
-    def words(self, text: str | None) -> list[str]:
-        """The text in words that no piece spans, spaces first."""
-        text = (text or "").replace(SPACE, " ")
-        return self.split((" " + text) if text and self.dummy_prefix else text)
-
-    @property
-    def split(self):
-        return re.compile(self.pattern).findall
+    def words(self, texts: pa.Array) -> tuple[pa.StringArray, np.ndarray]:
+        """Many texts in words that no piece spans, spaces first, and the place of each text's first word (with a last
+        place). Two neighbours are cut apart by what they are: before a run of spaces, and at marks that no piece holds next
+        to the neighbour."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), SPACE, " ").to_pylist()
+        if self.dummy_prefix:
+            texts = [" " + t if t else t for t in texts]
+        rows, whole = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))]), "".join(texts)
+        chars, data = np.frombuffer(whole.encode("utf-32-le"), np.uint32), whole.encode()
+        starts = np.zeros(len(chars) + 1, bool)
+        starts[rows] = True
+        for i in range(0, len(chars) - 1, 1 << 20):
+            kinds = self.kinds[chars[i : i + (1 << 20) + 1]]
+            starts[i + 1 : i + len(kinds)] |= self.cut[kinds[:-1], kinds[1:]]
+        at = np.nonzero(starts)[0]
+        offsets = at
+        if len(data) > len(chars):
+            width = (chars > 0x7F).astype(np.uint8) + (chars > 0x7FF) + (chars > 0xFFFF) + 1
+            offsets = np.concatenate([[0], np.cumsum(width, dtype=np.int32)])[at]
+        return pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)), np.searchsorted(at, rows)
+
+    def odd(self, words: pa.StringArray) -> np.ndarray:
+        """Of each word, whether it has a character that no piece holds. No word is empty."""
+        chars = np.frombuffer("".join(words.to_pylist()).encode("utf-32-le"), np.uint32)
+        n = pc.utf8_length(words).to_numpy()
+        return ~np.logical_and.reduceat(self.held[chars], np.cumsum(n) - n) if len(n) else np.zeros(0, bool)
 
     def char(self, c: str) -> list[int]:
         """A character no piece holds: its bytes, or the unknown piece."""
@@ -161,46 +179,78 @@ class Pieces:
             cuts.reverse()
         return [i for s, e in zip(cuts, cuts[1:], strict=False) for i in ([at[s, e]] if (s, e) in at else self.char(w[s:e]))]
 
-    def decode(self, ids) -> bytes:
-        out = b"".join(map(self.texts.__getitem__, ids))
-        return out[1:] if self.dummy_prefix and out[:1] == b" " else out
+    def decode(self, rows: list[np.ndarray]) -> list[str]:
+        """The texts of many rows of ids; bytes that are no UTF-8 become U+FFFD."""
+        found = pa.array(self.texts, pa.binary()).take(pa.array(np.concatenate([np.zeros(0, np.int32), *rows])))
+        places = np.frombuffer(found.buffers()[1], np.int32)[np.cumsum([0, *map(len, rows)])].tolist() if len(found) else [0] * (len(rows) + 1)
+        data = memoryview(found.buffers()[2] or b"")
+        skip = [self.dummy_prefix and a < b and data[a] == 32 for a, b in pairwise(places)]
+        return [str(data[a + x : b], "utf-8", "replace") for (a, b), x in zip(pairwise(places), skip, strict=True)]
 
 
-def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(piece, rank, cost, id); pieces of equal score share a rank."""
+def piece_table(spark: SparkSession, pieces: Pieces, more: list[str] = ()) -> DataFrame:
+    """(piece, rank, cost, id); pieces of equal score share a rank. ``more``: characters that no piece holds, which stand
+    alone at any cost and have the id -1 - code point."""
     order = {c: k for k, c in enumerate(sorted({-score for score, _ in pieces.scored.values()}))}
-    rows = [(p, order[-score], -score, i) for p, (score, i) in pieces.scored.items()]
+    low = max(order, default=0.0) + 10.0
+    rows = [(p, order[-score], -score, i) for p, (score, i) in pieces.scored.items()] + [(c, len(order), low, -1 - ord(c)) for c in more]
     frame = spark.createDataFrame(rows, "piece string, rank long, cost double, id int")
     return F.broadcast(frame) if len(rows) <= MAX_PIECES else frame
 
 
-def _edge(kind: int) -> Column:
-    """One edge as the fold takes it, no field more. For merges ``key`` orders by rank, end and latest start; ``ends`` and
-    ``inside`` are the edge's boundaries as bits, computed per row before the rows are grouped, so the fold stays short."""
+def _shl(value: Column, by: Column) -> Column:
+    return F.call_function("shiftleft", value, by.cast("int"))
+
+
+def _edge(kind: int, masked: bool) -> Column:
+    """One edge as its fold takes it, computed per row before the rows are grouped, so that the fold stays short. For merges
+    ``key`` orders by rank, end and latest start; ``ends`` and ``span`` are an edge's two boundaries, and all from the one
+    to the other, as bits; ``at`` is its end and id in one number."""
     one, s, l = F.lit(1).cast("long"), F.col("s"), F.col("l")
+    at = (_shl((s + l).cast("long"), F.lit(32)) + F.col("id").cast("long") + (1 << 31)).alias("at")
     if kind != BPE:
         return F.struct((s + l).alias("e"), s.alias("s"), "cost", "id")
+    if not masked:
+        return F.struct("rank", (s + l).alias("e"), (-s).alias("back"), s.alias("s"), at)
     key = _shl(F.col("rank"), F.lit(14)) + _shl((s + l).cast("long"), F.lit(7)) + (127 - s)
     ends = _shl(one, s).bitwiseOR(_shl(one, s + l))
-    return F.struct(key.alias("key"), ends.alias("ends"), (_shl(one, s + l) - _shl(one, s + 1)).alias("inside"), "id", (s + l).alias("e"))
+    return F.struct(key.alias("key"), ends.alias("ends"), (_shl(one, s + l + 1) - _shl(one, s)).alias("span"), at)
+
+
+def _in_order(kept: Column) -> Column:
+    """The ids of edges by their ends."""
+    return F.transform(F.sort_array(F.transform(kept, lambda x: x["at"])), lambda a: (a.bitwiseAND(0xFFFFFFFF) - (1 << 31)).cast("int"))
 
 
 def _merge_fold(edges: Column, n: Column) -> Column:
-    """The codes by merges in order: an edge is taken where both its boundaries stand and one stands between them."""
-    held = lambda m, x: m.bitwiseAND(x["ends"]) == x["ends"]
-    step = lambda m, x: F.when((F.bit_count(m.bitwiseAND(x["inside"])) == 1) & held(m, x), m.bitwiseAND(F.bitwise_not(x["inside"]))).otherwise(m)
+    """The codes by merges in order: an edge is taken where both its boundaries stand and one stands between them.
+
+    That is one bit of ``mask & span ^ ends``. One bit is also what a missing end gives with nothing between; taking the
+    boundaries between away changes nothing then."""
+    step = lambda m, x: F.when(F.bit_count(m.bitwiseAND(x["span"]).bitwiseXOR(x["ends"])) == 1, m.bitwiseAND(F.bitwise_not(x["span"].bitwiseXOR(x["ends"])))).otherwise(m)
     mask = F.aggregate(edges, _shl(F.lit(1).cast("long"), n + 1) - 1, step)
 
     def ids(m: Column) -> Column:
-        kept = F.filter(edges, lambda x: m.bitwiseAND(x["ends"] + x["inside"]) == x["ends"])
-        found = F.transform(F.sort_array(F.transform(kept, lambda x: F.struct(x["e"].alias("e"), x["id"].alias("id")))), lambda x: x["id"])
-        return F.when(F.size(found) == F.bit_count(m) - 1, found)
+        found = _in_order(F.filter(edges, lambda x: m.bitwiseAND(x["span"]) == x["ends"]))
+        return F.transform(F.array(found), lambda f: F.when(F.size(f) == F.bit_count(m) - 1, f))[0]
 
     return F.transform(F.array(mask), ids)[0]
 
 
-def _shl(value: Column, by: Column) -> Column:
-    return F.call_function("shiftleft", value, by.cast("int"))
+def _long_merge_fold(edges: Column, n: Column) -> Column:
+    """As :func:`_merge_fold` for words beyond the mask: the standing boundaries are an array."""
+
+    def step(stand: Column, x: Column) -> Column:
+        here = F.array_contains(stand, x["s"]) & F.array_contains(stand, x["e"])
+        one = F.size(F.filter(stand, lambda b: (b > x["s"]) & (b < x["e"]))) == 1
+        return F.when(here & one, F.filter(stand, lambda b: (b <= x["s"]) | (b >= x["e"]))).otherwise(stand)
+
+    def ids(stand: Column) -> Column:
+        cuts = F.transform(stand, lambda b, i: F.struct(b.alias("s"), F.get(stand, i + 1).alias("e")))
+        kept = F.filter(edges, lambda x: F.array_contains(cuts, F.struct(x["s"].alias("s"), x["e"].alias("e"))))
+        return F.transform(F.array(_in_order(kept)), lambda f: F.when(F.size(f) == F.size(stand) - 1, f))[0]
+
+    return F.transform(F.array(F.aggregate(edges, F.sequence(F.lit(0), n), step)), ids)[0]
 
 
 def _viterbi_fold(edges: Column, n: Column) -> Column:
@@ -217,18 +267,21 @@ def _viterbi_fold(edges: Column, n: Column) -> Column:
     return F.transform(F.array(F.aggregate(edges, start, step)), lambda b: F.when(F.get(b, n)["cost"].isNotNull(), F.get(b, n)["ids"]))[0]
 
 
-def lattice(words: DataFrame, keys: list[str], pieces: Pieces) -> DataFrame:
-    """``(keys..., ids)`` of ``words(keys..., word)``: explode, join, group, fold. Words of up to MASK_CHARS characters;
-    one with a character that no piece holds has no row. With ``words`` dealt by (some of) ``keys`` nothing is dealt anew."""
-    table = piece_table(words.sparkSession, pieces)
-    w = words.where(F.char_length("word").between(1, MASK_CHARS)).withColumn("_w", F.translate("word", " ", SPACE)).drop(*({"word"} - set(keys)))
+def lattice(words: DataFrame, pieces: Pieces, masked: bool = True, more: list[str] = ()) -> DataFrame:
+    """The rows of ``words(word, ...)``, distinct words, with ``ids``: explode, join, group, fold. ``masked``: words of up to MASK_CHARS characters, else
+    longer ones. A word with a character that neither a piece holds nor ``more`` has null ids or no row. ``words`` dealt by ``word``
+    are not dealt anew."""
+    table = piece_table(words.sparkSession, pieces, more)
+    size = F.char_length("word")
+    keys = words.columns
+    w = words.where(size.between(1, MASK_CHARS) if masked else size > MASK_CHARS).select("*", F.translate("word", " ", SPACE).alias("_w"))
     n = F.char_length("_w")
-    starts = w.select(*keys, "_w", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = starts.select(*keys, "_w", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("l"))
-    edges = spans.withColumn("piece", F.substring("_w", F.col("s") + 1, F.col("l"))).join(table, "piece")
-    grouped = edges.select(*keys, _edge(pieces.kind).alias("edge"), n.alias("n")).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"), F.max("n").alias("n"))
-    fold = _merge_fold if pieces.kind == BPE else _viterbi_fold
-    return grouped.select(*keys, fold(F.col("edges"), F.col("n")).alias("ids")).where("ids is not null")
+    starts = w.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("l"))
+    edges = spans.select(*keys, "s", "l", F.substring("_w", F.col("s") + 1, F.col("l")).alias("piece")).join(table, "piece")
+    grouped = edges.select(*keys, _edge(pieces.kind, masked).alias("edge")).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    fold = _viterbi_fold if pieces.kind != BPE else _merge_fold if masked else _long_merge_fold
+    return grouped.select(*keys, fold(F.col("edges"), F.char_length("word")).alias("ids"))  # a filter on ids here would fold twice
 
 
 class Codes:
@@ -236,35 +289,83 @@ class Codes:
 
     def __init__(self, blobs: list):
         join = lambda k, t: np.concatenate([np.frombuffer(b[k], t) for b in blobs] or [np.empty(0, t)])
-        h, n, self.ids = join(0, np.uint64), join(1, np.uint8), join(2, np.uint32)
+        h, n, self.ids = join(0, np.uint64), join(1, np.uint16), join(2, np.int32)
         end = np.cumsum(n, dtype=np.int64)
         order = np.argsort(h)
         self.h, self.start, self.n = h[order], (end - n)[order].astype(np.int32), n[order]
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
+    def of(self, words: pa.StringArray, hole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(all codes, how many each word has, whether it is missing); a missing word has one code, ``hole``."""
+        if not len(self.h):
+            return np.full(len(words), hole, np.int32), np.ones(len(words), np.int32), np.ones(len(words), bool)
+        hashes = _hashes(words)
         at = np.searchsorted(self.h, hashes)
         at[at == len(self.h)] = 0
-        return np.where(self.h[at] == hashes, at, -1) if len(self.h) else np.full(len(hashes), -1)
+        miss = self.h[at] != hashes
+        n = np.where(miss, 1, self.n[at]).astype(np.int32)
+        ids = _spread(self.ids, np.where(miss, 0, self.start[at]), n)
+        ids[(np.cumsum(n) - n)[miss]] = hole
+        return ids, n, miss
+
+
+def _spread(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``values[start : start + n]`` of every start, one after the other."""
+    ends = np.cumsum(n, dtype=np.int32)
+    return values[np.repeat((start - ends + n).astype(np.int32), n) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
+
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_pylist()), np.uint64, len(words))
 
-def _hash(word: str) -> int:
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace"))
 
+def _counts(table, most: int = 400_000):
+    """(word, n, odd) of each task's texts, odd: with a character that no piece holds."""
 
-def _counts(pieces: Pieces, most: int = 200_000):
-    out = pa.schema([("word", pa.string()), ("n", pa.int64())])
+    def send(seen: pa.Table) -> pa.RecordBatch:
+        words = seen["word"].combine_chunks()
+        return pa.RecordBatch.from_arrays([words, seen["n_sum"].combine_chunks(), pa.array(table.value.odd(words))], names=["word", "n", "odd"])
 
     def run(batches):
-        split, seen = pieces.words, Counter()
+        seen, size = [], 0
+        total = lambda: pa.concat_tables(seen).group_by("word").aggregate([("n", "sum")])
         for b in batches:
-            for text in b.column(0).to_pylist():
-                seen.update(split(text))
-                if len(seen) > most:
-                    kept = {w: n for w, n in seen.items() if len(w) <= MASK_CHARS}
-                    yield batch(out, list(kept), list(kept.values()))
-                    seen = Counter()
-        kept = {w: n for w, n in seen.items() if len(w) <= MASK_CHARS}
-        yield batch(out, list(kept), list(kept.values()))
+            counts = pc.value_counts(table.value.words(b.column(0))[0])
+            seen.append(pa.table({"word": counts.field(0), "n": counts.field(1)}))
+            size += len(counts)
+            if size > 2 * most:
+                whole = total()
+                if len(whole) > most:
+                    yield send(whole)
+                    seen, size = [], 0
+                else:
+                    seen, size = [whole.rename_columns(["word", "n"])], len(whole)
+        if seen:
+            yield send(total())
+
+    return run
+
+
+CODED = pa.schema([("word", pa.string()), ("n", pa.int64()), ("ids", pa.list_(pa.int32()))])
+CODED_DDL = "word string, n long, ids array<int>"
+
+
+def _folded(table):
+    """Words beyond LONG_CHARS, folded one by one."""
+
+    def run(batches):
+        for b in batches:
+            yield batch(CODED, *b.columns, [table.value.fold(w) for w in b.column(0).to_pylist()])
+
+    return run
+
+
+def _spelled(table):
+    """Ids with the characters that no piece holds written as :meth:`Pieces.char` writes them."""
+
+    def run(batches):
+        for b in batches:
+            ids = [[i for x in own for i in ([x] if x >= 0 else table.value.char(chr(-1 - x)))] for own in b.column(2).to_pylist()]
+            yield batch(CODED, b.column(0), b.column(1), ids)
 
     return run
 
@@ -273,99 +374,114 @@ def _pack(batches):
     out = pa.schema([("h", pa.binary()), ("n", pa.binary()), ("ids", pa.binary())])
     for b in batches:
         ids = b.column(1)
-        h = np.array([_hash(w) for w in b.column(0).to_pylist()], np.uint64)
-        yield batch(out, [h.tobytes()], [np.asarray(ids.value_lengths()).astype(np.uint8).tobytes()], [np.asarray(ids.flatten()).astype(np.uint32).tobytes()])
+        yield batch(out, [_hashes(b.column(0)).tobytes()], [np.asarray(ids.value_lengths()).astype(np.uint16).tobytes()], [np.asarray(ids.flatten()).astype(np.int32).tobytes()])
 
 
-def frequent_codes(docs: DataFrame, pieces: Pieces, max_words: int = MAX_WORDS) -> Codes:
-    """Codes of the words seen twice or more, the most frequent ``max_words`` at most, through the lattice."""
-    spark = docs.sparkSession
-    counted = docs.select("text").mapInArrow(sliced(_counts(pieces)), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+def word_codes(docs: DataFrame, table) -> DataFrame:
+    """``(word, n, ids)``: every distinct word of ``docs(text)`` with its occurrences and codes, written to the shared folder.
+
+    Each word goes through the lattice once, however often it occurs. Words with characters that no piece holds go with
+    those characters added to the piece table (Unicode bounds their number); words of MASK_CHARS to LONG_CHARS characters
+    have a fold of their own; only longer ones, whose edges would be too long a row, are folded in Python by the same rule.
+    """
+    spark, pieces = docs.sparkSession, table.value
+    schema = "word string, n long, odd boolean"
+    counted = docs.select("text").mapInArrow(by_bytes(_counts(table), 0), schema).groupBy("word").agg(F.sum("n").alias("n"), F.any_value("odd").alias("odd"))
     counted.write.parquet(path := shared_dir(spark, "words"))
     words = spark.read.parquet(path)
-    times = sorted((r[0], r[1]) for r in words.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).count().collect())
-    least, room = 1_000_001, max_words
-    for n, k in reversed(times):
-        if k > room:
-            break
-        least, room = n, room - k
-    chosen = words.where(F.col("n") >= least).select("word").repartition("word")
-    blobs = lattice(chosen, ["word"], pieces).select("word", "ids").mapInArrow(_pack, "h binary, n binary, ids binary").collect()  # max_words codes at most
-    return Codes(blobs)
+    size = F.char_length("word")
+    kinds = {(r.odd, r.long): r["count"] for r in words.groupBy("odd", F.when(size > LONG_CHARS, 2).when(size > MASK_CHARS, 1).otherwise(0).alias("long")).count().collect()}
+    deal = lambda df, n: df.select("word", "n").repartition(max(1, -(-n // WORDS_A_TASK)), "word")
+    parts, target = [], shared_dir(spark, "codes")
+    for (odd, long), n in sorted(kinds.items()):
+        rows = deal(words.where(F.col("odd") == odd).where(size > LONG_CHARS if long == 2 else size.between(MASK_CHARS + 1, LONG_CHARS) if long else size <= MASK_CHARS), n)
+        if long == 2:
+            coded = rows.mapInArrow(_folded(table), CODED_DDL)
+        else:
+            more = [r[0] for r in rows.select(F.explode(F.split("word", "")).alias("c")).distinct().collect() if r[0] and r[0] not in pieces.scored and r[0] != " "] if odd else []  # Unicode at most
+            coded = lattice(rows, pieces, not long, more)
+            coded = coded.mapInArrow(_spelled(table), CODED_DDL) if odd else coded
+        coded.write.parquet(part := f"{target}/{odd}-{long}")
+        parts.append(part)
+    return spark.read.schema(CODED_DDL).parquet(*parts) if parts else spark.createDataFrame([], CODED_DDL)
 
 
 def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS, back: bool = False) -> DataFrame:
     """``(doc_id, ids array<int>, text_sha256)``, and with ``back`` the decoded ``text`` from the same pass; one row per row of ``docs``, whole texts.
 
-    Frequent words are coded once and looked up; every other occurrence goes through the lattice, dealt by document.
-    Null and empty texts have no ids. U+2581 in a text is a space to this encoding, so ``text_sha256`` is the digest of
-    the text with it replaced; null ids and repeated rows are answered row by row; an empty table gives no rows.
+    The codes of the most frequent words (``max_words`` at most, 20 bytes each in every Python worker) are looked up as a
+    text is read; words that are rarer, or seen once, leave a hole that a join with the other words' codes fills. Ids may
+    be of any type. Null and empty texts have no ids. U+2581 in a text is a space to this encoding, so ``text_sha256`` is
+    the digest of the text with it replaced; null ids and repeated rows are answered row by row; an empty table gives no
+    rows; columns other than the two are not read, whatever their names.
     """
     spark, rows = docs.sparkSession, text_columns(docs, id_col, text_col)
     kind, hole = dict(rows.dtypes)["doc_id"], len(pieces.texts)
-    codes = spark.sparkContext.broadcast(frequent_codes(rows, pieces, max_words))
+    table = spark.sparkContext.broadcast(pieces)
+    every = word_codes(rows, table)
+    times = sorted((r[0], r[1]) for r in every.where("n > 1").groupBy(F.least("n", F.lit(1_000_000)).alias("n")).count().collect())
+    least, room = 1_000_001, max_words
+    for n, k in reversed(times):
+        if k > room:
+            break
+        least, room = n, room - k
+    often = (F.col("n") >= least) & (F.size("ids") < 1 << 16)
+    codes = spark.sparkContext.broadcast(Codes(every.where(often).select("word", "ids").mapInArrow(_pack, "h binary, n binary, ids binary").collect()))  # max_words codes at most
+    width = np.uint16 if hole < 1 << 16 else np.uint32
 
     def look_up(batches):
-        split, found, known = pieces.words, codes.value, {}
+        pieces, found = table.value, codes.value
         for b in batches:
-            packed, rare, shas = [], [], []
-            for text in b.column(2).to_pylist():
-                words = split(text)
-                at = np.fromiter(map(known.get, words, repeat(-2)), np.int64, len(words))
-                if len(new := np.nonzero(at == -2)[0]):
-                    fresh = [words[i] for i in new.tolist()]
-                    at[new] = found.find(np.fromiter(map(_hash, fresh), np.uint64, len(fresh)))
-                    if len(known) > MEMO:
-                        known.clear()
-                    known.update(zip(fresh, at[new].tolist(), strict=True))
-                miss = at < 0
-                n = np.where(miss, 1, found.n[at] if len(found.n) else 1).astype(np.int64)
-                start = np.where(miss, 0, found.start[at] if len(found.n) else 0)
-                within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                ids = found.ids[np.repeat(start, n) + within].copy() if len(found.ids) else np.zeros(n.sum(), np.uint32)
-                ids[(np.cumsum(n) - n)[miss]] = hole
-                packed.append(zstandard.compress(ids.tobytes(), 1))
-                rare.append([{"k": k, "word": words[i]} for k, i in enumerate(np.nonzero(miss)[0].tolist())])
-                shas.append(hashlib.sha256((text or "").replace(SPACE, " ").encode("utf-8", "replace")).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), pa.array(rare, RARE), pa.array(shas)], names=["doc_id", "tkey", "packed", "rare", "sha"])
-
-    looked = rows.select("doc_id", text_key().alias("tkey"), "text").mapInArrow(sliced(look_up), f"doc_id {kind}, tkey long, packed binary, rare array<struct<k int, word string>>, sha string")
-    own = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast(kind)).alias("kid")
+            words, bounds = pieces.words(b.column(2))
+            coded = words.dictionary_encode()
+            at = coded.indices.to_numpy()
+            own, size, miss = found.of(coded.dictionary, hole)
+            n = size[at]
+            ids = _spread(own, (np.cumsum(size, dtype=np.int32) - size)[at], n).astype(width)
+            packed = [zstandard.compress(ids[i:j].tobytes(), 1) for i, j in pairwise(np.concatenate([[0], np.cumsum(n)])[bounds].tolist())]
+            gaps = np.nonzero(miss[at])[0]
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(gaps, bounds).astype(np.int32)), coded.dictionary.take(pa.array(at[gaps])))
+            shas = [hashlib.sha256((t or "").replace(SPACE, " ").encode()).hexdigest() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), rare, pa.array(shas, pa.string())], names=["doc_id", "tkey", "packed", "rare", "sha"])
+
+    looked = rows.select("doc_id", text_key().alias("tkey"), "text").mapInArrow(by_bytes(look_up, 2), f"doc_id {kind}, tkey long, packed binary, rare array<string>, sha string")
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("kid")
     dealt = looked.select(own, "doc_id", F.coalesce("tkey", F.lit(0).cast("long")).alias("tkey"), "packed", "rare", "sha").repartition("kid", "tkey")
-    # reads every column, has keys that can't be null (no filter is inferred) and takes no field of ``rare`` by name
-    # (none is pruned), so that this branch and the join below share one exchange
-    every = F.when((F.octet_length("packed") >= 0) & (F.char_length("sha") >= 0) & (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("kid"))), F.col("rare"))
-    each = dealt.select("kid", "tkey", F.explode_outer(every).alias("x")).select("kid", "tkey", F.col("x.k").alias("k"), F.col("x.word").alias("word")).where("k is not null")
-    late = lattice(each, ["kid", "tkey", "k"], pieces).groupBy("kid", "tkey").agg(F.collect_list(F.struct("k", "ids")).alias("late"))
-    both = dealt.join(late, ["kid", "tkey"], "left").select("doc_id", "packed", F.transform("rare", lambda x: x["word"]).alias("rare"), "sha", "late")
+    # reads every column and has keys that can't be null (no filter is inferred), so that this branch and the join below
+    # share one exchange
+    named = F.when((F.octet_length("packed") >= 0) & (F.char_length("sha") >= 0) & (F.col("doc_id").isNull() | (F.col("doc_id").cast("string") == F.col("kid"))), F.col("rare"))
+    wanted = dealt.select("kid", "tkey", F.explode(named).alias("word")).distinct()
+    late = wanted.join(every.where(~often).select("word", "ids"), "word").groupBy("kid", "tkey").agg(F.collect_list(F.struct("word", "ids")).alias("late"))
+    both = dealt.join(late, ["kid", "tkey"], "left").select("doc_id", "packed", "rare", "sha", "late")
 
     def fill(batches):
+        pieces = table.value
         for b in batches:
             out = []
             for packed, rare, late in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
-                ids = np.frombuffer(zstandard.decompress(packed), np.uint32)
-                got = {x["k"]: x["ids"] for x in late or []}
-                parts, last = [], 0
-                for k, at in enumerate(np.nonzero(ids == hole)[0].tolist()):
-                    parts += [ids[last:at], np.array(got.get(k) or pieces.fold(rare[k]), np.uint32)]
-                    last = at + 1
-                out.append(np.concatenate([*parts, ids[last:]]).astype(np.int32))
-            texts = [pa.array([pieces.decode(x.tolist()).decode("utf-8", "replace") for x in out], pa.string())] if back else []
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32())), b.column(3), *texts], names=["doc_id", "ids", "text_sha256", *["text"] * back])
+                ids = np.frombuffer(zstandard.decompress(packed), width).astype(np.int32)
+                if rare:
+                    got = {x["word"]: np.array(x["ids"], np.int32) for x in late}
+                    gaps = np.nonzero(ids == hole)[0]
+                    parts = np.split(ids, gaps)  # from the second on, each begins with a hole
+                    ids = np.concatenate([parts[0], *(y for w, x in zip(rare, parts[1:], strict=True) for y in (got[w], x[1:]))])
+                out.append(ids)
+            ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
+            texts = [pa.array(pieces.decode(out), pa.string())] if back else []
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, b.column(3), *texts], names=["doc_id", "ids", "text_sha256", *["text"] * back])
 
     return both.mapInArrow(sliced(fill), f"doc_id {kind}, ids array<int>, text_sha256 string" + ", text string" * back)
 
 
-RARE = pa.list_(pa.struct([("k", pa.int32()), ("word", pa.string())]))
-
-
 def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
     """``encoded`` with ``text``, the decoded ids (bytes that are no UTF-8 become U+FFFD). Null ids: a null text."""
     at = encoded.columns.index("ids")
 
     def run(batches):
         for b in batches:
-            texts = [None if x is None else pieces.decode(x).decode("utf-8", "replace") for x in b.column(at).to_pylist()]
+            rows = [None if x is None else np.array(x, np.int32) for x in b.column(at).to_pylist()]
+            found = iter(pieces.decode([x for x in rows if x is not None]))
+            texts = [None if x is None else next(found) for x in rows]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "text"])
 
     return encoded.mapInArrow(sliced(run), ", ".join(f"`{n}` {t}" for n, t in [*encoded.dtypes, ("text", "string")]))

@@ -53,7 +53,7 @@ def test_viterbi_against_all_segmentations(spark):
             return 0.0, []
         return max((scored[w[:k]][0] + rest[0], [scored[w[:k]][1], *rest[1]]) for k in range(1, len(w) + 1) if w[:k] in scored for rest in [best(w[k:])])
 
-    got = sp.lattice(spark.createDataFrame([(w,) for w in set(words)], "word string"), ["word"], table).collect()
+    got = sp.lattice(spark.createDataFrame([(w,) for w in set(words)], "word string"), table).collect()
     assert len(got) == len(set(words))
     for r in got:
         score = lambda ids: sum(list(scored.values())[i][0] for i in ids)
