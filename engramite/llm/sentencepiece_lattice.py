@@ -273,15 +273,15 @@ def lattice(words: DataFrame, pieces: Pieces, masked: bool = True, more: list[st
     are not dealt anew."""
     table = piece_table(words.sparkSession, pieces, more)
     size = F.char_length("word")
-    keys = words.columns
-    w = words.where(size.between(1, MASK_CHARS) if masked else size > MASK_CHARS).select("*", F.translate("word", " ", SPACE).alias("_w"))
+    keys = ["_row", *words.columns]  # the edges of a row come one after the other: numbered first, they need no sorting
+    w = words.where(size.between(1, MASK_CHARS) if masked else size > MASK_CHARS).select(F.monotonically_increasing_id().alias("_row"), "*", F.translate("word", " ", SPACE).alias("_w"))
     n = F.char_length("_w")
     starts = w.select("*", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
     spans = starts.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(pieces.longest), n - F.col("s")))).alias("l"))
     edges = spans.select(*keys, "s", "l", F.substring("_w", F.col("s") + 1, F.col("l")).alias("piece")).join(table, "piece")
     grouped = edges.select(*keys, _edge(pieces.kind, masked).alias("edge")).groupBy(*keys).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     fold = _viterbi_fold if pieces.kind != BPE else _merge_fold if masked else _long_merge_fold
-    return grouped.select(*keys, fold(F.col("edges"), F.char_length("word")).alias("ids"))  # a filter on ids here would fold twice
+    return grouped.select(*words.columns, fold(F.col("edges"), F.char_length("word")).alias("ids"))  # a filter on ids here would fold twice
 
 
 class Codes:
