@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, sliced, text_columns
+from .common import batch, cut, fresh, sliced, text_columns
 from .components import connected_components
 
 SEED = 42
@@ -182,11 +182,15 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
 def keep_least(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each group in ``found(doc_id, component_id)``, the one with the least id; rows with a
-    null id stay; of rows that repeat one id, one stays."""
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
+    null id stay. Of rows that repeat one id the one whose columns hash least stays, so that a run that is repeated gives
+    the same rows. The columns of ``docs`` may have any names."""
+    stay, row = fresh(docs, "stay"), fresh(docs, "row")
+    least = found.where("doc_id = component_id").select(F.col("doc_id").alias(stay)).distinct()
     own = docs.where(F.col(f"`{id_col}`").isNotNull())
-    kept = own.join(stay, F.col(f"`{id_col}`") == F.col("_stay"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    kept = own.join(least, F.col(f"`{id_col}`") == F.col(stay), "left_semi")
+    every = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    one = kept.groupBy(F.col(f"`{id_col}`").alias(stay)).agg(F.min_by(every, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias(row))
+    return one.select(f"{row}.*").unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, near: int = 2) -> DataFrame:
