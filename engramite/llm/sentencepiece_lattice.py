@@ -9,6 +9,7 @@ of all words), so there the fold takes the edges in merge order and keeps a bit
 from __future__ import annotations
 
 import hashlib
+import os
 import struct
 from dataclasses import dataclass
 from itertools import pairwise
@@ -21,9 +22,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batch, by_bytes, shared_dir, sliced, text_columns, text_key
+from .common import batch, by_bytes, drop_dir, shared_dir, sliced, text_columns, text_key, write
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 SPACE = "▁"
 #: Piece tables are broadcast up to this many rows; vocabularies are fixed and far smaller.
 MAX_PIECES = 1_000_000
@@ -287,9 +288,9 @@ def lattice(words: DataFrame, pieces: Pieces, masked: bool = True, more: list[st
 class Codes:
     """Codes of the frequent words, sorted by the words' hashes."""
 
-    def __init__(self, blobs: list):
+    def __init__(self, blobs: list, kind: type):
         join = lambda k, t: np.concatenate([np.frombuffer(b[k], t) for b in blobs] or [np.empty(0, t)])
-        h, n, self.ids = join(0, np.uint64), join(1, np.uint16), join(2, np.int32)
+        h, n, self.ids = join(0, np.uint64), join(1, np.uint16), join(2, kind)
         end = np.cumsum(n, dtype=np.int64)
         order = np.argsort(h)
         self.h, self.start, self.n = h[order], (end - n)[order].astype(np.int32), n[order]
@@ -297,7 +298,7 @@ class Codes:
     def of(self, words: pa.StringArray, hole: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(all codes, how many each word has, whether it is missing); a missing word has one code, ``hole``."""
         if not len(self.h):
-            return np.full(len(words), hole, np.int32), np.ones(len(words), np.int32), np.ones(len(words), bool)
+            return np.full(len(words), hole, self.ids.dtype), np.ones(len(words), np.int32), np.ones(len(words), bool)
         hashes = _hashes(words)
         at = np.searchsorted(self.h, hashes)
         at[at == len(self.h)] = 0
@@ -370,11 +371,14 @@ def _spelled(table):
     return run
 
 
-def _pack(batches):
-    out = pa.schema([("h", pa.binary()), ("n", pa.binary()), ("ids", pa.binary())])
-    for b in batches:
-        ids = b.column(1)
-        yield batch(out, [_hashes(b.column(0)).tobytes()], [np.asarray(ids.value_lengths()).astype(np.uint16).tobytes()], [np.asarray(ids.flatten()).astype(np.int32).tobytes()])
+def _pack(kind: type):
+    def run(batches):
+        out = pa.schema([("h", pa.binary()), ("n", pa.binary()), ("ids", pa.binary())])
+        for b in batches:
+            ids = b.column(1)
+            yield batch(out, [_hashes(b.column(0)).tobytes()], [np.asarray(ids.value_lengths()).astype(np.uint16).tobytes()], [np.asarray(ids.flatten()).astype(kind).tobytes()])
+
+    return run
 
 
 def word_codes(docs: DataFrame, table) -> DataFrame:
@@ -387,7 +391,7 @@ def word_codes(docs: DataFrame, table) -> DataFrame:
     spark, pieces = docs.sparkSession, table.value
     schema = "word string, n long, odd boolean"
     counted = docs.select("text").mapInArrow(by_bytes(_counts(table), 0), schema).groupBy("word").agg(F.sum("n").alias("n"), F.any_value("odd").alias("odd"))
-    counted.write.parquet(path := shared_dir(spark, "words"))
+    write(counted, path := shared_dir(spark, "words"))
     words = spark.read.parquet(path)
     size = F.char_length("word")
     kinds = {(r.odd, r.long): r["count"] for r in words.groupBy("odd", F.when(size > LONG_CHARS, 2).when(size > MASK_CHARS, 1).otherwise(0).alias("long")).count().collect()}
@@ -401,8 +405,9 @@ def word_codes(docs: DataFrame, table) -> DataFrame:
             more = [r[0] for r in rows.select(F.explode(F.split("word", "")).alias("c")).distinct().collect() if r[0] and r[0] not in pieces.scored and r[0] != " "] if odd else []  # Unicode at most
             coded = lattice(rows, pieces, not long, more)
             coded = coded.mapInArrow(_spelled(table), CODED_DDL) if odd else coded
-        coded.write.parquet(part := f"{target}/{odd}-{long}")
+        write(coded, part := f"{target}/{odd}-{long}")
         parts.append(part)
+    drop_dir(spark, path)
     return spark.read.schema(CODED_DDL).parquet(*parts) if parts else spark.createDataFrame([], CODED_DDL)
 
 
@@ -417,6 +422,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
     """
     spark, rows = docs.sparkSession, text_columns(docs, id_col, text_col)
     kind, hole = dict(rows.dtypes)["doc_id"], len(pieces.texts)
+    width = np.uint16 if hole < 1 << 16 else np.uint32
     table = spark.sparkContext.broadcast(pieces)
     every = word_codes(rows, table)
     times = sorted((r[0], r[1]) for r in every.where("n > 1").groupBy(F.least("n", F.lit(1_000_000)).alias("n")).count().collect())
@@ -426,8 +432,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             break
         least, room = n, room - k
     often = (F.col("n") >= least) & (F.size("ids") < 1 << 16)
-    codes = spark.sparkContext.broadcast(Codes(every.where(often).select("word", "ids").mapInArrow(_pack, "h binary, n binary, ids binary").collect()))  # max_words codes at most
-    width = np.uint16 if hole < 1 << 16 else np.uint32
+    codes = spark.sparkContext.broadcast(Codes(every.where(often).select("word", "ids").mapInArrow(_pack(width), "h binary, n binary, ids binary").collect(), width))  # max_words codes at most
 
     def look_up(batches):
         pieces, found = table.value, codes.value
@@ -437,7 +442,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             at = coded.indices.to_numpy()
             own, size, miss = found.of(coded.dictionary, hole)
             n = size[at]
-            ids = _spread(own, (np.cumsum(size, dtype=np.int32) - size)[at], n).astype(width)
+            ids = _spread(own, (np.cumsum(size, dtype=np.int32) - size)[at], n)
             packed = [zstandard.compress(ids[i:j].tobytes(), 1) for i, j in pairwise(np.concatenate([[0], np.cumsum(n)])[bounds].tolist())]
             gaps = np.nonzero(miss[at])[0]
             rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(gaps, bounds).astype(np.int32)), coded.dictionary.take(pa.array(at[gaps])))
