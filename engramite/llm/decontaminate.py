@@ -98,7 +98,8 @@ def _long_hits(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def _grams_of(words: Column, lengths: list[int]) -> Column:
     """``array<struct<at, m, hash>>`` of all runs of ``m`` words, for each of the lengths."""
-    each = [F.transform(_grams(words, m), lambda h, i, m=m: F.struct(i.alias("at"), F.lit(m).alias("m"), h.alias("hash"))) for m in lengths]
+    named = lambda m: lambda h, i: F.struct(i.alias("at"), F.lit(m).alias("m"), h.alias("hash"))
+    each = [F.transform(_grams(words, m), named(m)) for m in lengths]
     return each[0] if len(each) == 1 else F.concat(*each)
 
 
