@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engramite.llm import decontaminate, language_id, line_dedup, near_copies, sentencepiece_lattice
+from engramite.llm import decontaminate, language_id, line_dedup, near_copies, sentencepiece_lattice, simhash
 from engramite.llm.common import shared_dir
+from engramite.llm.components import merged
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +22,10 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard similarity of 5-word shingles 0.8 or more) the document with the least id stays."""
-    return near_copies.keep_one(docs)
+    """Of each group of near copies the document with the least id stays. Documents are joined by SimHash fingerprints
+    within 2 bits, found by vantage-point trees, and by a Jaccard similarity of 5-word shingles of 0.8 or more, which
+    changed words can put beyond any radius that those trees could still prune."""
+    return simhash.keep_least(docs, merged(simhash.groups(docs), near_copies.groups(docs)))
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
