@@ -443,20 +443,20 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             own, size, miss = found.of(coded.dictionary, hole)
             n = size[at]
             ids = _spread(own, (np.cumsum(size, dtype=np.int32) - size)[at], n)
-            packed = [zstandard.compress(ids[i:j].tobytes(), 1) for i, j in pairwise(np.concatenate([[0], np.cumsum(n)])[bounds].tolist())]
+            packed = [zstandard.compress(ids[i:j].tobytes(), 3) for i, j in pairwise(np.concatenate([[0], np.cumsum(n)])[bounds].tolist())]
             gaps = np.nonzero(miss[at])[0]
             rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(gaps, bounds).astype(np.int32)), coded.dictionary.take(pa.array(at[gaps])))
-            shas = [hashlib.sha256((t or "").replace(SPACE, " ").encode()).hexdigest() for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), rare, pa.array(shas, pa.string())], names=["doc_id", "tkey", "packed", "rare", "sha"])
+            shas = [hashlib.sha256((t or "").replace(SPACE, " ").encode()).digest() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(packed, pa.binary()), rare, pa.array(shas, pa.binary())], names=["doc_id", "tkey", "packed", "rare", "sha"])
 
-    looked = rows.select("doc_id", text_key().alias("tkey"), "text").mapInArrow(by_bytes(look_up, 2), f"doc_id {kind}, tkey long, packed binary, rare array<string>, sha string")
+    looked = rows.select("doc_id", text_key().alias("tkey"), "text").mapInArrow(by_bytes(look_up, 2), f"doc_id {kind}, tkey long, packed binary, rare array<string>, sha binary")
     own = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("kid")
     dealt = looked.select(own, "doc_id", F.coalesce("tkey", F.lit(0).cast("long")).alias("tkey"), "packed", "rare", "sha").repartition("kid", "tkey")
     # reads every column and has keys that can't be null (no filter is inferred), so that this branch and the join below
     # share one exchange
-    named = F.when((F.octet_length("packed") >= 0) & (F.char_length("sha") >= 0) & (F.col("doc_id").isNull() | (F.col("doc_id").cast("string") == F.col("kid"))), F.col("rare"))
-    wanted = dealt.select("kid", "tkey", F.explode(named).alias("word")).distinct()
-    late = wanted.join(every.where(~often).select("word", "ids"), "word").groupBy("kid", "tkey").agg(F.collect_list(F.struct("word", "ids")).alias("late"))
+    named = F.when((F.octet_length("packed") >= 0) & (F.octet_length("sha") >= 0) & (F.col("doc_id").isNull() | (F.col("doc_id").cast("string") == F.col("kid"))), F.col("rare"))
+    wanted = dealt.select("kid", "tkey", F.posexplode(F.array_distinct(named)).alias("at", "word")).distinct()
+    late = wanted.join(every.where(~often).select("word", "ids"), "word").groupBy("kid", "tkey").agg(F.collect_list(F.struct("at", "ids")).alias("late"))
     both = dealt.join(late, ["kid", "tkey"], "left").select("doc_id", "packed", "rare", "sha", "late")
 
     def fill(batches):
@@ -466,14 +466,16 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             for packed, rare, late in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(4).to_pylist(), strict=True):
                 ids = np.frombuffer(zstandard.decompress(packed), width).astype(np.int32)
                 if rare:
-                    got = {x["word"]: np.array(x["ids"], np.int32) for x in late}
+                    once = list(dict.fromkeys(rare))
+                    got = {once[x["at"]]: np.array(x["ids"], np.int32) for x in late}
                     gaps = np.nonzero(ids == hole)[0]
                     parts = np.split(ids, gaps)  # from the second on, each begins with a hole
                     ids = np.concatenate([parts[0], *(y for w, x in zip(rare, parts[1:], strict=True) for y in (got[w], x[1:]))])
                 out.append(ids)
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, out)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *out])))
+            shas = pa.array([x.hex() for x in b.column(3).to_pylist()], pa.string())
             texts = [pa.array(pieces.decode(out), pa.string())] if back else []
-            yield pa.RecordBatch.from_arrays([b.column(0), ids, b.column(3), *texts], names=["doc_id", "ids", "text_sha256", *["text"] * back])
+            yield pa.RecordBatch.from_arrays([b.column(0), ids, shas, *texts], names=["doc_id", "ids", "text_sha256", *["text"] * back])
 
     return both.mapInArrow(sliced(fill), f"doc_id {kind}, ids array<int>, text_sha256 string" + ", text string" * back)
 
