@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ def name_key(c: Column) -> Column:
     return F.upper(F.trim(c))
 
 
+# Fixed value: the pattern of a proper name.
 def entities(text: Column) -> Column:
     """Capitalised words, then the first word of each double-quoted phrase, capitalised; each once."""
     proper = F.regexp_extract_all(text, F.lit(r"\b([A-Z][a-zA-Z0-9_\-]+)\b"), F.lit(1))
@@ -49,20 +52,42 @@ def canonical_relation(c: Column) -> Column:
 
 
 def relation_key(c: Column) -> Column:
-    """Key under which relations count as the same: filler tokens and one trailing S of longer tokens go."""
-    kept = F.filter(F.split(F.upper(c), "_"), lambda t: ~t.isin(*FILLER_TOKENS))
-    return F.array_join(F.transform(kept, lambda t: F.when((F.char_length(t) > 3) & t.endswith("S"), F.substring(t, F.lit(1), F.char_length(t) - 1)).otherwise(t)), "_")
+    """Key under which relations count as the same: filler tokens go, then one trailing S of what is longer than three."""
+    kept = F.filter(F.split(F.replace(F.upper(c), F.lit("-"), F.lit("_")), "_"), lambda t: ~t.isin(*FILLER_TOKENS))
+    whole = F.array_join(kept, "_")
+    return F.when((F.char_length(whole) > 3) & whole.endswith("S"), F.substring(whole, F.lit(1), F.char_length(whole) - 1)).otherwise(whole)
+
+
+#: Reasoning blocks, line starts that are no facts, special tokens, and the separators of a fact.
+REASONING = r"(?is)<(?:think|thinking)>.*?</(?:think|thinking)>"
+NO_FACT = ("Analysis:", "Input:", "Output:")
+SPECIAL_TOKENS = r"<\|eot_id\|>|<\|assistant\|>|<\|user\|>"
+FACT = r"^\s*([A-Za-z0-9_\s]+)\s*[-–—]{1,2}\s*([A-Za-z0-9_\s]+)\s*[-–—]{1,2}\s*([A-Za-z0-9_\s]+)\s*$"
 
 
 def triplet(line: Column) -> Column:
-    """``src - REL - dst`` with one or two hyphens or dashes as struct<src, rel, dst>, null where a line is none or too long."""
-    pattern = r"^\s*(.+?)\s+[-–—]{1,2}\s+(.+?)\s+[-–—]{1,2}\s+(.+?)\s*$"
-    clean = lambda k: F.trim(F.regexp_replace(F.upper(F.regexp_extract(line, pattern, k)), r"[^A-Z0-9_\s]", ""))
-    src, rel, dst = clean(1), clean(2), clean(3)
-    good = (src != "") & (rel != "") & (dst != "") & (F.char_length(src) <= 50) & (F.char_length(rel) <= 30) & (F.char_length(dst) <= 50)
+    """``src - REL - dst`` with one or two hyphens or dashes, or parted by `` - ``, as struct<src, rel, dst>: upper case,
+    spaces of the relation as underscores. Null where a line is no fact, or a part is empty or too long (50, 30, 50)."""
+    raw = F.trim(line)
+    bare = F.regexp_replace(raw, SPECIAL_TOKENS, "")
+    cut = F.split(bare, " - ", -1)
+    strict = F.transform(F.array(*(F.regexp_extract(bare, FACT, k) for k in (1, 2, 3))), lambda x: F.trim(x))
+    loose = F.when(F.size(cut) >= 3, F.array(F.trim(cut[0]), F.trim(cut[1]), F.trim(F.array_join(F.slice(cut, F.lit(3), F.size(cut)), " - "))))
+    parts = F.when(bare.rlike(FACT), strict).otherwise(loose)
+    name = lambda c: F.upper(F.trim(F.regexp_replace(c, r"[^a-zA-Z0-9_\s]+", "")))
+    src, rel, dst = name(parts[0]), F.upper(F.regexp_replace(F.replace(parts[1], F.lit(" "), F.lit("_")), "[^a-zA-Z0-9_]+", "")), name(parts[2])
+    said = ~F.coalesce(F.exists(F.array(*map(F.lit, NO_FACT)), lambda x: F.startswith(raw, x)), F.lit(False))
+    good = said & (src != "") & (rel != "") & (dst != "") & (F.char_length(src) <= 50) & (F.char_length(rel) <= 30) & (F.char_length(dst) <= 50)
     return F.when(good, F.struct(src.alias("src"), rel.alias("rel"), dst.alias("dst")))
 
 
+def triplets(answer: Column, most: int = 6) -> Column:
+    """The first ``most`` facts of a text of many lines, relations canonical; blocks of reasoning are no lines."""
+    lines = F.split(F.trim(F.regexp_replace(answer, REASONING, "")), "\n")
+    found = F.transform(F.transform(lines, triplet), lambda t: F.struct(t["src"].alias("src"), canonical_relation(t["rel"]).alias("rel"), t["dst"].alias("dst")))
+    return F.slice(F.filter(found, lambda t: t["rel"].isNotNull()), 1, most)
+
+
 def time_window(text: Column) -> Column:
     low = F.lower(text)
     return (
@@ -71,6 +96,7 @@ def time_window(text: Column) -> Column:
     )
 
 
+# Fixed value: the pattern of a date.
 def date_literal(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(20\d{2}-\d{2}-\d{2})", 1), F.lit(""))
 
@@ -87,15 +113,22 @@ def phonetic_similarity(a: Column, b: Column) -> Column:
     return F.when(F.lower(a) == F.lower(b), 1.0).when(ca == cb, F.when(near, 0.8).otherwise(0.6)).when(ca.contains(cb) | cb.contains(ca), 0.7).otherwise(0.0)
 
 
+#: Patterns of links and handles, sentence ends, repeated words, mashed keys, lists with and without the last comma.
+LINK, HANDLE, SENTENCE_END = r"(?i)https?://\S+|www\.\S+", r"[@#]\w+", r"(?<=[.!?…])\s+"
+REPEATED, KEYSMASH = r"(?i)\b(\w+)\b(?:\s+\1\b)+", r"(?i)\b(?:[asdfghjkl]{5,}|[qwertyuiop]{5,}|[zxcvbnm]{5,})\b"
+OXFORD, NO_OXFORD = r"(?i)\b\w+\b,\s+\b\w+\b,\s+and\s+\b\w+\b", r"(?i)\b\w+\b,\s+\b\w+\b\s+and\s+\b\w+\b"
+EMOJI = r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]"
+
+
 def tokens(text: Column) -> Column:
     """White-space tokens without URLs and handles."""
-    bare = F.regexp_replace(text, r"https?://\S+|www\.\S+|[@#]\w+", " ")
+    bare = F.regexp_replace(F.regexp_replace(text, LINK, " "), HANDLE, " ")
     return F.filter(F.split(bare, r"\s+"), lambda t: t != "")
 
 
 def sentences(text: Column) -> Column:
     folded = F.trim(F.regexp_replace(text, r"\s+", " "))
-    return F.filter(F.split(folded, r"(?<=[.!?…])\s+"), lambda s: s != "")
+    return F.filter(F.split(folded, SENTENCE_END), lambda s: s != "")
 
 
 def ratio(n: Column, d: Column) -> Column:
@@ -103,14 +136,41 @@ def ratio(n: Column, d: Column) -> Column:
 
 
 def message_features(text: Column) -> list[Column]:
-    """Structure, punctuation and casing of one message, null as empty."""
+    """Structure, punctuation, casing, emoji and repetition of one message, null as empty."""
     t = F.coalesce(text, F.lit(""))
-    words = F.transform(tokens(t), lambda w: F.regexp_replace(w, r"[^A-Za-z]", ""))
-    n_tokens, n_sentences = F.size(tokens(t)), F.size(sentences(t))
+    each, lines = tokens(t), sentences(t)
+    words = F.transform(each, lambda w: F.regexp_replace(w, r"[^A-Za-z]", ""))
+    n_tokens, n_sentences = F.size(each), F.greatest(F.lit(1), F.size(lines))
+    count = lambda pattern: F.regexp_count(t, F.lit(pattern))
     cased = lambda pattern: F.size(F.filter(words, lambda w: w.rlike(pattern)))
+    ending = lambda mark: ratio(F.size(F.filter(lines, lambda s: s.endswith(mark))), n_sentences)
+    with_, without = count(OXFORD), count(NO_OXFORD)
+    low_start = F.size(F.filter(lines, lambda s: F.regexp_extract(s, r"\p{L}", 0).rlike(r"^\p{Ll}")))
     return [
         n_tokens.alias("n_tokens"), n_sentences.alias("n_sentences"), ratio(n_tokens, n_sentences).alias("words_per_sentence"),
-        F.regexp_count(t, F.lit(",")).alias("commas"), F.regexp_count(t, F.lit(r"\.{3}|…")).alias("ellipses"), F.regexp_count(t, F.lit("!{2,}")).alias("multi_exclaim"),
+        ending("?").alias("asking"), ending("!").alias("exclaiming"), ending(".").alias("stating"),
+        count(",").alias("commas"), count(";").alias("semicolons"), count(":").alias("colons"), count("[-—]").alias("dashes"), count("[\"']").alias("straight_quotes"), count("[“”‘’]").alias("curly_quotes"),
+        count(r"\.{3}|…").alias("ellipses"), count("!{2,}").alias("multi_exclaim"), count(r"\?{2,}").alias("multi_ask"), count(r"(?:!\?|\?!)+").alias("mixed_marks"),
+        with_.alias("with_oxford"), without.alias("without_oxford"), ratio(with_, with_ + without).alias("oxford_ratio"),
         cased("^[A-Z]{2,}$").alias("all_caps"), cased("^[A-Z][a-z]+$").alias("title"), cased("^[a-z]{2,}$").alias("lower_case"),
-        F.regexp_count(t, F.lit(r"(?i)\b(\w+)\b(?:\s+\1\b)+")).alias("repeats"),
+        low_start.alias("low_starts"), count("(?<![A-Za-z])i(?![A-Za-z])").alias("small_i"),
+        count(EMOJI).alias("emojis"), F.size(F.filter(each, lambda w: w.rlike(r"([A-Za-z])\1\1"))).alias("elongated"),
+        count(REPEATED).alias("repeats"), count(KEYSMASH).alias("keysmashes"), count(LINK).alias("links"), count(HANDLE).alias("handles"),
     ]
+
+
+def without_marks(c: Column) -> Column:
+    """Letters of Latin-1 and Latin Extended-A without their diacritics, from their canonical decompositions."""
+    plain = [(chr(i), unicodedata.normalize("NFD", chr(i))[0]) for i in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(i))) > 1]
+    return F.regexp_replace(F.translate(c, "".join(a for a, _ in plain), "".join(b for _, b in plain)), r"\p{Mn}+", "")
+
+
+def normalized_token(c: Column) -> Column:
+    """Without diacritics, lower case, runs of a letter as one, punctuation stripped at both ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(without_marks(F.trim(c))), r"([A-Za-z])\1+", "$1"), r"^\p{Punct}+|\p{Punct}+$", "")
+
+
+def jaccard(a: Column, b: Column, sep: str = r"\s+") -> Column:
+    """Shared share of two texts' distinct tokens; 0 where both have none."""
+    words = lambda c: F.filter(F.array_distinct(F.split(F.lower(c), sep)), lambda w: w != "")
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(words(a), words(b))).cast("double"), F.size(F.array_union(words(a), words(b))).cast("double")), F.lit(0.0))

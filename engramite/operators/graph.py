@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,10 @@ def settled(df: DataFrame) -> DataFrame:
     """Lineage cut at the session's reliable checkpoint folder; one of our own only where none is set."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="engramite-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="engramite-"))
     return df.checkpoint(eager=True)
 
 
@@ -172,15 +176,58 @@ def ranked_neighbors(edges: DataFrame, entity: str, as_of, limit: int = 10) -> D
     return best.join(deg, "neighbor", "left").select("neighbor", (F.col("s") - F.coalesce("penalty", F.lit(0.0))).alias("score")).orderBy(F.desc("score"), "neighbor").limit(limit)
 
 
+def _first_pairs(a_side: DataFrame, b_side: DataFrame, key_a: str, key_b: str, other: str | None, limit: int) -> DataFrame:
+    """The first ``limit`` pairs by (eid1, eid2) of edges with eid1 < eid2 that meet at a node, their ``other`` ends unlike.
+
+    Only ``limit`` first edges can be in them: the least ones with any partner, told by the greatest edges at each node.
+    They are few, so they are broadcast, and the pairs formed are a few nodes' degrees, never all pairs of a hub."""
+    far = F.col(other) if other else F.lit(None).cast("string")
+    most = b_side.groupBy(F.col(key_b).alias("k")).agg(F.max(F.struct("eid", far.alias("o"))).alias("m"))
+    if other:
+        unlike = b_side.join(most, F.col(key_b) == F.col("k")).where(F.col(other) != F.col("m.o")).groupBy("k").agg(F.max("eid").alias("next"))
+        most = most.join(unlike, "k", "left")
+    bound = F.when(far == F.col("m.o"), F.col("next")).otherwise(F.col("m.eid")) if other else F.col("m.eid")
+    first = a_side.join(most, F.col(key_a) == F.col("k")).where(F.col("eid") < bound).select(F.col("eid").alias("eid1"), F.col(key_a).alias("at"), far.alias("far")).orderBy("eid1").limit(limit)
+    met = b_side.join(F.broadcast(first), (F.col(key_b) == F.col("at")) & (F.col("eid1") < F.col("eid")))
+    met = met.where(F.col("far") != F.col(other)) if other else met
+    return met.select("eid1", F.col("eid").alias("eid2")).orderBy("eid1", "eid2").limit(limit)
+
+
 def reasoning_chains(edges: DataFrame, limit: int = 3) -> DataFrame:
-    """Pairs of edges i < j that chain (d1 = s2, 0.8), converge (d1 = d2, 0.6) or diverge (s1 = s2, 0.7); first rule wins.
-    Three equi-joins, so no pair is formed that no rule asks for."""
-    numbered = edges.select(F.concat_ws("|", "source", "relationship", "destination").alias("eid"), "source", "destination")
-    a, b = (numbered.select(*(F.col(c).alias(f"{c}{k}") for c in numbered.columns)) for k in (1, 2))
-    rule = lambda on, more, name, s: a.join(b, on & (F.col("eid1") < F.col("eid2")) & more).select("eid1", "eid2", F.lit(name).alias("kind"), F.lit(s).alias("strength"))
-    chain = rule(a.destination1 == b.source2, F.lit(True), "chain", 0.8)
-    meet = rule(a.destination1 == b.destination2, F.col("source1") != F.col("source2"), "converge", 0.6).where("true")
-    part = rule(a.source1 == b.source2, F.col("destination1") != F.col("destination2"), "diverge", 0.7)
-    first = Window.partitionBy("eid1", "eid2").orderBy("o")
-    every = chain.withColumn("o", F.lit(1)).union(meet.withColumn("o", F.lit(2))).union(part.withColumn("o", F.lit(3)))
-    return every.withColumn("k", F.row_number().over(first)).where("k = 1").select("eid1", "eid2", "kind", "strength").orderBy(F.desc("strength"), "eid1", "eid2").limit(limit)
+    """Pairs of edges i < j that chain (d1 = s2, 0.8), converge (d1 = d2, 0.6) or diverge (s1 = s2, 0.7); first rule wins,
+    so loops, which chain with whatever they meet, are left to that rule. The rules' strengths are fixed: the first
+    ``limit`` pairs of each hold those of all."""
+    numbered = settled(edges.select(F.concat_ws("|", "source", "relationship", "destination").alias("eid"), "source", "destination"))
+    plain = numbered.where("source <> destination")
+    rules = [
+        (_first_pairs(numbered, numbered, "destination", "source", None, limit), "chain", 0.8),
+        (_first_pairs(numbered, plain, "destination", "destination", "source", limit), "converge", 0.6),
+        (_first_pairs(plain, numbered, "source", "source", "destination", limit), "diverge", 0.7),
+    ]
+    every = reduce(DataFrame.union, (pairs.select("eid1", "eid2", F.lit(name).alias("kind"), F.lit(strength).alias("strength")) for pairs, name, strength in rules))
+    return every.orderBy(F.desc("strength"), "eid1", "eid2").limit(limit)
+
+
+def fan_out(edges: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` edges a source, by weight, then relationship and destination: what a hop may follow."""
+    order = Window.partitionBy("source").orderBy(F.desc("weight"), "relationship", "destination")
+    return edges.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+
+
+def touching(edges: DataFrame, names: DataFrame) -> DataFrame:
+    """Edges with either end among ``names(name)``, whatever the case; each once."""
+    known = names.select(F.lower("name").alias("_known")).distinct()
+    at = lambda end: edges.join(known, F.lower(end) == F.col("_known"), "left_semi")
+    return at("source").union(at("destination")).distinct()
+
+
+def first_of_triples(edges: DataFrame, order: str) -> DataFrame:
+    """The first row of each triple by ``order``."""
+    one = edges.groupBy("source", "relationship", "destination").agg(F.min_by(F.struct(*(F.col(c) for c in edges.columns)), order).alias("e"))
+    return one.select("e.*")
+
+
+def roles(edges: DataFrame) -> DataFrame:
+    """(id, as_source, as_destination): the relationships an entity has at either end, sorted."""
+    one = lambda end, name: edges.groupBy(F.col(end).alias("id")).agg(F.array_sort(F.collect_set("relationship")).alias(name))
+    return one("source", "as_source").join(one("destination", "as_destination"), "id", "full")

@@ -16,8 +16,6 @@ from . import dsl
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 AS_OF = "1999-01-01 00:00:00"
-#: The sparse subgraph on which paths and components run: orders seen four times or more.
-SPARSE = 4
 CUSTOMER = "ent::CUSTOMER#1"
 
 
@@ -31,15 +29,14 @@ def query(sql: str | None = None):
     return add
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    strong = order_evidence(spark, sf_dir).where(F.col("weight") >= SPARSE)
-    return strong.select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("source"), F.lit("ORDERED_FROM").alias("relationship"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("destination"), "weight", "updated_at")
+def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_evidence(spark, sf_dir).select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("source"), F.lit("ORDERED_FROM").alias("relationship"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("destination"), "weight", "updated_at")
 
 
-SQL_SPARSE = f"""
-WITH RECURSIVE sparse AS (SELECT 'C' || o_custkey AS source, 'S' || l_suppkey AS destination, CAST(count(*) AS DOUBLE) AS weight, max(o_orderdate) AS updated_at
-    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2 HAVING count(*) >= {SPARSE}),
-near AS (SELECT a, b, min(weight) AS weight FROM (SELECT source AS a, destination AS b, weight FROM sparse UNION ALL SELECT destination, source, weight FROM sparse) GROUP BY 1, 2)
+SQL_ORDERED = """
+WITH RECURSIVE ordered AS (SELECT 'C' || o_custkey AS source, 'S' || l_suppkey AS destination, CAST(count(*) AS DOUBLE) AS weight, max(o_orderdate) AS updated_at
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2),
+near AS (SELECT a, b, min(weight) AS weight FROM (SELECT source AS a, destination AS b, weight FROM ordered UNION ALL SELECT destination, source, weight FROM ordered) GROUP BY 1, 2)
 """
 
 
@@ -132,78 +129,78 @@ def dsl_variable_length(spark, sf_dir):
 
 # --- expansion, paths, components
 
-_WALK = ", walk(id, hop) AS (SELECT min(source), 0 FROM sparse UNION SELECT b, hop + 1 FROM walk JOIN near ON a = id WHERE hop < {k}), seen AS (SELECT id, min(hop) AS hop FROM walk GROUP BY id) "
+_WALK = ", walk(id, hop) AS (SELECT min(source), 0 FROM ordered UNION SELECT b, hop + 1 FROM walk JOIN near ON a = id WHERE hop < {k}), seen AS (SELECT id, min(hop) AS hop FROM walk GROUP BY id) "
 
 
-@query(SQL_SPARSE + _WALK.format(k=4) + "SELECT id, CAST(hop AS INTEGER) AS hop FROM seen")
+@query(SQL_ORDERED + _WALK.format(k=4) + "SELECT id, CAST(hop AS INTEGER) AS hop FROM seen")
 def khop_nodes(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
+    edges = _ordered(spark, sf_dir)
     return graph.khop_nodes(edges, spark.createDataFrame([(_start(edges),)], "id string"), 4)
 
 
-@query(SQL_SPARSE + _WALK.format(k=2) + "SELECT source, 'ORDERED_FROM' AS relationship, destination, CAST(min(hop) + 1 AS INTEGER) AS hop FROM sparse JOIN seen ON id = source OR id = destination GROUP BY 1, 3")
+@query(SQL_ORDERED + _WALK.format(k=2) + "SELECT source, 'ORDERED_FROM' AS relationship, destination, CAST(min(hop) + 1 AS INTEGER) AS hop FROM ordered JOIN seen ON id = source OR id = destination GROUP BY 1, 3")
 def khop_edges(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
+    edges = _ordered(spark, sf_dir)
     return graph.khop_edges(edges, spark.createDataFrame([(_start(edges),)], "id string"), 3)
 
 
-@query(SQL_SPARSE + _WALK.format(k=12) + "SELECT id, CAST(hop AS DOUBLE) AS dist FROM seen")
+@query(SQL_ORDERED + _WALK.format(k=12) + "SELECT id, CAST(hop AS DOUBLE) AS dist FROM seen")
 def shortest_path_len(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
+    edges = _ordered(spark, sf_dir)
     return graph.distances(edges, _start(edges), weighted=False).select("id", "dist")
 
 
 @query()
 def shortest_path_edges(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
+    edges = _ordered(spark, sf_dir)
     return graph.path_edges(graph.distances(edges, _start(edges)), edges)
 
 
-@query(SQL_SPARSE + ", walk(id, hop, dist) AS (SELECT min(source), 0, CAST(0 AS DOUBLE) FROM sparse UNION SELECT b, hop + 1, dist + weight FROM walk JOIN near ON a = id WHERE hop < 12) SELECT id, min(dist) AS dist FROM walk GROUP BY id")
+@query(SQL_ORDERED + ", walk(id, hop, dist) AS (SELECT min(source), 0, CAST(0 AS DOUBLE) FROM ordered UNION SELECT b, hop + 1, dist + weight FROM walk JOIN near ON a = id WHERE hop < 12) SELECT id, min(dist) AS dist FROM walk GROUP BY id")
 def weighted_distance(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
+    edges = _ordered(spark, sf_dir)
     return graph.distances(edges, _start(edges)).select("id", "dist")
 
 
 _LABELS = ", reach(id, to_) AS (SELECT a, a FROM near UNION SELECT id, b FROM reach JOIN near ON a = to_), comp AS (SELECT id, min(to_) AS cluster_id FROM reach GROUP BY id) "
 
 
-@query(SQL_SPARSE + _LABELS + "SELECT id, cluster_id FROM comp")
+@query(SQL_ORDERED + _LABELS + "SELECT id, cluster_id FROM comp")
 def connected_components(spark, sf_dir):
-    return graph.components(_sparse(spark, sf_dir))
+    return graph.components(_ordered(spark, sf_dir))
 
 
-@query(SQL_SPARSE + _LABELS + ", sizes AS (SELECT cluster_id, count(*) AS nodes FROM comp GROUP BY 1), links AS (SELECT cluster_id, 2 * count(*) AS connections FROM sparse JOIN comp ON id = source GROUP BY 1) SELECT cluster_id, nodes, CAST(connections AS BIGINT) AS connections FROM sizes JOIN links USING (cluster_id)")
+@query(SQL_ORDERED + _LABELS + ", sizes AS (SELECT cluster_id, count(*) AS nodes FROM comp GROUP BY 1), links AS (SELECT cluster_id, 2 * count(*) AS connections FROM ordered JOIN comp ON id = source GROUP BY 1) SELECT cluster_id, nodes, CAST(connections AS BIGINT) AS connections FROM sizes JOIN links USING (cluster_id)")
 def component_sizes(spark, sf_dir):
-    return graph.component_sizes(_sparse(spark, sf_dir))
+    return graph.component_sizes(_ordered(spark, sf_dir))
 
 
 _RECENCY = f"coalesce(CASE WHEN updated_at <= TIMESTAMP '{AS_OF}' THEN 1 / (1 + floor((epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(updated_at)) / 86400000000.0) / 7) END, 0)"
 
 
-@query(SQL_SPARSE + f""", deg AS (SELECT a AS id, least(0.3, ln(1 + least(count(*), 200)) / 20) AS penalty FROM near GROUP BY a),
-best AS (SELECT destination AS neighbor, max(0.5 + 0.3 * weight + 0.2 * {_RECENCY}) AS s FROM sparse WHERE source = (SELECT min(source) FROM sparse) GROUP BY 1)
+@query(SQL_ORDERED + f""", deg AS (SELECT a AS id, least(0.3, ln(1 + least(count(*), 200)) / 20) AS penalty FROM near GROUP BY a),
+best AS (SELECT destination AS neighbor, max(0.5 + 0.3 * weight + 0.2 * {_RECENCY}) AS s FROM ordered WHERE source = (SELECT min(source) FROM ordered) GROUP BY 1)
 SELECT neighbor, round(s - penalty, 6) AS score FROM best JOIN deg ON id = neighbor ORDER BY s - penalty DESC, neighbor LIMIT 10""")
 def ranked_neighbors(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
+    edges = _ordered(spark, sf_dir)
     return graph.ranked_neighbors(edges, _start(edges), F.lit(AS_OF).cast("timestamp")).select("neighbor", F.round("score", 6).alias("score"))
 
 
-@query(SQL_SPARSE + f""", deg AS (SELECT a AS id, least(0.3, ln(1 + least(count(*), 200)) / 20) AS penalty FROM near GROUP BY a),
-steps AS (SELECT x.f, x.t, greatest(0, 0.65 + 0.2 * least(1, weight) + 0.15 * {_RECENCY} - penalty) AS gain FROM (SELECT source AS f, destination AS t, weight, updated_at FROM sparse UNION ALL SELECT destination, source, weight, updated_at FROM sparse) x JOIN deg ON id = t),
-one AS (SELECT t AS id, max(gain) AS g FROM steps WHERE f = (SELECT min(source) FROM sparse) GROUP BY 1), two AS (SELECT t AS id, max(g + gain) AS g FROM one JOIN steps ON f = one.id GROUP BY 1)
+@query(SQL_ORDERED + f""", deg AS (SELECT a AS id, least(0.3, ln(1 + least(count(*), 200)) / 20) AS penalty FROM near GROUP BY a),
+steps AS (SELECT x.f, x.t, greatest(0, 0.65 + 0.2 * least(1, weight) + 0.15 * {_RECENCY} - penalty) AS gain FROM (SELECT source AS f, destination AS t, weight, updated_at FROM ordered UNION ALL SELECT destination, source, weight, updated_at FROM ordered) x JOIN deg ON id = t),
+one AS (SELECT t AS id, max(gain) AS g FROM steps WHERE f = (SELECT min(source) FROM ordered) GROUP BY 1), two AS (SELECT t AS id, max(g + gain) AS g FROM one JOIN steps ON f = one.id GROUP BY 1)
 SELECT id, round(g, 6) AS score FROM two ORDER BY g DESC, id LIMIT 10""")
 def traverse_chain(spark, sf_dir):
-    edges = _sparse(spark, sf_dir)
+    edges = _ordered(spark, sf_dir)
     return graph.traverse_chain(edges, _start(edges), ["ORDERED", "ORDERED_FROM"], F.lit(AS_OF).cast("timestamp")).select("id", F.round("score", 6).alias("score"))
 
 
-@query(SQL_SPARSE + """, e AS (SELECT source || '|ORDERED_FROM|' || destination AS eid, source, destination FROM sparse)
+@query(SQL_ORDERED + """, e AS (SELECT source || '|ORDERED_FROM|' || destination AS eid, source, destination FROM ordered)
 SELECT x.eid AS eid1, y.eid AS eid2, CASE WHEN x.destination = y.source THEN 'chain' WHEN x.destination = y.destination THEN 'converge' ELSE 'diverge' END AS kind,
 CASE WHEN x.destination = y.source THEN 0.8 WHEN x.destination = y.destination THEN 0.6 ELSE 0.7 END::DOUBLE AS strength
 FROM e x JOIN e y ON x.eid < y.eid AND (x.destination = y.source OR (x.destination = y.destination AND x.source <> y.source) OR (x.source = y.source AND x.destination <> y.destination)) ORDER BY 4 DESC, 1, 2 LIMIT 50""")
 def reasoning_chains(spark, sf_dir):
-    return graph.reasoning_chains(_sparse(spark, sf_dir), limit=50)
+    return graph.reasoning_chains(_ordered(spark, sf_dir), limit=50)
 
 
 # --- vectors
@@ -211,11 +208,11 @@ def reasoning_chains(spark, sf_dir):
 
 def _probe(spark, sf_dir, where="true"):
     vectors = table(spark, sf_dir, "embeddings").where(where).select("vec_id", "embedding")
-    return vectors, vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
+    return vectors, vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"))
 
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE)))"
-_TOP = "WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE {where}), s AS (SELECT q.vec_id AS qid, v.vec_id AS vec_id, {score} AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score {way}, vec_id) AS rank FROM s) SELECT qid, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"
+_TOP = "WITH v AS (SELECT vec_id, embedding FROM embeddings WHERE {where}), s AS (SELECT q.vec_id AS qid, v.vec_id AS vec_id, {score} AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score {way}, vec_id) AS rank FROM s) SELECT qid, vec_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10"
 _AB = _DOT.format(a="q.embedding", b="v.embedding")
 _COS = f"{_AB} / (sqrt({_DOT.format(a='q.embedding', b='q.embedding')}) * sqrt({_DOT.format(a='v.embedding', b='v.embedding')}))"
 
@@ -244,7 +241,7 @@ def vector_topk_filtered(spark, sf_dir):
     return _top(spark, sf_dir, "cosine", "label in (1, 2)")
 
 
-@query(f"WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS vec_id, {_COS} AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS k FROM s) SELECT qid, CASE WHEN score >= 0.38 THEN vec_id END AS \"into\", round(score, 6) AS score FROM r WHERE k = 1")
+@query(f"WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS vec_id, {_COS} AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS k FROM s) SELECT qid, CASE WHEN score >= 0.38 THEN vec_id END AS \"into\", round(score, 6) AS score FROM r WHERE k = 1")
 def vector_nn_dedupe(spark, sf_dir):
     return vector.nearest_merge(*_probe(spark, sf_dir), 0.38).withColumn("score", F.round("score", 6))
 
@@ -257,12 +254,12 @@ def normalize_pad(spark, sf_dir):
 
 # --- ranking
 
-_FEATURES = "SELECT l_orderkey, l_linenumber, l_discount * 10 AS sim, l_linenumber % 4 AS overlap, l_returnflag <> 'R' AS timed, l_tax * 2 AS evidence, l_quantity / 50 AS lexical FROM lineitem WHERE l_shipdate IS NOT NULL"
+_FEATURES = "SELECT l_orderkey, l_linenumber, l_discount * 10 AS sim, l_linenumber % 4 AS overlap, l_returnflag <> 'R' AS timed, l_tax * 2 AS evidence, l_quantity / 50 AS lexical FROM lineitem"
 
 
 @query(f"WITH f AS ({_FEATURES}) SELECT l_orderkey, l_linenumber, round(0.6 * sim + 0.2 * least(1.0, overlap / 3.0) + 0.15 * CASE WHEN timed THEN 0.5 ELSE 0 END + 0.05 * least(1.0, evidence) + 0.2 * lexical, 6) AS score FROM f")
 def hybrid_score(spark, sf_dir):
-    f = table(spark, sf_dir, "lineitem").where("l_shipdate is not null")
+    f = table(spark, sf_dir, "lineitem")
     score = scoring.hybrid(F.col("l_discount") * 10, F.col("l_linenumber") % 4, F.col("l_returnflag") != "R", F.col("l_tax") * 2, F.col("l_quantity") / 50)
     return f.select("l_orderkey", "l_linenumber", F.round(score, 6).alias("score"))
 
@@ -298,10 +295,10 @@ def eval_acc_mrr(spark, sf_dir):
 # --- text
 
 
-@query("SELECT conv_id, turn, CAST(len(list_distinct(regexp_extract_all(text, '\\b([A-Z][a-zA-Z0-9_\\-]+)\\b', 1))) AS INTEGER) AS n FROM conversations WHERE strlen(text) = length(text)")
+@query()
 def entity_extract(spark, sf_dir):
-    found = _turns(spark, sf_dir).where("octet_length(text) = char_length(text)")
-    return found.select("conv_id", "turn", F.size(F.array_distinct(text.entities(F.col("text")))).alias("n"))
+    """The dialects differ on words that touch other letters than ASCII ones, so this is tested against Python."""
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.size(F.array_distinct(text.entities(F.coalesce("text", F.lit(""))))).alias("n"))
 
 
 @query("SELECT md5(coalesce(text, '')) AS hash, count(*) AS copies, min(doc_id) AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -319,29 +316,28 @@ def time_tags(spark, sf_dir):
     return told.select("o_orderkey", text.time_window(F.col("x")).alias("span"), text.date_literal(F.col("x")).alias("day"))
 
 
-@query("SELECT p_partkey, upper(trim(p_brand)) AS s, upper(trim(p_name)) AS d FROM (SELECT p_partkey, regexp_replace(p_brand, '[^A-Za-z0-9_ ]', '', 'g') AS p_brand, regexp_replace(p_name, '[^A-Za-z0-9_ ]', '', 'g') AS p_name FROM part) WHERE length(trim(p_brand)) BETWEEN 1 AND 50 AND length(trim(p_name)) BETWEEN 1 AND 50")
+@query("SELECT p_partkey, upper(replace(p_brand, '#', '')) AS s, CASE WHEN p_partkey % 2 = 0 THEN 'LIKES' ELSE 'WORKS_AT' END AS r, upper(p_name) AS d FROM part")
 def triplet_parse(spark, sf_dir):
-    line = F.concat(F.col("p_brand"), F.when(F.col("p_partkey") % 2 == 0, " -- likes -- ").otherwise(" — likes - "), F.col("p_name"))
+    line = F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.when(F.col("p_partkey") % 2 == 0, " -- likes -- ").otherwise(" — Works at - "), F.col("p_name"))
     found = table(spark, sf_dir, "part").select("p_partkey", text.triplet(line).alias("t")).where("t is not null")
-    return found.where(text.canonical_relation(F.col("t.rel")) == "LIKES").select("p_partkey", F.col("t.src").alias("s"), F.col("t.dst").alias("d"))
+    return found.select("p_partkey", F.col("t.src").alias("s"), text.canonical_relation(F.col("t.rel")).alias("r"), F.col("t.dst").alias("d"))
 
 
 def _words(spark, sf_dir):
-    return style.words(_turns(spark, sf_dir)).where("char_length(word) between 2 and 12").groupBy("word").agg(F.count("*").alias("n"))
+    return style.words(_turns(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("n"))
 
 
 _SQL_WORDS = "w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM conversations) GROUP BY 1)"
 
 
-@query(f"WITH {_SQL_WORDS} SELECT x.word AS a, y.word AS b FROM w x JOIN w y ON x.word < y.word AND abs(length(x.word) - length(y.word)) <= 1 WHERE x.n >= 5 AND y.n >= 5 AND length(x.word) BETWEEN 2 AND 12 AND length(y.word) BETWEEN 2 AND 12 AND levenshtein(x.word, y.word) <= 1")
+@query(f"WITH {_SQL_WORDS} SELECT x.word AS a, y.word AS b FROM w x JOIN w y ON x.word < y.word AND abs(length(x.word) - length(y.word)) <= 1 WHERE levenshtein(x.word, y.word) <= 1")
 def edit_distance_pairs(spark, sf_dir):
-    return style.edit_pairs(_words(spark, sf_dir).where("n >= 5"))
+    return style.edit_pairs(_words(spark, sf_dir))
 
 
 @query()
 def elongation_groups(spark, sf_dir):
-    every = style.words(_turns(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("n"))
-    return style.elongation_groups(every).where("variants > 1")
+    return style.elongation_groups(_words(spark, sf_dir)).where("variants > 1")
 
 
 # --- history
@@ -377,12 +373,12 @@ def merge_entities(spark, sf_dir):
 # --- style
 
 
-@query("WITH w AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM conversations), g AS (SELECT w[i] || ' ' || w[i + 1] AS gram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w)) SELECT gram, count(*) AS n FROM g GROUP BY 1")
+@query("WITH w AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM conversations), g AS (SELECT w[i] || ' ' || w[i + 1] AS gram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w) UNION ALL SELECT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w)) SELECT gram, count(*) AS n FROM g GROUP BY 1")
 def ngram_counts(spark, sf_dir):
-    return style.ngrams(_turns(spark, sf_dir), 2)
+    return style.ngrams(_turns(spark, sf_dir), 2).union(style.ngrams(_turns(spark, sf_dir), 3))
 
 
-@query(f"WITH {_SQL_WORDS}, s AS (SELECT substr(word, 1, 1) AS letter, word, n, round(100.0 * n / sum(n) OVER (PARTITION BY substr(word, 1, 1)), 4) AS pct, row_number() OVER (PARTITION BY substr(word, 1, 1) ORDER BY n DESC, word) AS rank FROM w WHERE length(word) BETWEEN 2 AND 12) SELECT letter, word, n, pct, CAST(rank AS INTEGER) AS rank FROM s WHERE rank <= 5")
+@query(f"WITH {_SQL_WORDS}, s AS (SELECT substr(word, 1, 1) AS letter, word, n, round(100.0 * n / sum(n) OVER (PARTITION BY substr(word, 1, 1)), 4) AS pct, row_number() OVER (PARTITION BY substr(word, 1, 1) ORDER BY n DESC, word) AS rank FROM w) SELECT letter, word, n, pct, CAST(rank AS INTEGER) AS rank FROM s WHERE rank <= 5")
 def phrase_shares_topn(spark, sf_dir):
     return style.shares(_words(spark, sf_dir).select(F.substring("word", 1, 1).alias("letter"), "word", "n"), "letter", "word", "n", 5)
 
@@ -398,10 +394,23 @@ def last_n_messages(spark, sf_dir):
     return style.last_messages(_turns(spark, sf_dir), 2).select("conv_id", "turn", "role", "back")
 
 
-@query("SELECT conv_id, turn, CAST(len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> '')) AS INTEGER) AS n_tokens, CAST(length(coalesce(text, '')) - length(replace(coalesce(text, ''), ',', '')) AS INTEGER) AS commas FROM conversations WHERE strlen(text) = length(text)")
+_SQL_COUNT = "CAST(len(regexp_extract_all(t, '{p}')) AS INTEGER) AS {n}"
+_MARKS = {"commas": ",", "semicolons": ";", "colons": ":", "dashes": "[-—]", "curly_quotes": "[“”‘’]", "ellipses": "\\.{3}|…", "multi_exclaim": "!{2,}", "multi_ask": "\\?{2,}", "mixed_marks": "(?:!\\?|\\?!)+", "emojis": "[\\x{1F300}-\\x{1FAFF}\\x{2600}-\\x{27BF}\\x{1F1E6}-\\x{1F1FF}]", "links": "(?i)https?://\\S+|www\\.\\S+", "handles": "[@#]\\w+"}
+_CASED = {"all_caps": "^[A-Z]{2,}$", "title": "^[A-Z][a-z]+$", "lower_case": "^[a-z]{2,}$"}
+_SQL_TURNS = "t AS (SELECT conv_id, turn, coalesce(text, '') AS t, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) AS folded, list_filter(string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '(?i)https?://\\S+|www\\.\\S+', ' ', 'g'), '[@#]\\w+', ' ', 'g'), '\\s+'), lambda x: x <> '') AS w FROM conversations), f AS (SELECT *, list_transform(w, lambda x: regexp_replace(x, '[^A-Za-z]', '', 'g')) AS bare, greatest(1, len(regexp_extract_all(folded, '[.!?…] ')) + 1) AS s FROM t)"
+
+
+@query(f"WITH {_SQL_TURNS} SELECT conv_id, turn, CAST(len(w) AS INTEGER) AS n_tokens, CAST(s AS INTEGER) AS n_sentences, round(len(w)::DOUBLE / s, 6) AS words_per_sentence, round((len(regexp_extract_all(folded, '\\. ')) + CASE WHEN folded LIKE '%.' THEN 1 ELSE 0 END)::DOUBLE / s, 6) AS stating, {', '.join(_SQL_COUNT.format(p=p, n=n) for n, p in _MARKS.items())}, {', '.join(f'CAST(len(list_filter(bare, lambda x: regexp_matches(x, {chr(39)}{p}{chr(39)}))) AS INTEGER) AS {n}' for n, p in _CASED.items())} FROM f")
 def message_features(spark, sf_dir):
-    turns = _turns(spark, sf_dir).where("octet_length(text) = char_length(text)")
-    return turns.select("conv_id", "turn", *text.message_features(F.col("text"))).select("conv_id", "turn", "n_tokens", "commas")
+    found = _turns(spark, sf_dir).select("conv_id", "turn", *text.message_features(F.col("text")))
+    return found.select("conv_id", "turn", "n_tokens", "n_sentences", "words_per_sentence", "stating", *_MARKS, *_CASED)
+
+
+@query()
+def message_marks(spark, sf_dir):
+    """The features that need what the other dialect's patterns lack; tested against Python."""
+    found = _turns(spark, sf_dir).select("conv_id", "turn", *text.message_features(F.col("text")))
+    return found.select("conv_id", "turn", "with_oxford", "without_oxford", "oxford_ratio", "low_starts", "small_i", "elongated", "repeats", "keysmashes")
 
 
 @query()
@@ -449,17 +458,16 @@ def alias_resolve(spark, sf_dir):
     return lifecycle.resolve_aliases(supplier.select(F.col("s_name").alias("entity")), aliases)
 
 
-@query("WITH e AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(text, '\\b([A-Z][a-zA-Z0-9_\\-]+)\\b', 1))) AS entity FROM conversations WHERE strlen(text) = length(text)) SELECT lower(entity) AS entity, count(DISTINCT (conv_id, turn)) AS memories, min(conv_id) AS first_conv FROM e GROUP BY 1")
+@query()
 def entity_index_join(spark, sf_dir):
-    index = lifecycle.entity_index(_turns(spark, sf_dir).where("octet_length(text) = char_length(text)"), ["conv_id", "turn"], text.entities(F.col("text")))
+    index = lifecycle.entity_index(_turns(spark, sf_dir), ["conv_id", "turn"], text.entities(F.col("text")))
     folded = index.select("conv_id", "turn", F.lower("entity").alias("entity")).distinct()
     return folded.groupBy("entity").agg(F.count("*").alias("memories"), F.min("conv_id").alias("first_conv"))
 
 
-@query("SELECT conv_id, turn FROM conversations WHERE strlen(text) = length(text) AND (contains(lower(text), 'ing') OR contains(lower(text), 'the'))")
+@query("SELECT conv_id, turn FROM conversations WHERE contains(lower(text), 'ing') OR contains(lower(text), 'the')")
 def delete_by_query_candidates(spark, sf_dir):
-    turns = _turns(spark, sf_dir).where("octet_length(text) = char_length(text)")
-    return lifecycle.delete_candidates(turns, "ing of The").select("conv_id", "turn")
+    return lifecycle.delete_candidates(_turns(spark, sf_dir), "ing of The").select("conv_id", "turn")
 
 
 @query(f"WITH {_SQL_HITS} SELECT conv_id, turn, category, n FROM hits")
@@ -482,3 +490,6 @@ def emotion_distribution(spark, sf_dir):
 def blueprint_normalized(spark, sf_dir):
     turns = _turns(spark, sf_dir)
     return style.blueprint(style.lexicon_hits(turns, _LEXICON), turns)
+
+
+from . import memory_queries  # noqa: E402, F401 - they register themselves here
