@@ -80,4 +80,41 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
 }
-SQL: dict[str, str] = {}
+_LOW = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NAMES = "sha256(coalesce(array_to_string(items, ','), ''))"
+_ESCAPED = "len(regexp_extract_all(text, '<\\\\*(/?s>|\\|[a-z_]+\\|>|/?SYS>>)')) + len(regexp_extract_all(text, '\\[\\\\*/?INST\\]'))"
+_TURNS = "coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, sha256(text)), '')"
+_LOSS = "string_agg(text, '' ORDER BY turn, role, sha256(text)) FILTER (WHERE role = 'assistant')"
+
+#: What DuckDB can say of the operators. It has no XXH64 (op10), no merge folds (op5) and no training (op6, op9); op3's
+#: method reads the whole corpus. Those are tested against brute force.
+SQL: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS h FROM pages), t AS (SELECT h, max(page_id) AS top, count(*) AS c FROM p WHERE n >= 1000 GROUP BY 1)
+SELECT page_id, n AS payload_bytes, p.h AS payload_digest, CASE WHEN c > 1 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN c > 1 AND page_id <> top THEN top END AS refers_to FROM p LEFT JOIN t ON p.h = t.h AND n >= 1000""",
+    "op2_decontamination": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOW.format(c="coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOW.format(c="coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(10, len(w)) AS k, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT k FROM win),
+spot AS (SELECT doc_id, k, i, array_to_string(w[i : i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, sizes WHERE len(w) >= k)),
+met AS (SELECT doc_id, spot.k AS k, i, item_id FROM spot JOIN win ON spot.g = win.g AND spot.k = win.k),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM met) GROUP BY 1),
+found AS (SELECT doc_id, list(DISTINCT CAST(item_id AS VARCHAR) ORDER BY CAST(item_id AS VARCHAR)) AS items FROM met GROUP BY 1)
+SELECT d.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, {_NAMES} AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN found ON d.doc_id = found.doc_id""",
+    "op4_chat": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256({_TURNS}) AS turns_sha256, CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars, sha256(coalesce({_LOSS}, '')) AS loss_sha256, CAST(sum(length('<|im_start|>') + length(role) + 1 + length(text) + {_ESCAPED} + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars FROM c GROUP BY 1""",
+    "op7_covertree": """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS n FROM v),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.n > 0 AND b.n > 0 WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.93),
+reach(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.x, l.y FROM reach JOIN l ON reach.y = l.x),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM reach GROUP BY 1), n AS (SELECT x AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)""",
+    "op8_line_dedup": f"""
+WITH p AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM p),
+k AS (SELECT doc_id, i, line, {_LOW.format(c="regexp_replace(line, '^[ \\x09-\\x0D]+|[ \\x09-\\x0D]+$', '', 'g')")} AS key FROM l),
+many AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+j AS (SELECT doc_id, i, line, top IS NULL OR doc_id = top AS stays FROM k LEFT JOIN many USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '')) AS kept_sha256 FROM j GROUP BY 1""",
+}

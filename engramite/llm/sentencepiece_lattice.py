@@ -443,7 +443,7 @@ def encode(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: st
             own, size, miss = found.of(coded.dictionary, hole)
             n = size[at]
             ids = _spread(own, (np.cumsum(size, dtype=np.int32) - size)[at], n)
-            packed = [zstandard.compress(ids[i:j].tobytes(), 3) for i, j in pairwise(np.concatenate([[0], np.cumsum(n)])[bounds].tolist())]
+            packed = [zstandard.compress(ids[i:j].tobytes(), 6) for i, j in pairwise(np.concatenate([[0], np.cumsum(n)])[bounds].tolist())]
             gaps = np.nonzero(miss[at])[0]
             rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(gaps, bounds).astype(np.int32)), coded.dictionary.take(pa.array(at[gaps])))
             shas = [hashlib.sha256((t or "").replace(SPACE, " ").encode()).digest() for t in b.column(2).to_pylist()]
