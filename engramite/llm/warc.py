@@ -100,6 +100,7 @@ class _Stream:
 
     def __init__(self, raw, piece: int = 1 << 18):
         self.raw, self.piece, self.z, self.have, self.left = raw, piece, zlib.decompressobj(31), b"", b""
+        self.inside = False  # a member has begun and not ended
 
     def more(self) -> bool:
         if self.z.eof:
@@ -108,7 +109,7 @@ class _Stream:
         if not source:
             return False
         got = self.z.decompress(source, self.piece)
-        self.left = self.z.unconsumed_tail
+        self.left, self.inside = self.z.unconsumed_tail, not self.z.eof
         self.have += got
         return True
 
@@ -131,14 +132,16 @@ CHUNKS = "page_id long, record_type string, refers_to long, chunk_no long, chunk
 
 def read(manifest: DataFrame, size: int = CHUNK, data: bool = False) -> DataFrame:
     """Chunk rows of the archives: ``CHUNKS``, and ``data`` if asked for. ``bytes_so_far`` and ``sha1_so_far`` run over the
-    payload up to the chunk; ``payload_bytes`` and ``payload_digest`` are what the record's header declares."""
+    payload up to the chunk; ``payload_bytes`` and ``payload_digest`` are what the record's header declares. An archive that
+    ends early, or holds another number of records than the manifest's ``n_records``, is an error."""
     names = [x.split()[0] for x in CHUNKS.split(", ")] + ["data"] * data
     kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string()] + [pa.binary()] * data
     schema = pa.schema(list(zip(names, kinds, strict=True)))
     number = lambda urn: None if urn is None or urn.endswith(":none>") else int(urn[len("<urn:page:") : -1])
 
-    def rows(path):
+    def rows(path, records):
         store, at = pafs.FileSystem.from_uri(path)
+        n = 0
         with store.open_input_stream(at, compression=None) as raw:
             s = _Stream(raw)
             while (head := s.until(b"\r\n\r\n")) is not None:
@@ -158,12 +161,15 @@ def read(manifest: DataFrame, size: int = CHUNK, data: bool = False) -> DataFram
                         break
                 if s.take(4) != b"\r\n\r\n":
                     raise ValueError(f"{path}: no end of record")
+                n += 1
+            if s.have or s.inside or records is not None and n != records:
+                raise ValueError(f"{path} is cut off: {n} whole records of {records}")
 
     def run(batches):
         for b in batches:
-            for path in b.column(0).to_pylist():
+            for path, records in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 held, weight = [], 0
-                for row in rows(path):
+                for row in rows(path, records):
                     held.append(row)
                     weight += 200 + row[4] * data
                     if weight > 8 << 20:
@@ -173,14 +179,17 @@ def read(manifest: DataFrame, size: int = CHUNK, data: bool = False) -> DataFram
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], schema=schema)
 
     # a task reads what one task wrote: dealing the few short paths anew would let them be merged into one task
-    return manifest.select("path").mapInArrow(sliced(run), CHUNKS + ", data binary" * data)
+    known = F.col("n_records") if "n_records" in manifest.columns else F.lit(None).cast("long").alias("n_records")
+    return manifest.select("path", known).mapInArrow(sliced(run), CHUNKS + ", data binary" * data)
 
 
 def archive(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", body_col: str = "html") -> DataFrame:
     """Writes ``pages`` and reads the archives back: ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``.
 
     A response's length and digest are those of the payload as read; a revisit, which stores none, has its header's.
-    Repeated rows are records each; an empty table gives no rows.
+    Repeated rows are records each, under the same record id; an empty table gives no rows; columns other than the three
+    are not read, whatever their names. A payload is a cell of the table when it is written, so its length and digest are
+    taken of the cell; from there on it travels in chunks.
     """
     folder = folder or shared_dir(pages.sparkSession, "warc")
     ends = read(write(records(pages, id_col, url_col, body_col), folder)).where("last")
