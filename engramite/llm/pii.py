@@ -21,8 +21,6 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = re.compile(r"[^\W\d_]{3,}")
 DIGITS = re.compile("[0-9]")
-#: Terms on either side of an entity that count as seen with it.
-NEAR = 3
 #: Disclosing terms up to which their set is broadcast (about 60 bytes each); beyond it documents meet them in a join.
 BROADCAST_TERMS = 500_000
 
@@ -56,14 +54,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(out, key=lambda x: (x[0], x[2]))]
 
 
-def _near(text: str, spans: list) -> set[tuple[str, str]]:
-    """(term, entity) of the terms next to each entity."""
-    seen = set()
+def _terms(text: str) -> set[str]:
+    """Lower-cased after they are split: a word whose lower case has another length stays one term."""
+    return {t.lower() for t in set(TERM.findall(text))}
+
+
+def _together(text: str, spans: list) -> dict[str, set[str]]:
+    """By entity, the terms on the lines that hold it; what entities are made of is no term."""
+    parts, at = [], 0
+    for s, e, _ in sorted(spans):
+        if e > at:
+            parts += [text[at:s], " " * (e - max(s, at))]
+            at = e
+    bare, lines, seen = "".join([*parts, text[at:]]), {}, {}
     for s, e, kind in spans:
+        start = text.rfind("\n", 0, s) + 1
+        if start not in lines:
+            end = text.find("\n", s)
+            lines[start] = _terms(bare[start : end if end >= 0 else len(bare)])
         entity = hashlib.blake2b(f"{kind}:{text[s:e]}".encode("utf-8", "replace"), digest_size=12).hexdigest()
-        seen.add((None, entity))
-        around = TERM.findall(text[max(0, s - 120) : s])[-NEAR:] + TERM.findall(text[e : e + 120])[:NEAR]
-        seen |= {(t.lower(), entity) for t in around}
+        seen[entity] = seen[entity] | lines[start] if entity in seen else lines[start]
     return seen
 
 
@@ -75,9 +85,13 @@ def _statistics(batches, most: int = 200_000):
         for text in b.column(0).to_pylist():
             text = text or ""
             seen[None, None] += 1
-            seen.update((t, None) for t in set(TERM.findall(text.lower())))
-            if spans := base_spans(text):
-                seen.update(_near(text, spans))
+            seen.update((t, None) for t in _terms(text))
+            for entity, terms in _together(text, base_spans(text)).items():
+                seen[None, entity] += 1
+                seen.update((t, entity) for t in terms)
+                if len(seen) > most:
+                    yield send(seen)
+                    seen = Counter()
             if len(seen) > most:
                 yield send(seen)
                 seen = Counter()
@@ -87,9 +101,10 @@ def _statistics(batches, most: int = 200_000):
 def disclosing_terms(docs: DataFrame, min_bits: float = 4.0, min_share: float = 0.5, min_docs: int = 2) -> DataFrame:
     """``(term, share)``: terms that reveal an entity.
 
-    Counted over all documents: in how many each term, each entity and each neighbouring pair occurs. A term discloses
-    an entity when they met in ``min_docs`` documents or more, the pair's pointwise information is ``min_bits`` or
-    more, and ``share``, the part of the term's documents in which the entity is next to it, is ``min_share`` or more.
+    Counted over all documents: in how many each term occurs, each entity, and each pair of them on one line. A term
+    discloses an entity when they met in ``min_docs`` documents or more, the pair's pointwise information is ``min_bits``
+    or more, and ``share``, the part of the term's documents in which it is on a line with the entity, is ``min_share`` or
+    more. An entity in more than 1 of 2 ** ``min_bits`` documents is disclosed by nothing.
     Counts are combined in the tasks before they shuffle, and written once to the shared folder for their four uses.
     """
     spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "counts")
@@ -139,7 +154,9 @@ FOUND = "doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """``FOUND``, one row per row of ``docs``, over whole texts; offsets are code points, ends exclusive.
 
-    Null and empty texts have no spans; null ids and repeated rows are answered row by row; an empty table gives no rows.
+    Null and empty texts have no spans; null ids and repeated rows are answered row by row; an empty table gives no rows;
+    very long texts are read whole, their pairs sent on an entity at a time; other columns are not read, whatever their
+    names.
     """
     rows = text_columns(docs, id_col, text_col).select("doc_id", text_key().alias("tkey"), "text")
     terms = disclosing_terms(rows).persist()
@@ -153,7 +170,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadc
             for b in batches:
                 ids, keys, out = [], [], []
                 for i, k, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    own = set(TERM.findall((text or "").lower()))
+                    own = _terms(text or "")
                     ids += [i] * len(own)
                     keys += [k] * len(own)
                     out += own
