@@ -10,7 +10,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -87,6 +87,25 @@ def text_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 
+#: Upper bits of a hashed id by which rows are counted before a sample is ranked.
+SLICE_BITS = 14
+
+
+def least_hashed(rows: DataFrame, label: str, most: int) -> DataFrame:
+    """Of ``rows(doc_id, label)``, of each label the ``most`` whose hashed id is least.
+
+    Counts by the hash's upper bits, combined in the tasks, tell below which bucket the wanted rows lie; only those are
+    ranked, so no task sees all rows of a label.
+    """
+    hashed = rows.withColumn("_h", F.xxhash64("doc_id")).withColumn("_slice", F.shiftright("_h", 64 - SLICE_BITS).cast("int"))
+    below = F.sum("n").over(Window.partitionBy(label).orderBy("_slice")) - F.col("n")  # 2 ** SLICE_BITS rows a label at most
+    counts = hashed.groupBy(label, "_slice").agg(F.count("*").alias("n")).withColumn("below", below)
+    last = counts.where(F.col("below") < most).groupBy(F.col(label).alias("_label")).agg(F.max("_slice").alias("_last"))  # a row a label
+    near = hashed.join(last, (F.col(label) == F.col("_label")) & (F.col("_slice") <= F.col("_last")))
+    ranked = near.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy("_h", "doc_id")))
+    return ranked.where(F.col("_k") <= most).select("doc_id", label)
+
+
 def text_key():
     """Second half of a row's key next to its id: rows that repeat an id with another text stay apart."""
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, sliced, text_columns
+from .common import batch, least_hashed, sliced, text_columns
 
 #: A run of letters; digits, underscores and the rest separate words.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -36,11 +36,12 @@ def profiles(labelled: DataFrame, lang_col: str = "lang", per_language: int = 40
     """``(lang, gram, rank)`` from ``labelled(doc_id, text, lang)``.
 
     Fitted on a bounded sample: of each language the ``per_language`` rows whose hashed id is least, whole texts.
-    The ids are chosen without their texts, each task keeping at most ``per_language`` rows a language.
+    The ids are chosen without their texts. Rows without a text, a language or an id teach nothing; of rows that repeat an
+    id in a language all are read; ties of rank go to the lesser gram; other columns may have any names; an empty table
+    gives no profile.
     """
     rows = labelled.select("doc_id", "text", F.col(lang_col).alias("lang")).where("lang is not null and text is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang").distinct()
+    chosen = least_hashed(rows.select("doc_id", "lang"), "lang", per_language).distinct()
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # at most per_language ids a language
 
     def count(batches):
@@ -99,7 +100,9 @@ def identify(docs: DataFrame, profile: DataFrame, id_col: str = "doc_id", text_c
 
 
 def keep_identified(docs: DataFrame, profile: DataFrame, text_col: str = "text", ranks: int = RANKS) -> DataFrame:
-    """Rows of ``docs``, all columns, except those that :func:`identify` answers with ``und``."""
+    """Rows of ``docs``, all columns, except those that :func:`identify` answers with ``und``: null texts and texts without
+    a letter, or all rows where there is no profile. Null ids and repeated rows stay like others; columns may have any
+    names."""
     scorer = Scorer([tuple(r) for r in profile.select("lang", "gram", "rank").collect()], ranks)
     at = docs.columns.index(text_col)
 

@@ -8,10 +8,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sliced, text_columns
+from .common import least_hashed, sliced, text_columns
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BITS = 20
@@ -19,8 +19,6 @@ BITS = 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 #: Bytes of a word's beginning that count as a word of their own, so inflected forms share evidence.
 STEMS = (5, 7)
-#: Upper bits of a hashed id by which labelled rows are counted before the sample is ranked.
-SLICE_BITS = 14
 
 
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
@@ -55,33 +53,18 @@ def fit(examples, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: f
     return at, w[at], bias
 
 
-def least_hashed(known: DataFrame, per_class: int) -> DataFrame:
-    """Of ``known(doc_id, label)``, of either label the ``per_class`` ids whose hash is least.
-
-    Counts by the hash's upper bits, combined in the tasks, tell below which bucket the wanted ids lie; only those rows
-    are ranked, so no task sees a whole class.
-    """
-    known = known.withColumn("h", F.xxhash64("doc_id")).withColumn("slice", F.shiftright("h", 64 - SLICE_BITS).cast("int"))
-    seen, last = {0: 0, 1: 0}, {0: None, 1: None}
-    for label, part, n in sorted(known.groupBy("label", "slice").count().collect()):  # 2 << SLICE_BITS rows at most
-        if seen[label] < per_class:
-            last[label] = part
-        seen[label] += n
-    near = known.where(" or ".join(f"label = {y} and slice <= {part}" for y, part in last.items() if part is not None) or "false")
-    ranked = near.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id")))
-    return ranked.where(F.col("k") <= per_class).select("doc_id", "label")
-
-
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 5000, bits: int = BITS) -> dict:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, label)``.
 
     Fitted on a bounded sample, whole texts: of either class the ``per_class`` labelled rows whose hashed id is least.
     The ids are chosen before any text is read; the examples, each a set of slots, meet in one task of that bound.
-    Null labels, other labels than 0 and 1, and labelled ids without a document are left out.
+    Ids are integers of any width. Null labels, other labels than 0 and 1, and labelled ids without a document are left
+    out; an id labelled both ways counts as 1; of rows that repeat an id all are read; very long texts are read whole,
+    their features each once; other columns may have any names.
     """
-    known = labels.select("doc_id", F.col(f"`{label_col}`").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    chosen = least_hashed(known, per_class)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # 2 * per_class ids at most
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
+    chosen = least_hashed(known, "label", per_class)
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")  # 2 * per_class ids at most
 
     def slots(batches):
         for b in batches:
