@@ -100,7 +100,7 @@ def _bitmaps(batches):
 def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """``(doc_id, tkey, keep)`` for documents that lose a line; ``keep`` is a deflated bitmap of their lines.
 
-    A line's key is the line stripped of ASCII blanks and lower-cased in A-Z. Keys of ``min_chars`` code points or more
+    Ids must be integers: the largest one keeps a line. A line's key is the line stripped of ASCII blanks and lower-cased in A-Z. Keys of ``min_chars`` code points or more
     found in ``min_docs`` documents or more lose every line but those of the largest id. Null ids neither count nor
     lose lines; null and empty texts have one empty line; repeated rows of one id count as one document; an empty table
     gives no rows. Equal (hash, id) always share a range, so a hash of a third of all rows spreads over many tasks; the
