@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import reduce
 
@@ -9,14 +10,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """Lineage cut at the session's reliable checkpoint folder; one of our own only where none is set."""
-    sc = df.sparkSession.sparkContext
+def shared_base(spark) -> str:
+    """The session's reliable checkpoint folder; one of our own only in local mode where none is set."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not shared and not sc.master.startswith("local"):
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.match(r"local(\[|$)", sc.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(shared or "file://" + tempfile.mkdtemp(prefix="engramite-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Lineage cut in the shared folder."""
+    shared_base(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

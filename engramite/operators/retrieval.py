@@ -100,3 +100,8 @@ def lsh_top_k(vectors: DataFrame, queries: DataFrame, k: int, bits: int = 4, tab
     scored = met.join(vectors.select("vec_id", "embedding"), "vec_id").join(queries.select("qid", "query"), "qid").select("qid", "vec_id", scoring.cosine(F.col("embedding"), F.col("query")).alias("score"))
     by = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def outcome(skipped, n_related, n_entities, n_payloads):
+    """How a graph-first search ends: the gate's reason, vector_fallback, no_entities, relations_only, or ranked."""
+    return F.coalesce(skipped, F.when((n_related == 0) & (n_entities > 0), "vector_fallback").when(n_related == 0, "no_entities").when(n_payloads == 0, "relations_only").otherwise("ranked"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ranking, scoring, talk, text
 from ..operators import graph, retrieval, store, vector
 from ..sources.star import SQL_EDGES, catalog, order_evidence, table
+from . import dsl
 from .registry import _COS, query
 
 # --- what a message asks for and says of its speaker
@@ -349,3 +350,20 @@ def dsl_similar(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     near = vector.top_k(v, v.where("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 50).where("score >= 0.2").select(F.col("vec_id").alias("s_suppkey"))
     return order_evidence(spark, sf_dir).join(near, "s_suppkey", "left_semi").select(F.col("c_custkey").alias("source"), F.col("s_suppkey").alias("destination"))
+
+
+@query(_SQL_ASKED + f", n AS (SELECT o_custkey, count(*) AS related, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS payloads FROM orders GROUP BY 1) SELECT c_custkey, CASE WHEN len({_SQL_WORDS}) <= 2 AND len(list_filter({_SQL_WORDS}, lambda w: NOT list_contains({_LIST(talk.FILLERS)}, w))) = 0 THEN 'greeting_filler' WHEN length(trim(x)) < 4 THEN 'too_short' WHEN related IS NULL AND x LIKE '%Customer%' THEN 'vector_fallback' WHEN related IS NULL THEN 'no_entities' WHEN payloads = 0 THEN 'relations_only' ELSE 'ranked' END AS status FROM a LEFT JOIN n ON c_custkey = o_custkey")
+def graph_first_search(spark, sf_dir):
+    n = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("related"), F.count_if(F.col("o_orderstatus") == "F").alias("payloads"))
+    met = _asked(spark, sf_dir).join(n, F.col("c_custkey") == F.col("o_custkey"), "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    known = F.when(F.col("x").contains("Customer"), 1).otherwise(0)
+    return met.select("c_custkey", retrieval.outcome(talk.gate(F.col("x")), zero("related"), known, zero("payloads")).alias("status"))
+
+
+@query(SQL_EDGES + "SELECT a.name AS a_name, a.id AS a_id, b.id AS b_id FROM edges JOIN nodes a ON source = a.id JOIN nodes b ON destination = b.id WHERE relationship = 'IN_NATION' AND a.label = 'SUPPLIER' AND b.id IN (SELECT 'ent::' || upper(n_name) FROM nation WHERE n_regionkey = 2)")
+def dsl_similar_nodes(spark, sf_dir):
+    """SIMILAR with a caller's search: here the nations of one region."""
+    c = catalog(spark, sf_dir)
+    search = lambda text_, k, least: table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.concat(F.lit("ent::"), F.upper("n_name")).alias("id"))
+    return dsl.compile_query("MATCH (a:SUPPLIER)-[:IN_NATION]->(b) WHERE SIMILAR(b, 'region two', 50, 0.2) RETURN a.name, a.id, b.id", c.nodes, c.node_props, c.edges, search)

@@ -433,13 +433,13 @@ def _stream(spark, sf_dir, name):
 
 @query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_events_window(spark, sf_dir):
-    return windows.drained(spark, windows.event_windows(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))).withColumn("total", F.round("total", 4))
+    return windows.drained(spark, windows.event_windows(_stream(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))), ["window_start", "event_type"]).withColumn("total", F.round("total", 4))
 
 
 @query("SELECT 'U' || user_id AS source, upper(event_type) AS relationship, json_extract_string(props, '$.k') AS destination, CAST(count(*) AS DOUBLE) AS weight FROM events GROUP BY 1, 2, 3")
 def stream_edges(spark, sf_dir):
     said = _stream(spark, sf_dir, "events").select(F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("source"), F.upper("event_type").alias("relationship"), F.get_json_object("props", "$.k").alias("destination"), F.lit(1.0).alias("weight"))
-    return windows.drained(spark, windows.evidence(said))
+    return windows.drained(spark, windows.evidence(said), ["source", "relationship", "destination"])
 
 
 # --- entity index, aliases, lexicons, blueprint

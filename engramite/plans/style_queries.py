@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import talk, text
 from ..operators import lifecycle, profile, style
 from ..sources.star import table
-from .registry import _CASED, _LEXICON, _MARKS, _SQL_HITS, _SQL_SAID, _SQL_TURNS, _SQL_WORDS, SQL, _turns, _words, query
+from ..streaming import windows
+from .registry import _CASED, _LEXICON, _MARKS, _SQL_HITS, _SQL_SAID, _SQL_TURNS, _SQL_WORDS, SQL, _stream, _turns, _words, query
 
 _SQL_BARE = "(SELECT conv_id, unnest(list_filter(bare, lambda x: regexp_matches(x, '{p}'))) AS phrase FROM f)"
 _SQL_GRAM = "(SELECT conv_id, w[i] || {more} AS phrase FROM (SELECT conv_id, w, unnest(range(1, len(w) - {n})) AS i FROM (SELECT conv_id, regexp_extract_all(lower(t), '[a-z]+') AS w FROM f)))"
@@ -135,3 +136,9 @@ def delete_by_query(spark, sf_dir):
 
 
 SQL["profile_lifetime"] = f"WITH {_SQL_TURNS} SELECT conv_id, {_SQL_SUMS}, CAST(sum(len(list_filter(bare, lambda x: regexp_matches(x, '{_CASED['all_caps']}')))) AS BIGINT) AS all_caps, round(coalesce(sum(len(w))::DOUBLE / nullif(sum(s), 0), 0), 6) AS mean_sentence FROM f GROUP BY 1"
+
+
+@query(SQL["profile_lifetime"])
+def stream_profile(spark, sf_dir):
+    """The profile kept up to date as messages stream by."""
+    return windows.drained(spark, style.lifetime(_stream(spark, sf_dir, "conversations")), ["conv_id"])

@@ -6,6 +6,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..operators.graph import shared_base
 
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -20,9 +23,18 @@ def evidence(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "relationship", "destination").agg(F.sum("weight").alias("weight"))
 
 
-def drained(spark: SparkSession, plan: DataFrame, mode: str = "complete") -> DataFrame:
-    """Runs a streaming plan over what its source holds now and returns the result table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = plan.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drained(spark: SparkSession, plan: DataFrame, keys: list[str]) -> DataFrame:
+    """Runs a streaming aggregate over what its source holds now and returns its rows, the last said of each of ``keys``.
+
+    The query writes what changed, batch by batch, as Parquet below the checkpoint folder, so nothing gathers in the
+    driver; a batch that is repeated overwrites its own rows."""
+    folder = f"{shared_base(spark).rstrip('/')}/drained-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.withColumn("_batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/part={n}")
+
+    query = plan.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(StructType([*plan.schema.fields, StructField("_batch", LongType())])).parquet(f"{folder}/rows") if query.lastProgress else spark.createDataFrame([], plan.schema).withColumn("_batch", F.lit(0).cast("long"))
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*(F.col(c) for c in plan.columns if c not in keys)), "_batch").alias("v"))
+    return last.select(*(c if c in keys else f"v.{c}" for c in plan.columns))
