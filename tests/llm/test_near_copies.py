@@ -2,6 +2,7 @@ import itertools
 import random
 
 import corpus_pipeline
+from engramite.llm import near_copies
 
 
 def _shingles(text):
@@ -30,3 +31,38 @@ def test_stage_drops_near_copies_with_changed_words(spark):
     kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert len(set(root)) < 40
     assert kept == set(root)
+
+
+def test_every_two_components_of_a_large_bucket_are_compared(spark):
+    rng = random.Random(11)
+    base = [rng.getrandbits(62) for _ in range(100)]
+    sets = []
+    for _ in range(12):  # families too far from each other, of which some members are near a neighbour's
+        family = base[:70] + [rng.getrandbits(62) for _ in range(30)]
+        sets += [sorted({*family[:k], *(rng.getrandbits(62) for _ in range(100 - k))}) for k in (100, 97, 92, 90, 88, 85)]
+    sets.append([])
+    keys = list(range(100, 100 + len(sets)))
+    near = [(a, b) for (a, s), (b, t) in itertools.combinations(zip(keys, map(set, sets), strict=True), 2) if len(s & t) >= 0.8 * len(s | t)]
+    root = {k: k for k in keys}
+    for a, b in near[::3]:  # what an earlier comparison found
+        a, b = sorted((root[a], root[b]))
+        root = {k: a if r == b else r for k, r in root.items()}
+    large = spark.createDataFrame([(0, 5, k, root[k]) for k in keys], "band int, value long, key long, root long")
+    held = spark.createDataFrame(list(zip(keys, sets, strict=True)), "key long, shingles array<long>")
+    for block in (7, 256):
+        found = near_copies.links_across(large, held, block).collect()
+        assert {(min(r), max(r)) for r in found} <= set(near)
+        joined, wanted = dict(root), dict(root)
+        for of, links in ((joined, found), (wanted, near)):
+            for u, v in links:
+                a, b = sorted((of[u], of[v]))
+                of.update({k: a for k, r in of.items() if r == b})
+        assert joined == wanted
+        assert len(set(wanted.values())) < len(set(root.values()))
+
+
+def test_a_settled_bucket_asks_nothing(spark):
+    large = spark.createDataFrame([(0, 5, k, 1) for k in range(1, 40)], "band int, value long, key long, root long")
+    held = spark.createDataFrame([(k, [k]) for k in range(1, 40)], "key long, shingles array<long>")
+    assert near_copies.links_across(large, held).count() == 0
+    assert near_copies.links_across(large.limit(0), held).count() == 0
