@@ -62,6 +62,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written as Parquet and read again, and its folder, which the caller drops once nothing reads it. As
+    :func:`cut`, but the shuffle files are gone: for steps that are many or large."""
+    path = shared_dir(df.sparkSession, name)
+    write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 #: Rows of an Arrow batch. JVM and Python each hold a batch whole, and Spark's 10,000 whole texts are tens of MB a task.
 BATCH_ROWS = 512
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import drop_dir, table
 
 
 def _star(directed: DataFrame) -> DataFrame:
@@ -22,15 +22,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     ``root`` is the least node reachable. Nodes without an edge to another node don't appear; null ends are
     ignored; an empty input gives an empty result. Each round is two map-side combined minima and joins, its result
-    written to the shared folder. No group is ever collected.
+    written to the shared folder, where it replaces the round's before. No group is ever collected.
     """
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    now, path = table(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "round")
     before = None
     for _ in range(max_rounds):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small = _star(large)
-        now = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        last = path
+        now, path = table(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "round")
+        drop_dir(now.sparkSession, last)
         sign = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if sign == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, sliced, text_columns
+from .common import batch, cut, drop_dir, sliced, table, text_columns
 from .components import connected_components
 from .simhash import keep_least
 
@@ -130,19 +130,22 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     keyed = classes.select("key", "n", F.posexplode("bands").alias("band", "value"))
     lead = [F.min(F.struct(F.xxhash64("key", F.lit(i)).alias("h"), "key", "n")).alias(f"l{i}") for i in range(LEADERS)]
     sized = keyed.groupBy("band", "value").agg(F.count("*").alias("members"), *lead).where("members > 1")
-    met = cut(keyed.join(sized, ["band", "value"]))
-    asked = cut(_candidates(met))
+    met, at_met = table(keyed.join(sized, ["band", "value"]), "met")
+    asked, at_asked = table(_candidates(met), "asked")
     large = met.where(F.col("members") > FEW).select("band", "value", "key")
-    ends = cut(asked.select(F.col("u").alias("end")).union(asked.select("v")).union(large.select("key")).distinct())
+    ends, at_ends = table(asked.select(F.col("u").alias("end")).union(asked.select("v")).union(large.select("key")).distinct(), "ends")
     rows = classes.join(ends, F.col("key") == F.col("end"), "left_semi").select(F.col("least").alias("_least"))
     found = _sets(read.join(rows, F.col("doc_id").eqNullSafe(F.col("_least")), "left_semi"), words)
-    sets = cut(found.join(ends, F.col("key") == F.col("end"), "left_semi").dropDuplicates(["key"]))
+    sets, at_sets = table(found.join(ends, F.col("key") == F.col("end"), "left_semi").dropDuplicates(["key"]), "sets")
     a, b = (sets.select(F.col("key").alias(e), F.col("shingles").alias(f"s{e}")) for e in "uv")
     both = asked.join(a, "u").join(b, "v").select("u", "v", F.size("su").alias("nu"), F.size("sv").alias("nv"), F.size(F.array_intersect("su", "sv")).alias("shared"))
     first = connected_components(both.where("5 * shared >= 4 * (nu + nv - shared)").select("u", "v"))
     rooted = large.join(first, F.col("key") == F.col("node"), "left").select("band", "value", "key", F.coalesce("root", "key").alias("root"))
-    rest = links_across(cut(rooted), sets)
+    rooted, at_rooted = table(rooted, "rooted")
+    rest = links_across(rooted, sets)
     reached = connected_components(first.select(F.col("node").alias("u"), F.col("root").alias("v")).union(rest))
+    for path in (at_met, at_asked, at_ends, at_sets, at_rooted):  # the components are settled and written
+        drop_dir(docs.sparkSession, path)
     named = classes.join(reached, classes.key == reached.node, "left").select("key", "least", F.coalesce("root", "key").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of = named.join(least, "root").select(F.col("key").alias("_key"), "component_id")
