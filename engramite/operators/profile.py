@@ -27,6 +27,31 @@ def phrase_bag(messages: DataFrame) -> DataFrame:
     return every.groupBy("conv_id", "label", "phrase").agg(F.count("*").alias("n"))
 
 
+def status(bag: DataFrame) -> DataFrame:
+    """One row a conversation of ``bag(conv_id, label, phrase, n)``: distinct phrases in all and of each label, how often
+    they were said, and the one said most (ties: the first label, then the first phrase)."""
+    of = [F.count_if(F.col("label") == x).alias(f"n_{x}") for x in ("bigram", "trigram", "caps", "title")]
+    most = F.min_by("phrase", F.struct(-F.col("n"), "label", "phrase")).alias("most_said")
+    return bag.groupBy("conv_id").agg(F.count("*").alias("phrases"), F.sum("n").alias("said"), *of, most)
+
+
+def prompt_text(bag: DataFrame, top: int = 3) -> DataFrame:
+    """(conv_id, prompt): a line for each label with its ``top`` phrases and how often they were said."""
+    place = F.row_number().over(Window.partitionBy("conv_id", "label").orderBy(F.desc("n"), "phrase"))
+    said = F.struct(F.col("k"), F.concat("phrase", F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("text"))
+    lines = bag.withColumn("k", place).where(F.col("k") <= top).groupBy("conv_id", "label").agg(F.array_sort(F.collect_list(said)).alias("said"))  # top at most
+    line = F.struct("label", F.concat("label", F.lit(": "), F.array_join("said.text", ", ")).alias("text"))
+    return lines.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_list(line))["text"], "\n").alias("prompt"))  # a line a label
+
+
+def mini_profiles(hits: DataFrame, by: list[str]) -> DataFrame:
+    """What is said of a topic under each condition: of ``hits(.., category, n)`` with one row a message and category, the
+    messages and words of each ``by``, and the share of the category in all words of the same other conditions."""
+    sums = hits.groupBy("category", *by).agg(F.count("*").alias("messages"), F.sum("n").alias("words"))
+    every = sums.groupBy(*by).agg(F.sum("words").alias("_all"))
+    return sums.join(every, by).select(*by, "category", "messages", "words", F.round(100.0 * F.col("words") / F.col("_all"), 4).alias("pct"))
+
+
 def merged_reports(messages: DataFrame, by: str) -> DataFrame:
     """Features summed over each ``by``, ratios taken of the sums."""
     f = messages.select(by, *text.message_features(F.col("text")))

@@ -19,6 +19,19 @@ def phrase_bag(spark, sf_dir):
     return profile.phrase_bag(_turns(spark, sf_dir))
 
 
+_SQL_BAG = f"({SQL['phrase_bag']}) AS bag"
+
+
+@query("SELECT conv_id, count(*) AS phrases, CAST(sum(n) AS BIGINT) AS said, " + ", ".join(f"count(*) FILTER (label = '{x}') AS n_{x}" for x in ("bigram", "trigram", "caps", "title")) + f", first(phrase ORDER BY n DESC, label, phrase) AS most_said FROM {_SQL_BAG} GROUP BY 1")
+def profile_status(spark, sf_dir):
+    return profile.status(profile.phrase_bag(_turns(spark, sf_dir)))
+
+
+@query(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, label ORDER BY n DESC, phrase) AS k FROM {_SQL_BAG}), l AS (SELECT conv_id, label, label || ': ' || string_agg(phrase || ' (' || n || ')', ', ' ORDER BY k) AS line FROM r WHERE k <= 3 GROUP BY 1, 2) SELECT conv_id, string_agg(line, chr(10) ORDER BY label) AS prompt FROM l GROUP BY 1")
+def profile_prompt(spark, sf_dir):
+    return profile.prompt_text(profile.phrase_bag(_turns(spark, sf_dir)))
+
+
 _SQL_SUMS = "count(*) AS messages, CAST(sum(len(w)) AS BIGINT) AS n_tokens, CAST(sum(s) AS BIGINT) AS n_sentences, CAST(sum(len(regexp_extract_all(t, ','))) AS BIGINT) AS commas, CAST(sum(len(list_filter(bare, lambda x: regexp_matches(x, '^[A-Z][a-z]+$')))) AS BIGINT) AS title, CAST(sum(len(list_filter(bare, lambda x: regexp_matches(x, '^[a-z]{2,}$')))) AS BIGINT) AS lower_case"
 
 
@@ -27,6 +40,12 @@ def merged_reports(spark, sf_dir):
     return profile.merged_reports(_turns(spark, sf_dir).withColumn("speaker", F.col("conv_id") % 7), "speaker")
 
 
+@query(f"WITH {_SQL_HITS}, s AS (SELECT conv_id % 7 AS speaker, CAST(floor(turn / 4) AS BIGINT) AS period, category, count(*) AS messages, CAST(sum(n) AS BIGINT) AS words FROM hits GROUP BY 1, 2, 3) SELECT *, round(100::DOUBLE * words / sum(words) OVER (PARTITION BY speaker, period), 4) AS pct FROM s")
+def mini_profiles(spark, sf_dir):
+    hits = style.lexicon_hits(_turns(spark, sf_dir), _LEXICON)
+    return profile.mini_profiles(hits.withColumn("speaker", F.col("conv_id") % 7).withColumn("period", F.floor(F.col("turn") / 4)), ["speaker", "period"])
+
+
 _SIGNALS = ["commas", "semicolons", "colons", "ellipses", "multi_exclaim", "handles", "links"]
 
 
