@@ -28,6 +28,13 @@ def updated(memories: DataFrame, changes: DataFrame) -> DataFrame:
     return said.select("memory_id", fold.alias("text"))
 
 
+def updated_by_query(memories: DataFrame, vectors: DataFrame, asked: DataFrame) -> DataFrame:
+    """:func:`updated` where each of ``asked(qid, query, text)`` changes the memory whose vector is nearest to its query;
+    several that meet in one memory are merged by ``qid``."""
+    best = vector.top_k(vectors, asked.select("qid", "query"), 1).select("qid", "vec_id")
+    return updated(memories, best.join(asked, "qid").select(F.col("vec_id").alias("memory_id"), F.col("qid").alias("seq"), "text"))
+
+
 def without(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
     """Every table of rows by ``memory_id`` without those of ``gone(memory_id)``: memories, edges, their properties,
     vectors and index entries go together."""

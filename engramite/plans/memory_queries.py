@@ -194,6 +194,16 @@ def memory_update(spark, sf_dir):
     return store.updated(none, said)
 
 
+@query(f"WITH s AS (SELECT q.vec_id AS qid, v.vec_id AS vec_id, {_COS} AS score FROM embeddings q JOIN embeddings v ON v.vec_id <> q.vec_id WHERE q.vec_id % 20 = 0 AND v.vec_id % 20 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS k FROM s), said AS (SELECT vec_id AS memory_id, -1 AS seq, ['s' || coalesce(CAST(label AS VARCHAR), ''), 'm' || vec_id % 7] AS w FROM embeddings WHERE vec_id % 20 <> 0 UNION ALL SELECT r.vec_id, qid, ['q' || qid % 5, 's' || coalesce(CAST(label AS VARCHAR), '')] FROM r JOIN embeddings e ON e.vec_id = qid WHERE k = 1), t AS (SELECT memory_id, seq, unnest(w) AS w, unnest([1, 2]) AS i FROM said), d AS (SELECT memory_id, w, min(10 * seq + i) AS first FROM t GROUP BY 1, 2) SELECT memory_id, string_agg(w, ' ' ORDER BY first) AS text FROM d GROUP BY 1")
+def memory_update_by_query(spark, sf_dir):
+    """Rows with ids divisible by 20 ask; the memories nearest to them among the others take their words."""
+    v = table(spark, sf_dir, "embeddings")
+    about = F.concat(F.lit("s"), F.coalesce(F.col("label").cast("string"), F.lit("")))
+    stored, new = v.where("vec_id % 20 <> 0"), v.where("vec_id % 20 = 0")
+    memories = stored.select(F.col("vec_id").alias("memory_id"), F.concat(about, F.lit(" m"), (F.col("vec_id") % 7).cast("string")).alias("text"))
+    return store.updated_by_query(memories, stored, new.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query"), F.concat(F.lit("q"), (F.col("vec_id") % 5).cast("string"), F.lit(" "), about).alias("text")))
+
+
 @query("WITH gone AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0) SELECT 'orders' AS part, count(*) AS n, min(o_orderkey) AS least FROM orders ANTI JOIN gone ON o_custkey = c_custkey UNION ALL SELECT 'names', count(*), min(c_custkey) FROM customer ANTI JOIN gone USING (c_custkey)")
 def memory_delete(spark, sf_dir):
     customer, orders = table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "memory_id"), table(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "memory_id")
