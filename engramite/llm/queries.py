@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, covertree, decontaminate, language_id, line_dedup, pii, sentencepiece_lattice, simhash, toxicity, warc
+from . import chat, covertree, decontaminate, language_id, line_dedup, pii, rolling_median, sentencepiece_lattice, simhash, spelling_variants, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_once(table(spark, sf_dir, "documents"), token_counts.Tokenizer(token_counts.public_path()))
+
+
+def op12_rolling_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling_median.rolling_median(table(spark, sf_dir, "clicks"), "click_id", "ts", "value", "kind")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(spelling_variants.vocabulary(table(spark, sf_dir, "documents"), misspell_every=31))
+
+
 QUERIES = {
     "op1_warc": op1_warc,
     "op2_decontamination": op2_decontamination,
@@ -79,6 +91,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_language_id": op9_language_id,
     "op10_simhash": op10_simhash,
+    "op11_token_counts": op11_token_counts,
+    "op12_rolling_median": op12_rolling_median,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 _LOW = "translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _NAMES = "sha256(coalesce(array_to_string(items, ','), ''))"
@@ -86,8 +101,12 @@ _ESCAPED = "len(regexp_extract_all(text, '<\\\\*(/?s>|\\|[a-z_]+\\|>|/?SYS>>)'))
 _TURNS = "coalesce(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, sha256(text)), '')"
 _LOSS = "string_agg(text, '' ORDER BY turn, role, sha256(text)) FILTER (WHERE role = 'assistant')"
 
-#: What DuckDB can say of the operators. It has no XXH64 (op10), no merge folds (op5) and no training (op6, op9); op3's
-#: method reads the whole corpus. Those are tested against brute force.
+#: The reflected polynomial of CRC-32, and its value for a list of bytes from their hexadecimal text ``x``.
+_CRC_TABLE = "list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(x), 2), lambda i: CAST('0x' || x[i : i + 1] AS BIGINT))), lambda c, b: xor(c >> 8, crc[xor(c & 255, b) + 1])), 4294967295)"
+
+#: What DuckDB can say of the operators. It has no XXH64 (op10), no merge folds (op5), no tokenizers (op11) and no training
+#: (op6, op9); op3's method reads the whole corpus. Those are tested against brute force.
 SQL: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n, sha1(coalesce(html, '')) AS h FROM pages), t AS (SELECT h, max(page_id) AS top, count(*) AS c FROM p WHERE n >= 1000 GROUP BY 1)
@@ -117,4 +136,26 @@ k AS (SELECT doc_id, i, line, {_LOW.format(c="regexp_replace(line, '^[ \\x09-\\x
 many AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
 j AS (SELECT doc_id, i, line, top IS NULL OR doc_id = top AS stays FROM k LEFT JOIN many USING (key))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE NOT stays) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE stays), '')) AS kept_sha256 FROM j GROUP BY 1""",
+    "op12_rolling_median": """
+WITH r AS (SELECT click_id, ts, kind, CASE WHEN isfinite(value) THEN CAST(floor(100 * value + 0.5) AS BIGINT) END AS c FROM clicks),
+o AS (SELECT click_id, ts, kind, c FROM (SELECT *, row_number() OVER (PARTITION BY click_id ORDER BY ts NULLS LAST, kind NULLS FIRST, c NULLS FIRST) AS k FROM r) WHERE k = 1 AND ts IS NOT NULL),
+s AS (SELECT click_id, ts, coalesce('k' || kind, '') AS s, kind, c, epoch_us(ts) // 3600000000 AS h FROM o),
+v AS (SELECT s, ts, c, h FROM s WHERE c IS NOT NULL UNION ALL SELECT s, ts, c, h + 1 FROM s WHERE c IS NOT NULL),
+w AS (SELECT s.click_id, list_sort(list(v.c)) AS l FROM s JOIN v ON s.s = v.s AND s.h = v.h AND v.ts <= s.ts AND v.ts >= s.ts - INTERVAL 60 MINUTE GROUP BY 1),
+m AS (SELECT click_id, len(l) AS n, l, CASE WHEN len(l) > 1 THEN l[(len(l) + 1) // 2] + l[len(l) // 2 + 1] END AS median2 FROM w),
+d AS (SELECT click_id, n, median2, CASE WHEN n > 1 THEN list_sort(list_transform(l, lambda x: abs(2 * x - median2))) END AS e FROM m),
+f AS (SELECT click_id, n, median2, e[(n + 1) // 2] + e[n // 2 + 1] AS mad4 FROM d)
+SELECT s.click_id AS click_id, kind, CAST(coalesce(n, 0) AS BIGINT) AS n, median2, mad4, 2 * abs(2 * c - median2) > 3 * mad4 AS far FROM s LEFT JOIN f ON s.click_id IS NOT DISTINCT FROM f.click_id""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT {_CRC_TABLE} AS crc),
+r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, {_LOW.format(c="unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+'))")} AS w FROM documents),
+u AS (SELECT d, w, count(*) AS n FROM r GROUP BY ALL), x AS (SELECT d, w, n, hex(encode(d || ':' || w)) AS x FROM u), h AS (SELECT w, n, {_CRC} AS h FROM x, t),
+e AS (SELECT CASE WHEN h % 31 = 0 THEN w[: h % len(w)] || w[h % len(w) + 2 :] ELSE w END AS word, n FROM h),
+v AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM e WHERE len(word) >= 7 GROUP BY 1 HAVING sum(n) >= 2),
+k AS MATERIALIZED (SELECT word, n, i, word[: i - 1] || word[i + 1 :] AS k FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM v)),
+p AS MATERIALIZED (SELECT a.word AS word, b.word AS other, b.n AS m FROM k a JOIN k b ON a.k = b.k AND a.i = b.i AND a.word <> b.word UNION SELECT a.word, v.word, v.n FROM k a JOIN v ON a.k = v.word UNION SELECT v.word, a.word, a.n FROM k a JOIN v ON a.k = v.word),
+b AS (SELECT word, count(*) AS n_near, max(m) AS m, min(other ORDER BY other) FILTER (WHERE m = top) AS other FROM (SELECT *, max(m) OVER (PARTITION BY word) AS top FROM p) GROUP BY 1),
+f AS MATERIALIZED (SELECT v.word AS word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 10 * n THEN other END AS form, CASE WHEN m >= 10 * n THEN m END AS form_n FROM v LEFT JOIN b ON v.word = b.word),
+c(word, stop, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT c.word, f.form, step + 1 FROM c JOIN f ON c.stop = f.word WHERE f.form IS NOT NULL)
+SELECT f.word AS word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(stop, step) AS root FROM c GROUP BY 1) g ON f.word = g.word""",
 }
