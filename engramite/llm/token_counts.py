@@ -140,10 +140,11 @@ def count_tokens(docs: DataFrame, cache: str, tokenizer: Tokenizer, limit: int =
 
         texts.mapInArrow(by_bytes(run, 1, 1 << 20), COUNTS).write.mode("append").parquet(f"{cache.rstrip('/')}/tokenizer={tokenizer.digest}")
         model.destroy()
-    counted = keyed.join(stored(spark, cache, tokenizer), "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-    found = cut(counted)
-    drop_dir(spark, keyed_at)
-    drop_dir(spark, missing_at)
+    # settled, so that both sides of the last join are plain exchanges and Spark splits a digest that many rows have
+    counts, counts_at = table(stored(spark, cache, tokenizer).join(keyed.select("digest").distinct(), "digest", "left_semi"), "token-counts")
+    found = cut(keyed.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
+    for path in (keyed_at, missing_at, counts_at):
+        drop_dir(spark, path)
     return found
 
 
