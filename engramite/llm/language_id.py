@@ -35,14 +35,14 @@ def ranked(keys: np.ndarray, counts: np.ndarray, ranks: int) -> np.ndarray:
 def profiles(labelled: DataFrame, lang_col: str = "lang", per_language: int = 400, ranks: int = RANKS) -> DataFrame:
     """``(lang, gram, rank)`` from ``labelled(doc_id, text, lang)``.
 
-    Fitted on a bounded sample: of each language the ``per_language`` rows whose hashed id is least, whole texts.
-    The ids are chosen without their texts. Rows without a text, a language or an id teach nothing; of rows that repeat an
-    id in a language all are read; ties of rank go to the lesser gram; other columns may have any names; an empty table
+    Fitted on a bounded sample: of each language the ``per_language`` ids that hash least, whole texts.
+    The ids are chosen without their texts. Rows without a text, a language or an id teach nothing; copies of a row count
+    once, other rows that repeat an id in a language are all read; ties of rank go to the lesser gram; other columns may have any names; an empty table
     gives no profile.
     """
     rows = labelled.select("doc_id", "text", F.col(lang_col).alias("lang")).where("lang is not null and text is not null and doc_id is not null")
-    chosen = least_hashed(rows.select("doc_id", "lang"), "lang", per_language).distinct()
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")  # at most per_language ids a language
+    chosen = least_hashed(rows.select("doc_id", "lang").distinct(), "lang", per_language)  # ids, not rows: copies take no place
+    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").dropDuplicates(["doc_id", "lang", "text"])  # at most per_language ids a language
 
     def count(batches):
         out = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])

@@ -126,3 +126,58 @@ def test_clashing_columns_and_repeats(spark):
     assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {2, None}
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == {1: 1, 2: 1, None: 1}
+
+
+def test_a_repeated_id_takes_one_place_in_the_sample(spark):
+    rows = [(7, "zzz qqq", "xx")] * 1000 + [(i, f"ab cd w{chr(97 + i % 26)}", "xx") for i in range(100, 599)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    grams = {r.gram for r in language_id.profiles(docs, per_language=400).collect()}
+    assert {ord(c) for c in "abcd"} <= grams and len(grams) > 60
+    few = spark.createDataFrame(rows[:1000] + rows[1000:1003], "doc_id long, text string, lang string")
+    ranks = {r.gram: r["rank"] for r in language_id.profiles(few, per_language=400).collect()}
+    assert ranks[ord("a")] < ranks[ord("z")] < ranks[ord("d")] or ranks[ord("a")] < ranks[ord("q")]  # copies count once
+
+
+def test_null_ids_are_held_in_by_rule(spark, tmp_path):
+    documents(spark, [(i, f"some plain words {i}") for i in range(30)] + [(None, "some plain words")]).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op6_toxicity", "op9_language_id"):
+        assert {r.held_out for r in queries.QUERIES[name](spark, str(tmp_path)).collect()} <= {True, False}
+
+
+def test_clashing_columns_of_line_dedup(spark):
+    from engramite.llm import line_dedup
+
+    rows = [(i, "a line that is repeated everywhere\nown", 1, 2) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _keep_bits long, keep long")
+    left = line_dedup.drop_lines(docs, line_dedup.keep_bitmaps(docs))
+    assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == ["a line that is repeated everywhere\nown", "own", "own", "own"]
+
+
+def test_reply_trees_with_null_conversations_and_repeated_nodes(spark):
+    from engramite.llm import chat
+
+    rows = [(None, 1, None, 1.0, "user", "a", 5), (None, 2, 1, 1.0, "assistant", "b", 5), (3, 1, None, 1.0, "user", "x", 5), (3, 2, 1, 1.0, "assistant", "y", 5), (3, 2, 1, 1.0, "assistant", "z", 5), (3, 2, 1, 1.0, "assistant", "y", 5), (4, None, 1, 1.0, "user", "lost", 5)]
+    messages = spark.createDataFrame(rows, "conv long, node long, parent long, score double, role string, text string, rank int")
+    got = {r.conv: (r.n_turns, r.loss_chars) for r in chat.read_back(chat.format_paths(messages)).collect()}
+    assert got == {None: (2, 1), 3: (2, 1)}
+    pieces = {r.piece for r in chat.format_paths(messages).where("conv = 3").collect()}
+    assert any("\ny<" in p for p in pieces) and not any("\nz<" in p for p in pieces)
+
+
+def test_long_turns_pass_in_small_batches(spark):
+    from engramite.llm import chat
+
+    frame = spark.createDataFrame([(1, i, "assistant", "w" * 1_500_000) for i in range(4)], "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.format_paths(chat.linear(frame), unique=True)).collect()
+    assert [(r.n_turns, r.loss_chars) for r in got] == [(4, 6_000_000)]
+
+
+def test_training_sample_is_bounded_in_slots(spark):
+    docs = spark.createDataFrame([(i, f"{'vile' if i % 2 else 'kind'} words number{i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    whole, some = toxicity.train(docs, labels), toxicity.train(docs, labels, most_slots=100)
+    assert len(some["at"]) and abs(some["w"]).max() < abs(whole["w"]).max()
+    assert len(toxicity.train(docs, labels, most_slots=1)["at"]) == 0
+    order = toxicity.train(docs.repartition(7), labels.repartition(3))
+    assert (order["at"] == whole["at"]).all() and (order["w"] == whole["w"]).all()
