@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, cut, sliced, text_columns, text_key
+from .common import batch, cut, fresh, sliced, text_columns, text_key
 
 #: ASCII space and the five controls from tab to carriage return.
 BLANK = " \t\n\v\f\r"
@@ -145,10 +145,10 @@ def digests(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the lines gone, all columns kept; a null text stays null."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    """``docs`` with the lines gone, all columns kept, whatever their names; a null text stays null."""
+    row, bits = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), fresh(docs, "keep_bits")
     keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("tkey"), row)
-    both = keyed.join(bitmaps.hint("shuffle_hash"), ["doc_id", "tkey"], "left").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns), F.col("keep").alias("_keep_bits"))
+    both = keyed.join(bitmaps.hint("shuffle_hash"), ["doc_id", "tkey"], "left").select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns), F.col("keep").alias(bits))
     at, names = docs.columns.index(text_col), docs.schema
 
     def run(batches):
