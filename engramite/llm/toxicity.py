@@ -15,6 +15,8 @@ from .common import least_hashed, sliced, text_columns
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 BITS = 20
+#: Slots of all examples of a training sample together.
+MAX_SLOTS = 64 << 20
 #: Odd multipliers that keep word pairs at distance one and two apart from single words.
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 #: Bytes of a word's beginning that count as a word of their own, so inflected forms share evidence.
@@ -53,11 +55,12 @@ def fit(examples, bits: int = BITS, alpha: float = 1.0, beta: float = 1.0, l1: f
     return at, w[at], bias
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 5000, bits: int = BITS) -> dict:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = 5000, bits: int = BITS, most_slots: int = MAX_SLOTS) -> dict:
     """A model from ``docs(doc_id, text)`` and ``labels(doc_id, label)``.
 
     Fitted on a bounded sample, whole texts: of either class the ``per_class`` labelled rows whose hashed id is least.
-    The ids are chosen before any text is read; the examples, each a set of slots, meet in one task of that bound.
+    The ids are chosen before any text is read. The examples, each a set of slots, are streamed in order of a hash into one
+    task, which holds 4 bytes a slot and ``most_slots`` of them at most: the sample ends there if its texts are very long.
     Ids are integers of any width. Null labels, other labels than 0 and 1, and labelled ids without a document are left
     out; an id labelled both ways counts as 1; of rows that repeat an id all are read; very long texts are read whole,
     their features each once; other columns may have any names.
@@ -69,14 +72,22 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_clas
     def slots(batches):
         for b in batches:
             found = [np.unique(features(t, bits)).astype(np.int32).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.binary())], names=["doc_id", "label", "slots"])
+            order = [xxhash.xxh3_64_intdigest(str(i)) >> 1 for i in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), b.column(0), b.column(2), pa.array(found, pa.binary())], names=["order", "doc_id", "label", "slots"])
 
-    def learn(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("doc_id", "label", "slots")), strict=True), key=lambda r: (xxhash.xxh3_64_intdigest(str(r[0])), r))
-        at, w, bias = fit([(np.frombuffer(s, np.int32), y) for _, y, s in rows], bits)
-        return pa.table({"at": [at.astype(np.int32).tobytes()], "w": [w.tobytes()], "bias": [bias]}, schema=pa.schema([("at", pa.binary()), ("w", pa.binary()), ("bias", pa.float64())]))
-
-    model = sample.mapInArrow(sliced(slots), "doc_id long, label int, slots binary").withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "at binary, w binary, bias double").first()
+    def learn(batches):
+        examples, total = [], 0
+        for b in batches:
+            for y, s in zip(b.column(2).to_pylist(), b.column(3), strict=True):
+                total += len(s.as_buffer()) // 4
+                if total <= most_slots:
+                    examples.append((np.frombuffer(s.as_buffer(), np.int32).copy(), y))
+        if examples:
+            at, w, bias = fit(examples, bits)
+            yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()]), pa.array([w.tobytes()]), pa.array([bias])], schema=pa.schema([("at", pa.binary()), ("w", pa.binary()), ("bias", pa.float64())]))
+
+    held = sample.mapInArrow(sliced(slots), "order long, doc_id long, label int, slots binary")
+    model = held.repartition(1).sortWithinPartitions("order", "doc_id", "label", "slots").mapInArrow(sliced(learn), "at binary, w binary, bias double").first()
     return {"bits": bits, "at": np.frombuffer(model.at, np.int32) if model else np.empty(0, np.int32), "w": np.frombuffer(model.w) if model else np.empty(0), "bias": model.bias if model else 0.0}
 
 
