@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import by_bytes, cut, drop_dir, small_batches, table
 
 #: Control strings of the template and of common chat formats. Inside a text each gets a backslash after its first
 #: character, one more than it has; reading takes it away again.
@@ -37,55 +37,71 @@ def render(role: str, text: str) -> tuple[str, int, int]:
 def best_paths(messages: DataFrame, best: int = 1) -> DataFrame:
     """``(conv, leaf, rank, node, depth)``: the nodes of the ``best`` root-to-leaf paths of each reply tree.
 
-    ``messages(conv, node, parent, score)``, nodes unique within a conversation. Branches are ranked by the sum of
-    their scores, then depth, then the lesser leaf. Paths come from iterative self-joins that double the length of the
+    ``messages(conv, node, parent, score)``, nodes unique within a conversation; a null conversation is one like any other,
+    rows without a node are on no path. Branches are ranked by the sum of their scores, then depth, then the lesser leaf. Paths come from iterative self-joins that double the length of the
     pointers, so a chain of n turns takes log2(n) rounds, each written to the shared folder. A parent that is missing
     makes a root; nodes on a cycle have no root and are on no path; an empty table gives no rows.
     """
-    nodes = messages.select("conv", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
+    spark = messages.sparkSession
+    nodes = messages.where("node is not null").select("conv", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score"))
     known = nodes.select(F.col("conv").alias("c"), F.col("node").alias("p")).distinct()
-    linked = nodes.join(known, (nodes.conv == F.col("c")) & (nodes.parent == F.col("p")), "left")
-    now = cut(linked.select("conv", "node", F.col("p").alias("up"), F.when(F.col("p").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), "score"))
-    first, rounds, steps = now, 0, []
+    linked = nodes.join(known, nodes.conv.eqNullSafe(F.col("c")) & (nodes.parent == F.col("p")), "left")
+    now, path = table(linked.select("conv", "node", F.col("p").alias("up"), F.when(F.col("p").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), "score"), "chat-round")
+    first, rounds, steps, spent = now, 0, [], [path]
     most = max(1, (now.groupBy("conv").count().agg(F.max("count")).first()[0] or 0).bit_length() + 1)
     while now.where("up is not null").limit(1).count() and rounds < most:
         steps.append(now.select("conv", "node", "up"))
         far = now.select(F.col("conv").alias("c"), F.col("node").alias("p"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("score").alias("score2"))
         open_ = now.where("up is not null")  # nodes whose root is known have nothing left to join
-        join = open_.join(far, (open_.conv == far.c) & (open_.up == far.p), "left")
+        join = open_.join(far, open_.conv.eqNullSafe(far.c) & (open_.up == far.p), "left")
         longer = join.select("conv", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
-        now = cut(longer.union(now.where("up is null").select("conv", "node", "up", "depth", "score")))
+        now, path = table(longer.union(now.where("up is null").select("conv", "node", "up", "depth", "score")), "chat-round")
+        spent.append(path)
         rounds += 1
     rooted = now.where("up is null")
     parents = first.where("up is not null").select(F.col("conv").alias("c"), F.col("up").alias("p")).distinct()
-    leaves = rooted.join(parents, (rooted.conv == parents.c) & (rooted.node == parents.p), "left_anti")
+    leaves = rooted.join(parents, rooted.conv.eqNullSafe(parents.c) & (rooted.node == parents.p), "left_anti")
     order = Window.partitionBy("conv").orderBy(F.desc("score"), F.desc("depth"), "node")
     ranked = leaves.withColumn("rank", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("conv")))
     chosen = cut(ranked.where(F.col("rank") <= best).select("conv", F.col("node").alias("leaf"), "rank", "n"))
     # a tree of one leaf is its path; of the others, the leaf's ancestors are gathered by the doubled pointers
-    plain = rooted.join(chosen.where("n = 1").select(F.col("conv").alias("c"), "leaf", "rank"), F.col("conv") == F.col("c")).select("conv", "leaf", "rank", "node", "depth")
+    plain = rooted.join(chosen.where("n = 1").select(F.col("conv").alias("c"), "leaf", "rank"), F.col("conv").eqNullSafe(F.col("c"))).select("conv", "leaf", "rank", "node", "depth")
     on = cut(chosen.where("n > 1").select("conv", "leaf", "rank", F.col("leaf").alias("node")))
     if on.limit(1).count():
         for step in steps:
             s = step.select(F.col("conv").alias("c"), F.col("node").alias("p"), "up")
-            on = cut(on.union(on.join(s, (on.conv == F.col("c")) & (on.node == F.col("p"))).where("up is not null").select("conv", "leaf", "rank", F.col("up").alias("node"))).distinct())
+            on = cut(on.union(on.join(s, on.conv.eqNullSafe(F.col("c")) & (on.node == F.col("p"))).where("up is not null").select("conv", "leaf", "rank", F.col("up").alias("node"))).distinct())
     depth = rooted.select(F.col("conv").alias("c"), F.col("node").alias("p"), "depth")
-    return plain.union(on.join(depth, (on.conv == F.col("c")) & (on.node == F.col("p"))).select("conv", "leaf", "rank", "node", "depth"))
+    found = cut(plain.union(on.join(depth, on.conv.eqNullSafe(F.col("c")) & (on.node == F.col("p"))).select("conv", "leaf", "rank", "node", "depth")))
+    for path in spent:
+        drop_dir(spark, path)
+    return found
 
 
 FORMATTED = "conv long, rank int, seq long, piece string, mask_start int, mask_end int"
 
 
-def format_paths(messages: DataFrame, best: int = 1) -> DataFrame:
+def first_of_nodes(messages: DataFrame) -> DataFrame:
+    """One row a conversation and node of ``messages``: the first by parent, score, role and text."""
+    order = Window.partitionBy("conv", "node").orderBy("parent", "score", "role", "text")
+    return messages.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+
+
+def format_paths(messages: DataFrame, best: int = 1, unique: bool = False) -> DataFrame:
     """``FORMATTED``: each chosen path as one conversation, in pieces by ``seq``; their concatenation is the formatted text.
 
-    ``messages(conv, node, parent, score, role, text)``; a null role or text is empty. A conversation is streamed turn by
-    turn in sorted order, never gathered, so one that holds a third of all rows takes no more memory than its longest
-    turn.
+    ``messages(conv, node, parent, score, role, text)``; a null role or text is empty, a null conversation one like any
+    other, rows without a node are left out; of rows that repeat a node the first counts, by parent, score, role and text
+    (``unique`` says that none do); other columns may have any names. A conversation is streamed turn by turn in sorted
+    order, never gathered, so one that holds a third of all rows takes no more memory than a batch of turns: 512 rows in
+    the JVM, 2 MB or one turn in Python.
     """
+    small_batches(messages.sparkSession)
+    messages = messages.select("conv", "node", "parent", "score", "role", "text").where("node is not null")
+    messages = messages if unique else first_of_nodes(messages)
     paths = best_paths(messages, best).select(F.col("conv").alias("c"), "rank", F.col("node").alias("p"), "depth")
     texts = messages.select("conv", "node", "role", "text")
-    turns = texts.join(paths, (texts.conv == F.col("c")) & (texts.node == F.col("p"))).select("conv", "rank", "depth", "role", "text")
+    turns = texts.join(paths, texts.conv.eqNullSafe(F.col("c")) & (texts.node == F.col("p"))).select("conv", "rank", "depth", "role", "text")
 
     def run(batches):
         for b in batches:
@@ -93,7 +109,7 @@ def format_paths(messages: DataFrame, best: int = 1) -> DataFrame:
             columns = list(zip(*made, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32())], names=["conv", "rank", "seq", "piece", "mask_start", "mask_end"])
 
-    return turns.repartition("conv", "rank").sortWithinPartitions("conv", "rank", "depth").mapInArrow(run, FORMATTED)
+    return turns.repartition("conv", "rank").sortWithinPartitions("conv", "rank", "depth").mapInArrow(by_bytes(run, 4), FORMATTED)
 
 
 class _Reader:
@@ -146,7 +162,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if out:
             yield send()
 
-    return formatted.mapInArrow(run, READ)
+    return formatted.mapInArrow(by_bytes(run, 3), READ)
 
 
 def linear(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
