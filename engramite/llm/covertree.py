@@ -114,7 +114,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     Vectors of equal, non-null label (and width) are linked at cosine ``least`` or more, in double precision. Vectors
     that :func:`unit` refuses and rows with a null label link with nothing: no links, their own component, kept. Copies
     are collapsed to one vector with a count, so their number costs nothing; a repeated id counts as a vector each time. A
-    null id has a null component. Tasks send counts and a spanning forest, never their pairs.
+    null id has a null component and a null ``kept``; a cosine of exactly ``least`` links; columns beyond the three may have
+    any names. Tasks send counts and a spanning forest, never their pairs.
     """
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{label_col}`").cast("string").alias("label"), F.col(f"`{vector_col}`").alias("v"))
     each = rows.mapInArrow(_prepare, "vec_id long, h binary, grp string, unit binary")

@@ -13,8 +13,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bucket(n: int):
-    """crc32 of the id as text, modulo n."""
-    return F.crc32(F.col("doc_id").cast("string")) % n
+    """crc32 of the id as text, modulo n; a null id reads as an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     says = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
-    found = chat.read_back(chat.format_paths(chat.linear(turns)))
+    found = chat.read_back(chat.format_paths(chat.linear(turns), unique=True))
     conv = F.when(F.col("conv") > -(2**63), F.col("conv")).alias("conv_id")
     return found.select(conv, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
