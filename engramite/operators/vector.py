@@ -5,20 +5,85 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring
-
 #: Queries of one search, broadcast. More are searched in blocks of about half this size.
 MAX_QUERIES = 10_000
+#: Queries multiplied with a batch of rows at once: a batch's scores take 8 bytes a row and query of this many.
+BLOCK = 512
+#: Decimals a score is rounded to, so that equal vectors tie wherever they lie in a batch.
+PLACES = 12
+
+
+def matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a list column that hold ``width`` numbers, as doubles, and where they are."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    fits = pc.fill_null(pc.equal(pc.list_value_length(column), width), False)
+    if column.flatten().null_count:
+        fits = pa.array([bool(f) and None not in x for f, x in zip(fits.to_pylist(), column.to_pylist(), strict=True)], pa.bool_())
+    rows = np.nonzero(fits.to_numpy(zero_copy_only=False))[0]
+    kept = column.filter(fits) if len(rows) < len(column) else column
+    return kept.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(rows), width), rows
+
+
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; a zero row, or one that holds no finite length, is zero."""
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(np.isfinite(n) & (n > 0), x / n, 0.0)
+
+
+class Queries:
+    """The queries of one search, ready to be multiplied with batches of vectors."""
+
+    def __init__(self, found: pa.Table, metric: str):
+        lengths = pc.list_value_length(found.column(1).combine_chunks())
+        self.width, self.metric = (pc.max(lengths).as_py() or 0), metric
+        q, rows = matrix(found.column(1), self.width)
+        if metric == "cosine":  # a query of another width is like nothing
+            every = np.zeros((found.num_rows, self.width))
+            every[rows] = units(q)
+            q, rows = every, np.arange(found.num_rows)
+        self.ids, self.q = np.array(found.column(0).to_pylist(), np.int64)[rows], q
+
+    def scores(self, x: np.ndarray, at: slice) -> np.ndarray:
+        """A row a vector, a column a query; the more the better."""
+        q = self.q[at]
+        if self.metric == "l2":
+            return -np.round(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (q * q).sum(axis=1)[None, :] - 2 * (x @ q.T)), PLACES)
+        return np.round(x @ q.T, PLACES) + 0.0
+
+    def vectors(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        x, rows = matrix(column, self.width)
+        if self.metric != "cosine":
+            return x, rows
+        every = np.zeros((len(column), self.width))
+        every[rows] = units(x)
+        return every, np.arange(len(column))
+
+
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Positions of the ``k`` greatest scores, ties to the lesser id, in order."""
+    near = np.arange(len(scores))
+    if len(scores) > k:
+        near = np.nonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])[0]
+    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+
+
+FOUND = pa.schema([("qid", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = True) -> DataFrame:
     """(qid, vec_id, score, rank): the k best of ``vectors(vec_id, embedding)`` for each of ``queries(qid, query)``.
 
-    A block of queries is broadcast against all rows; each task keeps its k best a query before anything shuffles.
-    Metadata filters go on ``vectors`` first. ``l2`` scores are squared distances, least first; ties go to the lesser id.
+    A block of queries is broadcast; each task multiplies it with its batches of rows and keeps the k best a query and
+    batch, and only those are shuffled. Metadata filters go on ``vectors`` first. ``l2`` scores are squared distances,
+    least first; ties go to the lesser id, scores being rounded to 12 places. A vector that is null, zero, of another
+    width than the queries or holds a null scores 0 by cosine and is left out by the other metrics; null ids are left out.
     """
     n = queries.count()
     if n > MAX_QUERIES:
@@ -28,12 +93,57 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine"
     return _top_k(vectors, queries, k, metric, exclude_self)
 
 
+def asked(queries: DataFrame, metric: str) -> Queries:
+    """The queries in the driver; at most a block of them."""
+    rows = queries.select(F.col("qid").cast("long").alias("qid"), F.col("query").cast("array<double>").alias("query")).where("qid is not null")
+    return Queries(rows.toArrow(), metric)
+
+
 def _top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str, exclude_self: bool) -> DataFrame:
-    score = {"cosine": scoring.cosine, "ip": scoring.dot, "l2": scoring.squared_l2}[metric](F.col("embedding"), F.col("query"))
-    met = vectors.join(F.broadcast(queries), F.col("vec_id") != F.col("qid") if exclude_self else F.lit(True))
-    scored = met.select("qid", "vec_id", score.alias("score"))
-    by = Window.partitionBy("qid").orderBy(F.col("score") if metric == "l2" else F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    sent = vectors.sparkSession.sparkContext.broadcast(asked(queries, metric))
+
+    def run(batches):
+        q = sent.value
+        for b in batches:
+            x, rows = q.vectors(b.column(1))
+            ids = b.column(0).to_numpy(zero_copy_only=False)[rows]
+            for start in range(0, len(q.ids) if len(rows) else 0, BLOCK):
+                every = q.scores(x, slice(start, start + BLOCK))
+                for j, qid in enumerate(q.ids[start : start + BLOCK]):
+                    here, known = every[:, j], ids
+                    if exclude_self:
+                        other = ids != qid
+                        here, known = here[other], ids[other]
+                    best = best_of(here, known, k)
+                    if len(best):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), qid)), pa.array(known[best]), pa.array(here[best])], schema=FOUND)
+
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where("vec_id is not null")
+    return ranked(rows.mapInArrow(gathered(run), "qid long, vec_id long, score double"), k, metric)
+
+
+def gathered(run, rows: int = 20_000):
+    """``run``'s small batches put together."""
+
+    def over(batches):
+        held, n = [], 0
+        for b in run(batches):
+            held.append(b)
+            n += b.num_rows
+            if n >= rows:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, n = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return over
+
+
+def ranked(found: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
+    """The ``k`` best rows of ``found(qid, vec_id, score)`` a query, with their rank."""
+    by = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
+    best = found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return best.withColumn("score", F.abs("score")) if metric == "l2" else best
 
 
 def nearest_merge(vectors: DataFrame, queries: DataFrame, least: float) -> DataFrame:

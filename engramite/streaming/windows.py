@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,18 +24,43 @@ def evidence(edges: DataFrame) -> DataFrame:
     return edges.groupBy("source", "relationship", "destination").agg(F.sum("weight").alias("weight"))
 
 
-def drained(spark: SparkSession, plan: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs a streaming aggregate over what its source holds now and returns its rows, the last said of each of ``keys``.
+@contextmanager
+def setting(spark: SparkSession, name: str, value: str):
+    """A setting of the session, put back afterwards."""
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
-    The query writes what changed, batch by batch, as Parquet below the checkpoint folder, so nothing gathers in the
-    driver; a batch that is repeated overwrites its own rows."""
-    folder = f"{shared_base(spark).rstrip('/')}/drained-{uuid.uuid4().hex}"
+
+def drain(plan: DataFrame, folder: str) -> bool:
+    """Runs a streaming plan over what its source holds now and has not been through ``folder`` yet. True if it ran a batch.
+
+    The query writes what changed, batch by batch, as Parquet below the folder, so nothing gathers in the driver; a batch
+    that is repeated after a failure overwrites its own rows. Called again with the same folder, it goes on."""
+    from .states import PROVIDER
 
     def put(batch: DataFrame, n: int) -> None:
         batch.withColumn("_batch", F.lit(n).cast("long")).write.mode("overwrite").parquet(f"{folder}/rows/part={n}")
 
-    query = plan.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    rows = spark.read.schema(StructType([*plan.schema.fields, StructField("_batch", LongType())])).parquet(f"{folder}/rows") if query.lastProgress else spark.createDataFrame([], plan.schema).withColumn("_batch", F.lit(0).cast("long"))
+    with setting(plan.sparkSession, *PROVIDER):
+        query = plan.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return query.lastProgress is not None
+
+
+def said(plan: DataFrame, folder: str, keys: list[str]) -> DataFrame:
+    """What :func:`drain` wrote: the rows last said of each of ``keys``."""
+    rows = plan.sparkSession.read.schema(StructType([*plan.schema.fields, StructField("_batch", LongType())])).parquet(f"{folder}/rows")
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*(F.col(c) for c in plan.columns if c not in keys)), "_batch").alias("v"))
     return last.select(*(c if c in keys else f"v.{c}" for c in plan.columns))
+
+
+def drained(spark: SparkSession, plan: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`drain` into a new folder, and the rows it last said of each of ``keys``."""
+    folder = f"{shared_base(spark).rstrip('/')}/drained-{uuid.uuid4().hex}"
+    if not drain(plan, folder):
+        return spark.createDataFrame([], plan.schema)
+    return said(plan, folder, keys)
