@@ -63,15 +63,18 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.where("a <> b").groupBy("a", "b").agg(F.min("weight").alias("weight"))
 
 
-def degrees(edges: DataFrame, cap: int = 200) -> DataFrame:
-    """(id, degree, penalty): distinct neighbours, capped, and min(0.3, ln(1 + degree) / 20)."""
-    n = undirected(edges).groupBy(F.col("a").alias("id")).agg(F.least(F.count("*"), F.lit(cap)).alias("degree"))
+def degrees(edges: DataFrame, cap: int = 200, wanted: DataFrame | None = None) -> DataFrame:
+    """(id, degree, penalty): distinct neighbours, capped, and min(0.3, ln(1 + degree) / 20); of the first column of
+    ``wanted`` only, where it is given."""
+    near = undirected(edges)
+    near = near if wanted is None else near.join(wanted.toDF("a").distinct(), "a", "left_semi")
+    n = near.groupBy(F.col("a").alias("id")).agg(F.least(F.count("*"), F.lit(cap)).alias("degree"))
     return n.withColumn("penalty", F.least(F.lit(0.3), F.log1p("degree") / 20))
 
 
 def khop_nodes(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     """(id, hop): level-synchronous expansion from ``start(id)``. One equi-join a hop; visited nodes by anti-join."""
-    near = undirected(edges).select("a", "b")
+    near = settled(undirected(edges).select("a", "b"))
     seen = front = settled(start.select("id", F.lit(0).alias("hop")).distinct())
     for hop in range(1, hops + 1):
         found = near.join(front, near.a == front.id, "left_semi").select(F.col("b").alias("id")).distinct()
@@ -144,14 +147,15 @@ def component_sizes(edges: DataFrame) -> DataFrame:
     return of.groupBy("cluster_id").agg(F.count("*").alias("nodes")).join(inner, "cluster_id")
 
 
-def label_match(label, term: str):
-    """1 for an equal or contained label, 0.85 without underscores, else the shared share of letters, 0.6 at most."""
-    want = F.lit(term.upper())
+def label_match(label, term):
+    """1 for an equal or contained label, 0.85 without underscores, else the shared share of letters, 0.6 at most. ``term``
+    is a string or a column."""
+    want = F.upper(F.lit(term))
     up = F.upper(label)
-    plain = F.replace(up, F.lit("_"), F.lit(""))
+    bare = lambda c: F.replace(c, F.lit("_"), F.lit(""))
     letters = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
     share = F.size(F.array_intersect(letters(up), letters(want))) / F.greatest(F.lit(1), F.char_length(want))
-    return F.when(up.contains(want) | want.contains(up), 1.0).when(plain.contains(F.lit(term.upper().replace("_", ""))), 0.85).otherwise(F.least(F.lit(0.6), share))
+    return F.when(up.contains(want) | want.contains(up), 1.0).when(bare(up).contains(bare(want)), 0.85).otherwise(F.least(F.lit(0.6), share))
 
 
 def recency(at, as_of):

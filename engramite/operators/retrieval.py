@@ -20,18 +20,20 @@ def candidates(hits: DataFrame, linked: DataFrame) -> DataFrame:
     return a.unionByName(b).groupBy("qid", "memory_id").agg(F.max("similarity").alias("similarity"), F.max("boost").alias("boost"))
 
 
-def hybrid(found: DataFrame, asked: DataFrame, index: DataFrame, degrees: DataFrame, timed: DataFrame, k: int) -> DataFrame:
+def hybrid(found: DataFrame, asked: DataFrame, index: DataFrame, degrees: DataFrame, timed: DataFrame, k: int, lexical: DataFrame | None = None) -> DataFrame:
     """(qid, memory_id, score, rank): the k best candidates by the hybrid score.
 
     Overlap is how many of ``asked(qid, entity)`` are among a memory's entities in ``index(memory_id, entity)``, evidence
-    0.02 a neighbour up to five of each entity in ``degrees(entity, degree)``, and ``timed(memory_id)`` the memories that
-    carry a time. Ties go to the lesser id."""
+    0.02 a neighbour up to five of each entity in ``degrees(entity, degree)``, ``timed(memory_id)`` the memories that
+    carry a time, and ``lexical(qid, memory_id, lexical)`` how much their words say the same. A candidate's similarity is
+    its boost where that is greater. Ties go to the lesser id."""
     names = found.select("qid", "memory_id").join(index, "memory_id")
     wanted = asked.select("qid", "entity").distinct().withColumn("hit", F.lit(1))
     shared = names.join(wanted, ["qid", "entity"], "left").join(degrees, "entity", "left").groupBy("qid", "memory_id").agg(F.sum(F.coalesce("hit", F.lit(0))).alias("overlap"), F.sum(0.02 * F.least(F.coalesce("degree", F.lit(0)), F.lit(5))).alias("evidence"))
     full = found.join(shared, ["qid", "memory_id"], "left").join(timed.select("memory_id").distinct().withColumn("has_time", F.lit(True)), "memory_id", "left")
+    full = full.join(lexical, ["qid", "memory_id"], "left") if lexical is not None else full.withColumn("lexical", F.lit(0.0))
     none = lambda c, v: F.coalesce(F.col(c), F.lit(v))
-    score = F.greatest(scoring.hybrid(F.col("similarity"), none("overlap", 0), none("has_time", False), none("evidence", 0.0), F.lit(0.0)), F.col("boost"))
+    score = scoring.hybrid(F.greatest("similarity", "boost"), none("overlap", 0), none("has_time", False), none("evidence", 0.0), none("lexical", 0.0))
     ranked = full.select("qid", "memory_id", F.round(score, 6).alias("score"))
     return ranked.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "memory_id"))).where(F.col("rank") <= k)
 

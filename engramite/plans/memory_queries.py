@@ -284,7 +284,7 @@ def vector_topk_lsh(spark, sf_dir):
 _SQL_TALE = "tale AS (SELECT vec_id AS memory_id, 'S' || vec_id % 37 AS entity FROM embeddings UNION SELECT vec_id, 'L' || label FROM embeddings)"
 
 
-@query(f"WITH {_SQL_NEAR}, {_SQL_TALE}, asked AS (SELECT memory_id AS qid, entity FROM tale WHERE memory_id % 20 = 0), linked AS (SELECT DISTINCT qid, t.memory_id FROM asked a JOIN tale t ON a.entity = t.entity AND a.entity LIKE 'S%' AND qid <> t.memory_id), found AS (SELECT qid, memory_id, max(s) AS similarity, max(b) AS boost FROM (SELECT qid, memory_id, score AS s, 0.0::DOUBLE AS b FROM near UNION ALL SELECT qid, memory_id, 0, 0.46::DOUBLE FROM linked) GROUP BY 1, 2), deg AS (SELECT entity, count(*) AS d FROM tale GROUP BY 1), f AS (SELECT f.qid, f.memory_id, similarity, boost, sum(CASE WHEN a.entity IS NULL THEN 0 ELSE 1 END) AS overlap, sum(0.02::DOUBLE * least(d, 5)) AS evidence FROM found f JOIN tale t ON f.memory_id = t.memory_id JOIN deg ON deg.entity = t.entity LEFT JOIN asked a ON a.qid = f.qid AND a.entity = t.entity GROUP BY 1, 2, 3, 4), s AS (SELECT qid, memory_id, round(greatest(0.6::DOUBLE * similarity + 0.2::DOUBLE * least(1.0::DOUBLE, overlap / 3::DOUBLE) + CASE WHEN memory_id % 2 = 0 THEN 0.075::DOUBLE ELSE 0 END + 0.05::DOUBLE * least(1.0::DOUBLE, evidence), boost), 6) AS score FROM f) SELECT qid, memory_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, memory_id) AS k FROM s) WHERE k <= 10")
+@query(f"WITH {_SQL_NEAR}, {_SQL_TALE}, asked AS (SELECT memory_id AS qid, entity FROM tale WHERE memory_id % 20 = 0), linked AS (SELECT DISTINCT qid, t.memory_id FROM asked a JOIN tale t ON a.entity = t.entity AND a.entity LIKE 'S%' AND qid <> t.memory_id), found AS (SELECT qid, memory_id, max(s) AS similarity, max(b) AS boost FROM (SELECT qid, memory_id, score AS s, 0.0::DOUBLE AS b FROM near UNION ALL SELECT qid, memory_id, 0, 0.46::DOUBLE FROM linked) GROUP BY 1, 2), deg AS (SELECT entity, count(*) AS d FROM tale GROUP BY 1), f AS (SELECT f.qid, f.memory_id, similarity, boost, sum(CASE WHEN a.entity IS NULL THEN 0 ELSE 1 END) AS overlap, sum(0.02::DOUBLE * least(d, 5)) AS evidence FROM found f JOIN tale t ON f.memory_id = t.memory_id JOIN deg ON deg.entity = t.entity LEFT JOIN asked a ON a.qid = f.qid AND a.entity = t.entity GROUP BY 1, 2, 3, 4), s AS (SELECT qid, memory_id, round(0.6::DOUBLE * greatest(similarity, boost) + 0.2::DOUBLE * least(1.0::DOUBLE, overlap / 3::DOUBLE) + CASE WHEN memory_id % 2 = 0 THEN 0.075::DOUBLE ELSE 0 END + 0.05::DOUBLE * least(1.0::DOUBLE, evidence), 6) AS score FROM f) SELECT qid, memory_id, score, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, memory_id) AS k FROM s) WHERE k <= 10")
 def hybrid_search_batch(spark, sf_dir):
     v, q = _probe(spark, sf_dir)
     index = v.select(F.col("vec_id").alias("memory_id"), F.explode(F.array(F.concat(F.lit("S"), (F.col("vec_id") % 37).cast("string")), F.concat(F.lit("L"), F.col("label").cast("string")))).alias("entity"))

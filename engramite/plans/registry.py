@@ -492,4 +492,4 @@ def blueprint_normalized(spark, sf_dir):
     return style.blueprint(style.lexicon_hits(turns, _LEXICON), turns)
 
 
-from . import memory_queries, style_queries  # noqa: E402, F401 - they register themselves here
+from . import memory_queries, search_queries, style_queries  # noqa: E402, F401 - they register themselves here
