@@ -15,7 +15,7 @@ from . import style
 
 def phrase_bag(messages: DataFrame) -> DataFrame:
     """(conv_id, label, phrase, n): pairs and triples of words, capitals and title words of each conversation."""
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    words = style.letter_words(F.col("text"))
 
     def grams(n: int):
         return lambda v: F.when(F.size(v) >= n, F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.array_join(F.slice(v, i, n), " ")))
@@ -87,30 +87,88 @@ def phonetic_pairs(words_: DataFrame, least: float = 0.8) -> DataFrame:
 
 def greedy_clusters(words_: DataFrame, category: str) -> DataFrame:
     """(category, word, canonical): words of ``words_(category, word, n)``, most frequent first, join the first canonical
-    word within one edit or become one. Words of a category are met through deletion variants, never in all pairs."""
-
-    def cuts(w: str) -> set[str]:
-        return {w} | {w[:i] + w[i + 1 :] for i in range(len(w))}
-
-    def near(a: str, b: str) -> bool:
-        if abs(len(a) - len(b)) > 1:
-            return False
-        i = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
-        return a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i + 1 :] == b[i + 1 :]
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        heads, of, rows = [], {}, []
-        for r in group.sort_values(["n", "word"], ascending=[False, True]).itertuples():
-            fit = min((k for v in cuts(r.word) for k in of.get(v, ()) if near(r.word, heads[k])), default=None)
-            if fit is None:
-                fit = len(heads)
-                heads.append(r.word)
-                for v in cuts(r.word):
-                    of.setdefault(v, []).append(fit)
-            rows.append((getattr(r, category), r.word, heads[fit]))
-        return pd.DataFrame(rows, columns=[category, "word", "canonical"])
-
-    return words_.select(category, "word", "n").groupBy(category).applyInPandas(pick, f"{category} string, word string, canonical string")
+    word of their category within one edit or become one. Words meet through deletion variants, never in all pairs, and
+    leaders are found in rounds, so no category is one task."""
+    from .similarity import leaders
+
+    of = words_.select(category, "word", "n").groupBy(category, "word").agg(F.sum("n").alias("n"))
+    end = lambda c: of.select(F.col("word").alias(c), F.struct(category, "word").alias(f"id_{c}"), F.col(category).alias(f"in_{c}"))
+    met = style.edit_pairs(of).join(end("a"), "a").join(end("b"), "b").where(F.col("in_a").eqNullSafe(F.col("in_b")))
+    pairs = met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(1.0).alias("score"))
+    found = leaders(of.select(F.struct(category, "word").alias("id"), F.struct((-F.col("n")).alias("less"), "word").alias("place")), pairs)
+    return found.select(f"id.{category}", "id.word", F.col("leader.word").alias("canonical"))
+
+
+def semantic_clusters(words_: DataFrame, category: str, least: float = 0.85) -> DataFrame:
+    """(category, word, canonical): words of ``words_(category, word, n)``, most frequent first, join the canonical word of
+    their category whose trigrams are likest by cosine, ``least`` or more, or become one."""
+    from .similarity import leaders, set_pairs, trigrams
+
+    of = words_.select(category, "word", "n").groupBy(category, "word").agg(F.sum("n").alias("n"))
+    end = lambda c: of.select(F.col("word").alias(c), F.struct(category, "word").alias(f"id_{c}"), F.col(category).alias(f"in_{c}"))
+    like = set_pairs(of.select(F.col("word").alias("id"), trigrams(F.col("word")).alias("tokens")), least, "cosine")
+    met = like.join(end("a"), "a").join(end("b"), "b").where(F.col("in_a").eqNullSafe(F.col("in_b")))
+    found = leaders(of.select(F.struct(category, "word").alias("id"), F.struct((-F.col("n")).alias("less"), "word").alias("place")), met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round("score", 9).alias("score")), nearest=True)
+    return found.select(f"id.{category}", "id.word", F.col("leader.word").alias("canonical"))
+
+
+def learned(known: DataFrame, counts: DataFrame, category: str, cluster=greedy_clusters) -> tuple[DataFrame, DataFrame]:
+    """``known(category, word, canonical)`` with the new words of ``counts(category, word, n)``, and (category, canonical, n):
+    what was counted under each canonical word. Words that are known keep theirs; the others are clustered among
+    themselves."""
+    fresh = counts.join(known, [category, "word"], "left_anti")
+    table = known.unionByName(cluster(fresh, category))
+    return table, counts.join(table, [category, "word"]).groupBy(category, "canonical").agg(F.sum("n").alias("n"))
+
+
+#: Slang by abbreviation and by word, interjections and sounds, and what laughter holds.
+ABBREVIATIONS = ("ngl", "af", "rn", "dm", "pm", "ig", "bc", "imo", "gg", "omw", "ftw", "nvm", "atm", "jk", "lmk", "np", "thx", "pls", "plz")
+SLANG = ("cap", "periodt", "bestie", "bro", "sis", "fam", "stan", "ship", "vibe", "flex", "ghost", "simp", "cope", "salty", "toxic", "woke", "fire", "slaps", "hits", "lowkey", "highkey", "noob", "pro", "skibidi")
+INTERJECTIONS = ("eww", "oh", "ohh", "ah", "ahh", "umm", "mhm", "yay", "wow", "gah", "pfft", "meh", "nah", "yup", "nope", "damn", "dang", "gosh", "jeez", "geez", "ouch", "yikes", "oops", "duh", "psst", "shh")
+SOUNDS = ("sigh", "grr", "tsk", "boo", "mwah", "smooch", "giggle", "snort", "sob", "wail", "squeal", "gasp", "gulp", "burp", "hiccup")
+LAUGHTER = ("haha", "hehe", "hihi", "hoho", "huhu", "keke", "jaja")
+
+
+def marked_phrases(messages: DataFrame, lexicon: dict[str, list[str]], signature: str, rare: str) -> DataFrame:
+    """(conv_id, label, phrase, n): everything a message is indexed by, added up over a conversation.
+
+    Labels: the categories of ``lexicon``; slang and affective, words of the lists above as often as they stand between
+    blanks; user_frequent, user_signature and user_rare as in :func:`style.word_classes`; elongation; punct; case; emoji,
+    any and each; special; ngram2 and ngram3 of normalised tokens. A null text has none."""
+    t = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    read = messages.select("conv_id", "turn", t.alias("t")).select("conv_id", "turn", "t", text.tokens(F.col("t")).alias("raw"))
+    read = read.select("*", F.transform("raw", text.normalized_token).alias("canon"))
+    part = lambda label, c, n=None: read.select("conv_id", F.lit(label).alias("label"), F.explode(c).alias("phrase")).select("conv_id", "label", "phrase", F.lit(1).cast("long").alias("n"))
+    count = lambda label, phrase, n: read.select("conv_id", F.lit(label).alias("label"), F.lit(phrase).alias("phrase"), n.cast("long").alias("n")).where("n > 0")
+    plain = lambda w: w.rlike(r"^\p{L}{2,}$")
+    rows = [(c, w) for c, ws in lexicon.items() for w in ws]
+    known = messages.sparkSession.createDataFrame(rows, "label string, phrase string")
+    said = read.select("conv_id", F.explode("canon").alias("phrase")).join(F.broadcast(known), "phrase").select("conv_id", "label", "phrase", F.lit(1).cast("long").alias("n"))
+    words = read.select("conv_id", "turn", F.split(F.lower("t"), " ").alias("blank"), F.explode(F.filter("canon", plain)).alias("phrase"))
+    each = words.groupBy("conv_id", "turn", "phrase").agg(F.count("*").alias("k"), F.any_value("blank").alias("blank"))
+    stands = F.size(F.filter("blank", lambda w: w == F.col("phrase"))).cast("long")
+    slang, laughs = F.col("phrase").isin(*ABBREVIATIONS, *SLANG), F.col("phrase").rlike("|".join(LAUGHTER))
+    size, marked = F.char_length("phrase"), lambda label, c, n: each.where(c).select("conv_id", F.lit(label).alias("label"), "phrase", n.alias("n")).where("n > 0")
+    parts = [
+        said,
+        marked("slang", slang, stands), marked("affective", F.col("phrase").isin(*INTERJECTIONS, *SOUNDS) | laughs, stands),
+        marked("user_frequent", F.col("k") > 1, F.col("k")), marked("user_signature", (size > 6) | F.col("phrase").rlike(signature), F.col("k")), marked("user_rare", (size > 8) | F.col("phrase").rlike(rare), F.lit(1).cast("long")),
+        part("elongation", F.filter("raw", lambda w: w.rlike(r"([A-Za-z])\1\1"))),
+        part("emoji", F.regexp_extract_all("t", F.lit(text.EMOJI), F.lit(0))), count("emoji", "any", F.regexp_count("t", F.lit(text.EMOJI))),
+        *(count("punct", name, F.regexp_count("t", F.lit(p))) for name, p in (("ellipses", r"\.{3}|…"), ("multi_exclaim", "!{2,}"), ("multi_ask", r"\?{2,}"), ("mixed_marks", r"(?:!\?|\?!)+"))),
+        count("case", "ALL_CAPS", F.when(F.exists("raw", lambda w: F.regexp_replace(w, "[^A-Za-z]", "").rlike("^[A-Z]{2,}$")), 1).otherwise(0)),
+        count("case", "lowercase_sentence_starts", F.when(F.exists(text.sentences(F.col("t")), lambda s: F.regexp_extract(s, r"\p{L}", 0).rlike(r"^\p{Ll}")), 1).otherwise(0)),
+        count("case", "lowercase_i", F.size(F.filter("raw", lambda w: w == "i"))),
+        count("special", "keysmash", F.when(F.col("t").rlike(text.KEYSMASH), 1).otherwise(0)),
+    ]
+    run = lambda k: lambda i: F.slice("canon", i, k)
+    for k in (2, 3):
+        runs = F.when(F.size("canon") >= k, F.transform(F.sequence(F.lit(1), F.size("canon") - (k - 1)), run(k)))
+        parts.append(part(f"ngram{k}", F.transform(F.filter(runs, lambda g: F.forall(g, plain)), lambda g: F.array_join(g, "_"))))
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.union(more)
+    return every.groupBy("conv_id", "label", "phrase").agg(F.sum("n").alias("n"))
 
 
 def cluster_shares(clusters: DataFrame, counts: DataFrame, category: str, top: int = 10) -> DataFrame:

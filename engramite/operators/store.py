@@ -61,6 +61,16 @@ def upserted_props(props: DataFrame, new: DataFrame) -> DataFrame:
     return every.groupBy("node_id", "key").agg(F.max_by("value", "seq").alias("value"))
 
 
+def with_props(edges: DataFrame, props: DataFrame, wanted: dict) -> DataFrame:
+    """``edges`` by ``memory_id`` whose properties in ``props(memory_id, key, value)`` all fit ``wanted``, a test a key, with
+    the values as columns. The tests reach the scan of the properties; only what fits any of them is gathered."""
+    fits = F.lit(False)
+    for key, test in wanted.items():
+        fits = fits | ((F.col("key") == key) & test(F.col("value")))
+    kept = props.where(fits).groupBy("memory_id").agg(*(F.max(F.when(F.col("key") == k, F.col("value"))).alias(k) for k in wanted))
+    return edges.join(kept.dropna(subset=list(wanted)), "memory_id")
+
+
 def merged_relations(edges: DataFrame, mapping: dict[str, str]) -> DataFrame:
     """Relationship types renamed; triples that meet add their weights."""
     to = F.create_map(*(F.lit(x) for kv in mapping.items() for x in kv))

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 
+def letter_words(c: Column) -> Column:
+    """Lower-cased runs of letters, without diacritics; null has none."""
+    return F.regexp_extract_all(F.lower(text.without_marks(F.coalesce(c, F.lit("")))), F.lit("[a-z]+"), F.lit(0))
+
+
 def words(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, pos, word): lower-cased letter words of each message."""
-    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    """(conv_id, turn, pos, word): :func:`letter_words` of each message."""
+    w = letter_words(F.col("text"))
     return messages.select("conv_id", "turn", F.posexplode(w).alias("pos", "word"))
 
 
 def ngrams(messages: DataFrame, n: int) -> DataFrame:
     """(gram, n): counted over all messages, map-side combined."""
-    w = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    w = letter_words(F.col("text"))
     # the words are bound once; a plain column would be evaluated again for each gram
     grams = F.transform(F.array(w), lambda v: F.when(F.size(v) >= n, F.transform(F.sequence(F.lit(1), F.size(v) - (n - 1)), lambda i: F.array_join(F.slice(v, i, n), " "))))[0]
     return messages.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))

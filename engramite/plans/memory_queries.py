@@ -3,10 +3,11 @@ what retrieval finds. Each stands next to its SQL where SQL can say it."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ranking, scoring, talk, text
-from ..operators import graph, retrieval, store, vector
+from ..operators import graph, retrieval, search, store, vector
 from ..sources.star import SQL_EDGES, catalog, order_evidence, table
 from . import dsl
 from .registry import _COS, query
@@ -90,10 +91,14 @@ def graph_export(spark, sf_dir):
     return store.exported(store.ingested(_facts(spark, sf_dir))["mentions"])
 
 
-@query("SELECT md5('IS_LIKES') <> '' AS ok, 'LIKE' AS a, 'LIKES_CAT' AS b, 'BOS' AS c, 'HAS' AS d")
+_RELATION = "concat(CASE p_size % 3 WHEN 0 THEN 'is-' WHEN 1 THEN 'WERE_' ELSE '' END, replace(p_type, ' ', '-'), CASE p_size % 2 WHEN 0 THEN '_of' ELSE 's' END)"
+
+
+@query(f"WITH r AS (SELECT DISTINCT {_RELATION} AS relation FROM part), k AS (SELECT relation, array_to_string(list_filter(string_split(replace(upper(relation), '-', '_'), '_'), lambda t: NOT list_contains({_LIST(text.FILLER_TOKENS)}, t)), '_') AS k FROM r) SELECT relation, CASE WHEN length(k) > 3 AND k LIKE '%S' THEN left(k, length(k) - 1) ELSE k END AS key FROM k")
 def relation_keys(spark, sf_dir):
-    key = lambda x: text.relation_key(F.lit(x))
-    return spark.range(1).select(F.lit(True).alias("ok"), key("is-LIKES").alias("a"), key("LIKES_CATS").alias("b"), key("boss").alias("c"), key("was_has").alias("d"))
+    """Relations made of what parts are called."""
+    said = table(spark, sf_dir, "part").select(F.expr(_RELATION).alias("relation")).distinct()
+    return said.select("relation", text.relation_key(F.col("relation")).alias("key"))
 
 
 # --- nodes, edges and their text
@@ -124,9 +129,9 @@ def graph_dump(spark, sf_dir):
     return c.nodes.groupBy(F.col("label").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "kind", "n").union(c.edges.groupBy(F.col("relationship").alias("kind")).agg(F.count("*").alias("n")).select(F.lit("edge"), "kind", "n"))
 
 
-@query(SQL_EDGES + "SELECT source || ' --' || relationship || '--> ' || destination AS line, source || ' is ' || lower(replace(relationship, '_', ' ')) || ' ' || destination AS said, destination AS back FROM edges WHERE relationship <> 'SUPPLIES'")
+@query(SQL_EDGES + "SELECT source || ' --' || relationship || '--> ' || destination AS line, source || ' is ' || lower(replace(relationship, '_', ' ')) || ' ' || destination AS said, destination AS back FROM edges")
 def edge_lines(spark, sf_dir):
-    e = catalog(spark, sf_dir).edges.where("relationship <> 'SUPPLIES'")
+    e = catalog(spark, sf_dir).edges
     line = talk.edge_line(F.col("source"), F.col("relationship"), F.col("destination"))
     return e.select(line.alias("line"), talk.edge_sentence(F.col("source"), F.col("relationship"), F.col("destination")).alias("said")).withColumn("back", talk.parsed_edge(F.col("line"))["destination"])
 
@@ -161,19 +166,21 @@ def entity_roles(spark, sf_dir):
     return graph.roles(catalog(spark, sf_dir).edges).select("id", F.array_join("as_source", ",").alias("as_source"), F.array_join("as_destination", ",").alias("as_destination"))
 
 
-@query(SQL_EDGES + "SELECT destination AS id, string_agg(DISTINCT source, ',' ORDER BY source) AS entities, string_agg(DISTINCT relationship, ',' ORDER BY relationship) AS relations FROM edges WHERE relationship IN ('IN_NATION', 'IN_REGION') GROUP BY 1")
+@query(SQL_EDGES + "SELECT destination AS id, string_agg(DISTINCT source, ',' ORDER BY source) AS entities, string_agg(DISTINCT relationship, ',' ORDER BY relationship) AS relations FROM edges GROUP BY 1")
 def distinct_collections(spark, sf_dir):
-    e = catalog(spark, sf_dir).edges.where("relationship in ('IN_NATION', 'IN_REGION')")
+    e = catalog(spark, sf_dir).edges
     return e.groupBy(F.col("destination").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("entities"), F.array_join(F.array_sort(F.collect_set("relationship")), ",").alias("relations"))
 
 
-@query("SELECT a.n_name AS a, b.n_name AS b, CASE WHEN a.n_name = b.n_name THEN a.n_name ELSE a.n_name || ' of ' || b.n_name || ' x' END AS merged, CAST(2 AS DOUBLE) / 4 AS shared FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE NOT contains(a.n_name, ' ') AND NOT contains(b.n_name, ' ')")
+_SPLIT = "list_filter(string_split_regex(t, '\\s+'), lambda w: w <> '')"
+
+
+@query(f"WITH x AS (SELECT conv_id, turn, text AS t, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS u FROM conversations), p AS (SELECT conv_id, turn, t AS a, u AS b, {_SPLIT} AS wa, {_SPLIT.replace('(t,', '(u,')} AS wb FROM x WHERE t IS NOT NULL AND u IS NOT NULL), e AS (SELECT conv_id, turn, w, min(i) AS i FROM (SELECT conv_id, turn, unnest(list_concat(wa, wb)) AS w, generate_subscripts(list_concat(wa, wb), 1) AS i FROM p) GROUP BY 1, 2, 3), m AS (SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) AS merged FROM e GROUP BY 1, 2), l AS (SELECT conv_id, turn, list_distinct(list_transform(wa, lambda w: lower(w))) AS la, list_distinct(list_transform(wb, lambda w: lower(w))) AS lb FROM p) SELECT p.conv_id AS conv_id, p.turn AS turn, CASE WHEN a = b THEN a ELSE coalesce(merged, '') END AS merged, round(coalesce(len(list_intersect(la, lb))::DOUBLE / nullif(len(list_distinct(list_concat(la, lb))), 0), 0), 9) AS shared FROM p LEFT JOIN m USING (conv_id, turn) JOIN l USING (conv_id, turn)")
 def text_merge(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").where("not contains(n_name, ' ')")
-    a, b = (n.select(F.col("n_name").alias(c), F.col("n_regionkey").alias(f"r{c}"), F.col("n_nationkey").alias(f"k{c}")) for c in "ab")
-    met = a.join(b, (F.col("ra") == F.col("rb")) & (F.col("ka") < F.col("kb")))
-    one, two = F.concat("a", F.lit("  of "), F.col("b")), F.concat(F.lit("of "), F.col("b"), F.lit(" "), F.col("a"), F.lit(" x of"))
-    return met.select("a", "b", text.merged_text(one, two).alias("merged"), text.jaccard(F.concat(F.lit("A b "), F.col("a")), F.concat(F.lit("a B "), F.col("b"))).alias("shared"))
+    """Each turn merged with the one after it."""
+    after = F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    met = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", after.alias("next")).where("text is not null and next is not null")
+    return met.select("conv_id", "turn", text.merged_text(F.col("text"), F.col("next")).alias("merged"), F.round(text.jaccard(F.col("text"), F.col("next")), 9).alias("shared"))
 
 
 # --- the store
@@ -236,11 +243,19 @@ def merge_relations(spark, sf_dir):
     return store.merged_relations(graph.scan(catalog(spark, sf_dir).edges, ["IN_NATION", "IN_REGION"]), {"IN_NATION": "PART_OF", "IN_REGION": "PART_OF"})
 
 
-@query("SELECT c_custkey, 'Acme, ACME, acme and Acme in ' || n_name AS x FROM customer JOIN nation ON c_nationkey = n_nationkey")
+_CAPITALS = "array_to_string(list_transform(string_split(lower({c}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
+_REWRITTEN = "said"
+for _case in ("{c}", "upper({c})", "lower({c})", _CAPITALS):
+    _REWRITTEN = f"replace({_REWRITTEN}, {_case.format(c='n_name')}, {_case.format(c='r_name')})"
+
+
+@query(f"WITH s AS (SELECT c_custkey, n_name, r_name, c_name || ' of ' || n_name || ', once ' || lower(n_name) || ' or ' || {_CAPITALS.format(c='n_name')} || ' near ' || c_mktsegment AS said FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) SELECT c_custkey, {_REWRITTEN} AS x FROM s")
 def rewrite_text(spark, sf_dir):
-    met = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    said = F.concat(F.lit("Initech, INITECH, initech and Initech in "), F.col("n_name"))
-    return met.select("c_custkey", store.rewritten(said, F.lit("Initech"), F.lit("Acme")).alias("x"))
+    """Each customer's nation becomes its region, in every case that it is written in."""
+    t = lambda name: table(spark, sf_dir, name)
+    met = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    said = F.concat("c_name", F.lit(" of "), "n_name", F.lit(", once "), F.lower("n_name"), F.lit(" or "), F.initcap("n_name"), F.lit(" near "), "c_mktsegment")
+    return met.select("c_custkey", store.rewritten(said, F.col("n_name"), F.col("r_name")).alias("x"))
 
 
 @query("SELECT event_id AS id, user_id AS memory_id, 'ADD' AS event, ts AS created_at, ts AS updated_at FROM events WHERE event_id % 2 = 0 UNION ALL SELECT event_id, user_id, 'DELETE', NULL, ts FROM events WHERE event_id % 2 = 1")
@@ -258,6 +273,33 @@ def vector_upsert_delete(spark, sf_dir):
     return vector.delete(changed, v.where("label = 1"))
 
 
+@query(SQL_EDGES + ", f AS (SELECT 'ent::' || upper(n_name) AS n, 'ent::' || upper(r_name) AS r FROM nation JOIN region ON n_regionkey = r_regionkey ORDER BY n_name LIMIT 1) SELECT source, relationship, destination, weight FROM edges, f WHERE relationship = 'IN_NATION' AND destination = n OR relationship = 'IN_REGION' AND source = n AND destination = r")
+def edge_lookup(spark, sf_dir):
+    """Edges by relationship and an end, and one by its whole triple: those of the first nation."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    first = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_name").select(F.upper("n_name"), F.upper("r_name")).first()
+    n, r = (f"ent::{x}" for x in first or ("", ""))
+    e = catalog(spark, sf_dir).edges
+    found = graph.scan(e, ["IN_NATION"], destination=n).union(graph.scan(e, ["IN_REGION"], n, r))
+    return found.select("source", "relationship", "destination", "weight")
+
+
+@query("SELECT o_orderkey AS memory_id, o_custkey AS source, 'ORDERED' AS relationship, o_orderpriority AS destination, strftime(o_orderdate, '%Y-%m') AS month FROM orders WHERE strftime(o_orderdate, '%m') = '03' AND o_orderstatus = 'F'")
+def edge_props_lookup(spark, sf_dir):
+    """Edges by two of their properties, each a row of its own."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("memory_id"), F.col("o_custkey").alias("source"), F.lit("ORDERED").alias("relationship"), F.col("o_orderpriority").alias("destination"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderstatus").alias("status"))
+    edges = orders.select("memory_id", "source", "relationship", "destination")
+    props = orders.select("memory_id", F.stack(F.lit(2), F.lit("month"), F.col("month"), F.lit("status"), F.col("status")).alias("key", "value"))
+    return store.with_props(edges, props, {"month": lambda v: v.endswith("-03"), "status": lambda v: v == "F"}).select("memory_id", "source", "relationship", "destination", "month")
+
+
+@query("SELECT event_id, event_type, user_id FROM events WHERE event_id % 1000 = 7")
+def payload_get(spark, sf_dir):
+    """Payloads by a table of ids."""
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    return events.join(table(spark, sf_dir, "events").where("event_id % 1000 = 7").select("event_id").distinct(), "event_id", "left_semi")
+
+
 @query("SELECT event_id, event_type FROM events ORDER BY ts, event_id LIMIT 100")
 def payload_page(spark, sf_dir):
     return table(spark, sf_dir, "events").orderBy("ts", "event_id").limit(100).select("event_id", "event_type")
@@ -347,11 +389,18 @@ def relation_scores(spark, sf_dir):
     return _ordered(spark, sf_dir).groupBy(F.col("destination").alias("id")).agg(F.least(F.count("*"), F.lit(5)).cast("int").alias("capped"), F.round(F.least(F.lit(1.0), 0.4 + F.sum(part)), 6).alias("score"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN round(CAST(0.36 AS DOUBLE), 6) ELSE CAST(0 AS DOUBLE) END AS score FROM orders")
+_LEX_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(f"WITH t AS (SELECT conv_id, turn, unnest({_LEX_WORDS}) AS w FROM conversations), n AS (SELECT conv_id, turn, w, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY conv_id, turn) AS s FROM t GROUP BY 1, 2, 3), m AS (SELECT a.conv_id AS conv_id, a.turn AS turn, sum(a.s * b.s) AS score FROM n a JOIN n b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn AND a.w = b.w GROUP BY 1, 2) SELECT x.conv_id AS conv_id, x.turn AS turn, round(coalesce(score, 0), 6) AS score FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id AND x.turn + 1 = y.turn LEFT JOIN m ON m.conv_id = x.conv_id AND m.turn = x.turn")
 def lexical_match(spark, sf_dir):
-    a = F.create_map(F.lit("red"), F.lit(0.6), F.lit("boat"), F.lit(0.4))
-    b = F.when(F.col("o_orderkey") % 2 == 0, F.create_map(F.lit("red"), F.lit(0.6), F.lit("sea"), F.lit(0.1))).otherwise(F.create_map(F.lit("sky"), F.lit(1.0)))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.round(ranking.lexical_match(a, b), 6).alias("score"))
+    """How much each turn and the one after it say the same, by the shares of their words."""
+    turns = table(spark, sf_dir, "conversations").withColumn("id", F.col("conv_id") * 1000 + F.col("turn"))
+    bags = search.word_weights(turns, "id").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "w"))).alias("bag"))  # the words of one turn
+    bag = lambda c: F.coalesce(c, F.create_map().cast("map<string,double>"))
+    pairs = turns.select("conv_id", "turn", "id", (F.col("id") + 1).alias("then")).join(turns.select(F.col("id").alias("then")), "then")
+    met = pairs.join(bags, "id", "left").join(bags.select(F.col("id").alias("then"), F.col("bag").alias("next")), "then", "left")
+    return met.select("conv_id", "turn", F.round(ranking.lexical_match(bag(F.col("bag")), bag(F.col("next"))), 6).alias("score"))
 
 
 @query(f"WITH near AS (SELECT v.vec_id, {_COS} AS score FROM embeddings q JOIN embeddings v ON q.vec_id = 0 AND v.vec_id <> 0 ORDER BY score DESC, v.vec_id LIMIT 50) SELECT DISTINCT o_custkey AS source, l_suppkey AS destination FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_suppkey IN (SELECT vec_id FROM near WHERE score >= 0.2)")

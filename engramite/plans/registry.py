@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import graph, lifecycle, style, vector
-from ..sources.star import SQL_EDGES, catalog, order_evidence, table
+from ..sources.star import SQL_EDGES, catalog, order_evidence, remembered, table
 from ..streaming import windows
 from . import dsl
 
@@ -30,6 +30,10 @@ def query(sql: str | None = None):
 
 
 def _ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remembered(spark, sf_dir, "ordered", ["orders", "lineitem"], lambda: _ordered_edges(spark, sf_dir), "source")
+
+
+def _ordered_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_evidence(spark, sf_dir).select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")).alias("source"), F.lit("ORDERED_FROM").alias("relationship"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("destination"), "weight", "updated_at")
 
 
@@ -327,7 +331,7 @@ def _words(spark, sf_dir):
     return style.words(_turns(spark, sf_dir)).groupBy("word").agg(F.count("*").alias("n"))
 
 
-_SQL_WORDS = "w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM conversations) GROUP BY 1)"
+_SQL_WORDS = "w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[a-z]+')) AS word FROM conversations) GROUP BY 1)"
 
 
 @query(f"WITH {_SQL_WORDS} SELECT x.word AS a, y.word AS b FROM w x JOIN w y ON x.word < y.word AND abs(length(x.word) - length(y.word)) <= 1 WHERE levenshtein(x.word, y.word) <= 1")
@@ -373,7 +377,7 @@ def merge_entities(spark, sf_dir):
 # --- style
 
 
-@query("WITH w AS (SELECT regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM conversations), g AS (SELECT w[i] || ' ' || w[i + 1] AS gram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w) UNION ALL SELECT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w)) SELECT gram, count(*) AS n FROM g GROUP BY 1")
+@query("WITH w AS (SELECT regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[a-z]+') AS w FROM conversations), g AS (SELECT w[i] || ' ' || w[i + 1] AS gram FROM (SELECT w, unnest(range(1, len(w))) AS i FROM w) UNION ALL SELECT w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM w)) SELECT gram, count(*) AS n FROM g GROUP BY 1")
 def ngram_counts(spark, sf_dir):
     return style.ngrams(_turns(spark, sf_dir), 2).union(style.ngrams(_turns(spark, sf_dir), 3))
 
@@ -383,7 +387,7 @@ def phrase_shares_topn(spark, sf_dir):
     return style.shares(_words(spark, sf_dir).select(F.substring("word", 1, 1).alias("letter"), "word", "n"), "letter", "word", "n", 5)
 
 
-@query("WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM conversations), c AS (SELECT conv_id, turn, word, count(*) AS n FROM w GROUP BY 1, 2, 3), l AS (SELECT conv_id, max(turn) AS last FROM c GROUP BY 1) SELECT c.conv_id AS conv_id, word, round(sum(0.1 * pow(0.9, last - turn) * n) + 1e-9, 6) AS score FROM c JOIN l ON c.conv_id = l.conv_id GROUP BY 1, 2")
+@query("WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[a-z]+')) AS word FROM conversations), c AS (SELECT conv_id, turn, word, count(*) AS n FROM w GROUP BY 1, 2, 3), l AS (SELECT conv_id, max(turn) AS last FROM c GROUP BY 1) SELECT c.conv_id AS conv_id, word, round(sum(0.1 * pow(0.9, last - turn) * n) + 1e-9, 6) AS score FROM c JOIN l ON c.conv_id = l.conv_id GROUP BY 1, 2")
 def session_ema(spark, sf_dir):
     counts = style.words(_turns(spark, sf_dir)).groupBy("conv_id", "turn", "word").agg(F.count("*").alias("n"))
     return style.session_ema(counts).select("conv_id", "word", F.round(F.col("score") + 1e-9, 6).alias("score"))
@@ -446,7 +450,7 @@ def stream_edges(spark, sf_dir):
 
 _LEXICON = {"function": ["the", "of", "and", "to", "in"], "hedge": ["maybe", "perhaps", "some"], "filler": ["er", "haha", "well", "so"]}
 _SQL_LEXICON = "(VALUES " + ", ".join(f"('{c}', '{w}')" for c, ws in _LEXICON.items() for w in ws) + ") AS lex(category, word)"
-_SQL_SAID = "said AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM conversations)"
+_SQL_SAID = "said AS (SELECT conv_id, turn, unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[a-z]+')) AS word FROM conversations)"
 _SQL_HITS = f"{_SQL_SAID}, hits AS (SELECT conv_id, turn, category, count(*) AS n FROM said JOIN {_SQL_LEXICON} USING (word) GROUP BY 1, 2, 3)"
 _SIGNATURE, _RARE = "[xzq]|(ness|ment|able|ious)$", "[zq]|y.*y|(ae|oe|ph|rh|ps|mn)"
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, search, vector
+from ..operators import graph, search, style
 from ..operators.vector_index import VectorIndex
 from ..sources.star import table
 from ..streaming import states, windows
@@ -182,12 +182,12 @@ def vector_topk_ivf(spark, sf_dir):
 
 # --- streams with state
 
-_SPOKEN = "regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')"
+_SPOKEN = "regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[a-z]+')"
 
 
 def _spoken(spark, sf_dir):
     turns = _stream(spark, sf_dir, "conversations")
-    return turns.select("conv_id", "turn", F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    return turns.select("conv_id", "turn", F.explode(style.letter_words(F.col("text"))).alias("word"))
 
 
 @query(f"WITH w AS (SELECT conv_id, turn, unnest({_SPOKEN}) AS word FROM conversations), c AS (SELECT conv_id, turn, word, count(*) AS n FROM w GROUP BY 1, 2, 3), l AS (SELECT conv_id, max(turn) AS last FROM c GROUP BY 1) SELECT c.conv_id AS conv_id, word, round(sum(0.1 * pow(0.9, last - turn) * n) + 1e-9, 6) AS score FROM c JOIN l ON c.conv_id = l.conv_id GROUP BY 1, 2")

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import talk, text
-from ..operators import lifecycle, profile, style
+from ..operators import graph, lifecycle, profile, similarity, style
 from ..sources.star import table
 from ..streaming import windows
-from .registry import _CASED, _LEXICON, _MARKS, _SQL_HITS, _SQL_SAID, _SQL_TURNS, _SQL_WORDS, SQL, _stream, _turns, _words, query
+from .registry import _CASED, _LEXICON, _MARKS, _RARE, _SIGNATURE, _SQL_HITS, _SQL_SAID, _SQL_TURNS, _SQL_WORDS, SQL, _stream, _turns, _words, query
 
 _SQL_BARE = "(SELECT conv_id, unnest(list_filter(bare, lambda x: regexp_matches(x, '{p}'))) AS phrase FROM f)"
-_SQL_GRAM = "(SELECT conv_id, w[i] || {more} AS phrase FROM (SELECT conv_id, w, unnest(range(1, len(w) - {n})) AS i FROM (SELECT conv_id, regexp_extract_all(lower(t), '[a-z]+') AS w FROM f)))"
+_SQL_GRAM = "(SELECT conv_id, w[i] || {more} AS phrase FROM (SELECT conv_id, w, unnest(range(1, len(w) - {n})) AS i FROM (SELECT conv_id, regexp_extract_all(lower(strip_accents(t)), '[a-z]+') AS w FROM f)))"
 
 
 @query(f"WITH {_SQL_TURNS} SELECT conv_id, label, phrase, count(*) AS n FROM (SELECT conv_id, 'caps' AS label, phrase FROM {_SQL_BARE.format(p='^[A-Z]{2,}$')} UNION ALL SELECT conv_id, 'title', phrase FROM {_SQL_BARE.format(p='^[A-Z][a-z]+$')} UNION ALL SELECT conv_id, 'bigram', phrase FROM {_SQL_GRAM.format(more="' ' || w[i + 1]", n=0)} UNION ALL SELECT conv_id, 'trigram', phrase FROM {_SQL_GRAM.format(more="' ' || w[i + 1] || ' ' || w[i + 2]", n=1)}) GROUP BY 1, 2, 3")
@@ -78,6 +78,34 @@ def edit_clusters(spark, sf_dir):
     return profile.greedy_clusters(_by_letter(spark, sf_dir), "letter")
 
 
+@query()
+def semantic_clusters(spark, sf_dir):
+    """Leaders of words alike by their trigrams; tested against a plain loop."""
+    return profile.semantic_clusters(_by_letter(spark, sf_dir), "letter", 0.7)
+
+
+@query()
+def marked_phrases(spark, sf_dir):
+    """All labels that a message is indexed by; tested against Python."""
+    return profile.marked_phrases(_turns(spark, sf_dir), _LEXICON, _SIGNATURE, _RARE)
+
+
+@query()
+def learned_patterns(spark, sf_dir):
+    """Words of even conversations are learned first, those of odd ones on top of them."""
+    counts = lambda rest: style.words(_turns(spark, sf_dir).where(F.col("conv_id") % 2 == rest)).groupBy(F.substring("word", 1, 1).alias("letter"), "word").agg(F.count("*").alias("n"))
+    none = spark.createDataFrame([], "letter string, word string, canonical string")
+    known = graph.settled(profile.learned(none, counts(0), "letter")[0])
+    return profile.learned(known, counts(1), "letter")[1]
+
+
+@query()
+def client_merges(spark, sf_dir):
+    """Clients whose names are alike go to the one who came first; tested against all pairs."""
+    names = table(spark, sf_dir, "clients").select(F.col("name"), F.col("client_id").alias("seq")).where("name is not null and seq is not null")
+    return similarity.best_targets(similarity.similar(names.select("name"), 0.9), names)
+
+
 @query()
 def cluster_shares(spark, sf_dir):
     counts = _by_letter(spark, sf_dir)
