@@ -21,6 +21,8 @@ from .simhash import Forest
 
 #: Vectors in a cell, and pivots over all labels (about 600 bytes each, broadcast).
 CELL, PIVOTS = 3000, 4096
+#: Areas, about 100 bytes each, up to which their sizes are broadcast; where labels are many they meet by a shuffle.
+BROADCAST_AREAS = 100_000
 SLACK = 1e-9
 
 
@@ -137,8 +139,9 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.string())], names=["h", "grp", "unit", "times", "area"])
 
     placed = classes.select("h", "grp", "unit", "times").mapInArrow(settle, "h binary, grp string, unit binary, times long, area string")
-    sizes = placed.groupBy("area").agg(F.count("*").alias("n"))  # PIVOTS and the labels at most
-    member = cut(placed.join(F.broadcast(sizes), "area").select("h", "grp", "unit", "times", F.concat_ws("/", "area", F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / cell)).cast("string")).alias("cell")))
+    sizes = cut(placed.groupBy("area").agg(F.count("*").alias("n")))  # a row a pivot, and one a label without any
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_AREAS else sizes
+    member = cut(placed.join(sizes, "area").select("h", "grp", "unit", "times", F.concat_ws("/", "area", F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / cell)).cast("string")).alias("cell")))
 
     def centre(table: pa.Table) -> pa.Table:
         x = np.stack([np.frombuffer(u) for u in table.column("unit").to_pylist()])

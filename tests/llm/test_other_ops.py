@@ -170,7 +170,7 @@ def test_toxicity(spark):
 
 
 @pytest.mark.parametrize("cell", [5, 40, 5000])
-def test_cover_trees(spark, cell):
+def test_cover_trees(spark, monkeypatch, cell):
     rng = np.random.default_rng(6)
     x = rng.normal(size=(120, 8))
     x = np.concatenate([x, x[:60] + rng.normal(size=(60, 8)) * 0.25, x[:5], x[:5] * 3])
@@ -190,4 +190,7 @@ def test_cover_trees(spark, cell):
     got = covertree.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"), cell=cell)
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got.collect()), key=repr) == want
     assert len(linked) > 50
+    monkeypatch.setattr(covertree, "BROADCAST_AREAS", 0)
+    again = covertree.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int"), cell=cell)
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in again.collect()), key=repr) == want
     assert covertree.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
