@@ -18,7 +18,7 @@ from .common import batch, cut, drop_dir, sliced, table, text_columns
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: Words of one trie; a prefix that more words share is split by its next character.
-SHARD_WORDS = 1000
+SHARD_WORDS = 2000
 #: Distinct words a task gathers before it hands them on.
 FLUSH = 200_000
 #: From texts beyond this many characters, runs are taken one at a time.
