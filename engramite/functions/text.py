@@ -159,6 +159,22 @@ def message_features(text: Column) -> list[Column]:
     ]
 
 
+def emoji_places(text: Column) -> Column:
+    """struct<total, first, mid, last>: a text's sentences with an emoji, and how many of them have one in their first
+    tenth, in neither end, and in their last tenth; a sentence counts as mid while those at ends are fewer than all so far."""
+    at = lambda s: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.char_length(s))), lambda i: F.when(F.substring(s, i, F.lit(1)).rlike(EMOJI), i - 1)), lambda i: i.isNotNull())
+    seen = F.filter(F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s: F.struct(at(s).alias("at"), F.char_length(s).alias("n"))), lambda x: F.size(x["at"]) > 0)
+    one = lambda c: F.when(c, 1).otherwise(0)
+
+    def step(s: Column, x: Column) -> Column:
+        total = s["total"] + 1
+        first = s["first"] + one(F.array_min(x["at"]) <= F.floor(0.1 * x["n"]).cast("int"))
+        last = s["last"] + one(F.array_max(x["at"]) >= F.greatest(F.lit(0), F.floor(0.9 * x["n"]).cast("int") - 1))
+        return F.struct(total.alias("total"), first.alias("first"), (s["mid"] + one(first + last < total)).alias("mid"), last.alias("last"))
+
+    return F.aggregate(seen, F.struct(*(F.lit(0).alias(k) for k in ("total", "first", "mid", "last"))), step)
+
+
 def without_marks(c: Column) -> Column:
     """Letters of Latin-1 and Latin Extended-A without their diacritics, from their canonical decompositions."""
     plain = [(chr(i), unicodedata.normalize("NFD", chr(i))[0]) for i in range(0xC0, 0x180) if len(unicodedata.normalize("NFD", chr(i))) > 1]

@@ -76,6 +76,43 @@ def mean_scores(percentages: DataFrame, item: str, top: int = 15) -> DataFrame:
     return shared.where(F.col("place") <= top)
 
 
+def style_blueprint(messages: DataFrame, lexicon: dict[str, list[str]]) -> DataFrame:
+    """One row a conversation: how much of its style is each habit, in percent at one place, null where it has none.
+
+    Most are counts over sentences; capitals are a share of tokens, exclamations of sentences. A mean sentence of 15 words is
+    the default and says nothing. ``avoids_capitals`` and ``avoids_oxford`` are messages without a capital start, or with
+    lists but none with a last comma, over sentences, where they are more than three in ten."""
+    f = messages.select("conv_id", "turn", *text.message_features(F.col("text")))
+    names = ("n_tokens", "n_sentences", "low_starts", "all_caps", "small_i", "elongated", "emojis", "ellipses", "multi_exclaim", "multi_ask", "mixed_marks", "repeats")
+    shout = F.sum(F.round(F.col("exclaiming") * F.col("n_sentences"))).alias("exclaimed")
+    no_capital = F.count_if((F.col("n_tokens") > 0) & (F.col("low_starts") >= F.col("n_sentences"))).alias("no_capital")
+    no_oxford = F.count_if((F.col("without_oxford") > 0) & (F.col("with_oxford") == 0)).alias("no_oxford")
+    sums = f.groupBy("conv_id").agg(*(F.sum(c).alias(c) for c in names), shout, no_capital, no_oxford)
+    hits = style.lexicon_hits(messages, lexicon).groupBy("conv_id").pivot("category", sorted(lexicon)).agg(F.sum("n"))
+    full, n = sums.join(hits.toDF("conv_id", *(f"_{c}" for c in sorted(lexicon))), "conv_id", "left"), F.greatest(F.lit(1), F.col("n_sentences"))
+    share = lambda c, name, of=n: F.when(c > 0, F.round(100.0 * c / of, 1)).alias(name)
+    often = lambda c, name: F.when(F.col(c) > 0.3 * n, F.round(100.0 * F.col(c) / n, 1)).alias(name)
+    mean = F.col("n_tokens") / n
+    return full.select(
+        "conv_id", share(F.col("low_starts"), "lowercase_starts"), share(F.col("all_caps"), "all_caps", F.greatest(F.lit(1), F.col("n_tokens"))), share(F.col("small_i"), "lowercase_i"), share(F.col("elongated"), "elongations"), share(F.col("emojis"), "emojis"),
+        share(F.col("ellipses") + F.col("multi_exclaim") + F.col("multi_ask") + F.col("mixed_marks"), "repeated_punct"), share(F.col("exclaimed"), "exclamations"), *(share(F.col(f"_{c}"), c) for c in sorted(lexicon)), share(F.col("repeats"), "word_repeats"),
+        F.when((mean > 0) & (mean != 15.0), F.round(mean, 1)).alias("avg_sentence_length"), often("no_capital", "avoids_capitals"), often("no_oxford", "avoids_oxford"),
+    )
+
+
+def section_report(signals: DataFrame, emotions: DataFrame, bag: DataFrame, min_emotion: float = 1.0, min_count: int = 2, min_share: float = 1.0) -> DataFrame:
+    """(section, item, n, pct): the shares of ``signals(signal, n, pct)``, of ``emotions(category, share)`` that reach
+    ``min_emotion`` percent, and of the phrases of ``bag(label, phrase, n)`` said ``min_count`` times or more that reach
+    ``min_share`` percent of all such."""
+    one = signals.select(F.lit(1).alias("section"), F.col("signal").alias("item"), F.col("n").cast("long").alias("n"), "pct")
+    two = emotions.where(F.col("share") >= min_emotion).select(F.lit(2), "category", F.lit(None).cast("long"), "share")
+    said = bag.groupBy("label", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
+    total = said.agg(F.sum("n").alias("total"))
+    pct = F.round(100.0 * F.col("n") / F.col("total"), 4)
+    three = said.join(F.broadcast(total)).select(F.lit(3), F.concat(F.lit("["), "label", F.lit("] "), "phrase"), "n", pct.alias("pct")).where(F.col("pct") >= min_share)  # one row of totals
+    return one.union(two).union(three)
+
+
 def phonetic_pairs(words_: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, score): words that sound alike, found by their collapsed forms; containment, which scores 0.7, lies below."""
     if least <= 0.7:

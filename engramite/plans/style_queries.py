@@ -90,6 +90,27 @@ def marked_phrases(spark, sf_dir):
     return profile.marked_phrases(_turns(spark, sf_dir), _LEXICON, _SIGNATURE, _RARE)
 
 
+@query()
+def emoji_positions(spark, sf_dir):
+    """Where in their sentences emoji stand; tested against Python."""
+    at = text.emoji_places(F.col("text")).alias("p")
+    found = _turns(spark, sf_dir).select("conv_id", "turn", at).select("conv_id", "turn", "p.*")
+    return found.select("conv_id", "turn", F.col("total").alias("sentences_with_emoji"), *(text.ratio(F.col(c), F.col("total")).alias(f"{n}_ratio") for c, n in (("first", "start"), ("mid", "mid"), ("last", "end"))))
+
+
+@query()
+def style_blueprint(spark, sf_dir):
+    """The flat blueprint; it needs the features that the other dialect's patterns lack, so it is tested against Python."""
+    return profile.style_blueprint(_turns(spark, sf_dir), _LEXICON)
+
+
+@query(f"WITH s AS ({SQL['signal_shares']}), e AS ({SQL['emotion_means']}), b AS (SELECT label, phrase, CAST(sum(n) AS BIGINT) AS n FROM {_SQL_BAG} GROUP BY 1, 2 HAVING sum(n) >= 2), p AS (SELECT '[' || label || '] ' || phrase AS item, n, round(100::DOUBLE * n / sum(n) OVER (), 4) AS pct FROM b) SELECT 1 AS section, signal AS item, n, pct FROM s UNION ALL SELECT 2, category, NULL, share FROM e WHERE share >= 1 UNION ALL SELECT 3, item, n, pct FROM p WHERE pct >= 0.05")
+def section_report(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    emotions = profile.mean_scores(style.percentages(style.lexicon_hits(turns, _LEXICON), "category"), "category")
+    return profile.section_report(profile.signal_shares(turns, _SIGNALS), emotions, profile.phrase_bag(turns), min_share=0.05)
+
+
 @query()
 def learned_patterns(spark, sf_dir):
     """Words of even conversations are learned first, those of odd ones on top of them."""

@@ -2,6 +2,7 @@
 
 import difflib
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -295,3 +296,54 @@ def test_marked_phrases_by_hand(spark):
     assert {k: v for k, v in got.items() if not k[1].startswith("ngram")} == want
     assert got[1, "ngram2", "this_is"] == 1 and got[1, "ngram3", "so_god_god"] == 1 and (2, "ngram2", "yay_lowkey") not in got
     assert text.EMOJI and not any(k[0] == 3 for k in got)
+
+
+def test_chains_of_questions_against_all_pairs(spark):
+    rng = random.Random(6)
+    paths = [(q, i, rng.choice("ABCD"), "R", rng.choice("ABCD")) for q in range(5) for i in range(8)]
+    said = [(0, "a b"), (1, "who is c"), (2, ""), (3, None), (4, "abd")]
+    want = []
+    for q, words in ((q, (t or "").lower().split()) for q, t in said):
+        own = sorted(p[1:] for p in paths if p[0] == q)
+        found = []
+        for (i, s1, _, d1), (j, s2, _, d2) in itertools.combinations(own, 2):
+            rule = (0.8, "chain", [s1, d1, d2]) if d1 == s2 else (0.6, "converge", [s1, s2, d1]) if d1 == d2 and s1 != s2 else (0.7, "diverge", [d1, s1, d2]) if s1 == s2 and d1 != d2 else None
+            if rule:
+                part = sum(any(w in x.lower() for w in words) for x in rule[2]) / 3
+                found.append((-round(rule[0] * part, 9), i, j, rule[1]))
+        want += [(q, i, j, kind, -s) for s, i, j, kind in sorted(found)[:3]]
+    frame = spark.createDataFrame(paths, "qid long, place long, source string, relationship string, destination string")
+    got = [(r.qid, r.i, r.j, r.kind, r.score) for r in search.reasoned(frame, ask(spark, said)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_places_of_emoji(spark):
+    emoji = re.compile("[\U0001F300-\U0001FAFF\u2600-\u27BF\U0001F1E6-\U0001F1FF]")
+    texts = ["😀 hello there my friend of old.", "so 😀 it goes on and on. then end 😀! 😀😀 all.", "nothing. at all", None, "", "a long sentence with one 😀 in the middle of it. another 😀 one like that here"]
+    for t in texts:
+        total = first = mid = last = 0
+        for s in [x for x in re.split(r"(?<=[.!?…])\s+", re.sub(r"\s+", " ", t or "").strip()) if x]:
+            at = [i for i, c in enumerate(s) if emoji.match(c)]
+            if at:
+                total += 1
+                first += at[0] <= int(0.1 * len(s))
+                last += at[-1] >= max(0, int(0.9 * len(s)) - 1)
+                mid += first + last < total
+        got = spark.createDataFrame([(t,)], "t string").select(text.emoji_places(F.col("t")).alias("p")).first().p
+        assert tuple(got) == (total, first, mid, last), t
+
+
+def test_blueprints_follow_the_features(spark):
+    rows = [(1, 1, "u", "well i said NO!! and so it goes"), (1, 2, "u", "hmm. soooo what"), (2, 1, "u", "A plain line of words"), (3, 1, "u", None)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.asDict() for r in profile.style_blueprint(frame, {"filler": ["well", "hmm"]}).collect()}
+    f = defaultdict(Counter)
+    for r in frame.select("conv_id", *text.message_features(F.col("text"))).collect():
+        for k in ("n_sentences", "n_tokens", "low_starts", "all_caps", "small_i", "elongated"):
+            f[r.conv_id][k] += r[k]
+    for c, n in f.items():
+        pct = lambda x, of: round(100 * x / of, 1) if x else None
+        assert got[c]["lowercase_starts"] == pct(n["low_starts"], n["n_sentences"]) and got[c]["all_caps"] == pct(n["all_caps"], max(1, n["n_tokens"]))
+        assert got[c]["lowercase_i"] == pct(n["small_i"], n["n_sentences"]) and got[c]["elongations"] == pct(n["elongated"], n["n_sentences"])
+    assert got[1]["filler"] == pct(2, f[1]["n_sentences"]) and got[2]["filler"] is None and got[1]["avoids_capitals"] and got[2]["avoids_capitals"] is None
+    assert got[3]["avg_sentence_length"] is None and got[2]["avg_sentence_length"] == 5.0
