@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, sliced, text_columns, text_key
+from .common import batch, cut, drop_dir, sliced, table, text_columns, text_key
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -59,22 +59,23 @@ def _terms(text: str) -> set[str]:
     return {t.lower() for t in set(TERM.findall(text))}
 
 
-def _together(text: str, spans: list) -> dict[str, set[str]]:
-    """By entity, the terms on the lines that hold it; what entities are made of is no term."""
+def _together(text: str, spans: list) -> dict[tuple[str, ...], set[str]]:
+    """By the entities of a line, in order, the terms on the lines that hold just these; what entities are made of is no
+    term. As long as the text at most: entities and terms aren't paired here."""
     parts, at = [], 0
     for s, e, _ in sorted(spans):
         if e > at:
             parts += [text[at:s], " " * (e - max(s, at))]
             at = e
-    bare, lines, seen = "".join([*parts, text[at:]]), {}, {}
+    bare, on = "".join([*parts, text[at:]]), {}
     for s, e, kind in spans:
-        start = text.rfind("\n", 0, s) + 1
-        if start not in lines:
-            end = text.find("\n", s)
-            lines[start] = _terms(bare[start : end if end >= 0 else len(bare)])
         entity = hashlib.blake2b(f"{kind}:{text[s:e]}".encode("utf-8", "replace"), digest_size=12).hexdigest()
-        seen[entity] = seen[entity] | lines[start] if entity in seen else lines[start]
-    return seen
+        on.setdefault(text.rfind("\n", 0, s) + 1, set()).add(entity)
+    met: dict[tuple[str, ...], set[str]] = {}
+    for start, entities in on.items():
+        end = text.find("\n", start)
+        met.setdefault(tuple(sorted(entities)), set()).update(_terms(bare[start : end if end >= 0 else len(bare)]))
+    return met
 
 
 def _statistics(batches, most: int = 200_000):
@@ -86,18 +87,35 @@ def _statistics(batches, most: int = 200_000):
             text = text or ""
             seen[None, None] += 1
             seen.update((t, None) for t in _terms(text))
-            for entity, terms in _together(text, base_spans(text)).items():
-                seen[None, entity] += 1
-                seen.update((t, entity) for t in terms)
-                if len(seen) > most:
-                    yield send(seen)
-                    seen = Counter()
+            seen.update((None, e) for e in {e for entities in _together(text, base_spans(text)) for e in entities})
             if len(seen) > most:
                 yield send(seen)
                 seen = Counter()
     yield send(seen)
 
 
+def _lines(batches):
+    """(doc, line, entities, terms): :func:`_together` of each text; ``doc`` is the digest of all of it, so that copies,
+    whatever stands on their other lines, are one document that is counted often."""
+    out = pa.schema([("doc", pa.binary()), ("line", pa.int32()), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string()))])
+    for b in batches:
+        rows = []
+        for text in b.column(0).to_pylist():
+            lines = sorted((list(e), sorted(t)) for e, t in _together(text, base_spans(text)).items()) if text else []
+            digest = hashlib.blake2b("\n".join(" ".join([*e, *t]) for e, t in lines).encode("utf-8", "replace"), digest_size=16).digest()
+            rows += [(digest, i, e, t) for i, (e, t) in enumerate(lines)]
+        yield batch(out, *(zip(*rows, strict=True) if rows else [[]] * 4))
+
+
+def _classes(lines: DataFrame, column: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(item, class) and (doc, line, class): items of ``known(item, n)`` that are on the same lines everywhere and occur in
+    as many documents are one class, told by 128 bits of their lines' hashes."""
+    each = lines.select("doc", "line", F.explode(column).alias("item")).distinct().join(known, "item")
+    at = lambda *c: F.bit_xor(F.xxhash64(*c))
+    of = each.groupBy("item").agg(F.struct(F.first("n").alias("n"), F.count("*").alias("lines"), at("doc", "line").alias("a"), at("line", "doc").alias("b")).alias("class"))
+    return of, each.join(of, "item").select("doc", "line", "class").distinct()
+
+
 def disclosing_terms(docs: DataFrame, min_bits: float = 4.0, min_share: float = 0.5, min_docs: int = 2) -> DataFrame:
     """``(term, share)``: terms that reveal an entity.
 
@@ -105,19 +123,31 @@ def disclosing_terms(docs: DataFrame, min_bits: float = 4.0, min_share: float =
     discloses an entity when they met in ``min_docs`` documents or more, the pair's pointwise information is ``min_bits``
     or more, and ``share``, the part of the term's documents in which it is on a line with the entity, is ``min_share`` or
     more. An entity in more than 1 of 2 ** ``min_bits`` documents is disclosed by nothing.
-    Counts are combined in the tasks before they shuffle, and written once to the shared folder for their four uses.
+
+    Pairs are never written for a line as it stands. Terms and entities that occur too rarely or too often to disclose or be
+    disclosed go first, which drops no pair that could count; copies of a document's lines are one document with a weight;
+    and what is on the same lines everywhere is one class, so that a line of thousands of addresses and words that stands
+    in two documents is one pair of classes. What is left grows with the classes that meet on a line.
     """
-    spark, path = docs.sparkSession, shared_dir(docs.sparkSession, "counts")
-    docs.select("text").mapInArrow(sliced(_statistics), "term string, entity string, n long").groupBy("term", "entity").agg(F.sum("n").alias("n")).write.parquet(path)
-    counts = spark.read.parquet(path)
-    total = counts.where("term is null and entity is null").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_all"))
-    pairs = counts.where(f"term is not null and entity is not null and n >= {int(min_docs)}").withColumnRenamed("n", "n_pair")
-    terms = counts.where("term is not null and entity is null").select("term", F.col("n").alias("n_term"))
-    entities = counts.where("term is null and entity is not null").select("entity", F.col("n").alias("n_entity"))
-    n_all = float(total.first()[0])
-    told = pairs.join(terms, "term").join(entities, "entity")
-    told = told.withColumn("share", F.col("n_pair") / F.col("n_term")).withColumn("bits", F.log2(F.col("n_pair") * F.lit(n_all) / (F.col("n_term") * F.col("n_entity"))))
-    return told.where((F.col("bits") >= min_bits) & (F.col("share") >= min_share)).groupBy("term").agg(F.max("share").alias("share"))
+    spark = docs.sparkSession
+    counts, counted = table(docs.select("text").mapInArrow(sliced(_statistics), "term string, entity string, n long").groupBy("term", "entity").agg(F.sum("n").alias("n")), "counts")
+    n_all = float(counts.where("term is null and entity is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    fits = (F.col("n") >= int(min_docs)) & (F.col("n") * 2.0**min_bits <= n_all * (1 + 1e-9))
+    terms = counts.where("term is not null").where(fits).select(F.col("term").alias("item"), "n")
+    entities = counts.where("entity is not null").where(fits).select(F.col("entity").alias("item"), "n")
+    lines, written = table(docs.select("text").mapInArrow(sliced(_lines), "doc binary, line int, entities array<string>, terms array<string>"), "lines")
+    copies = lines.where("line = 0").groupBy("doc").agg(F.count("*").alias("copies"))
+    _, e = _classes(lines, "entities", entities)
+    term_class, t = _classes(lines, "terms", terms)
+    met = e.withColumnRenamed("class", "of").join(t, ["doc", "line"]).where(F.col("of.n") >= min_share * F.col("class.n"))  # pairs are no more than entities
+    pairs = met.select("doc", "of", "class").distinct().join(copies, "doc").groupBy("of", "class").agg(F.sum("copies").alias("n_pair"))
+    told = pairs.where(F.col("n_pair") >= int(min_docs)).withColumn("share", F.col("n_pair") / F.col("class.n"))
+    told = told.withColumn("bits", F.log2(F.col("n_pair") * F.lit(n_all) / (F.col("class.n") * F.col("of.n"))))
+    best = told.where((F.col("bits") >= min_bits) & (F.col("share") >= min_share)).groupBy("class").agg(F.max("share").alias("share"))
+    found = cut(term_class.join(best, "class").select(F.col("item").alias("term"), "share"))
+    for path in (counted, written):
+        drop_dir(spark, path)
+    return found
 
 
 def all_spans(text: str, base: list, terms) -> list[tuple[int, int, str]]:
@@ -155,11 +185,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadc
     """``FOUND``, one row per row of ``docs``, over whole texts; offsets are code points, ends exclusive.
 
     Null and empty texts have no spans; null ids and repeated rows are answered row by row; an empty table gives no rows;
-    very long texts are read whole, their pairs sent on an entity at a time; other columns are not read, whatever their
+    very long texts are read whole; other columns are not read, whatever their
     names.
     """
     rows = text_columns(docs, id_col, text_col).select("doc_id", text_key().alias("tkey"), "text")
-    terms = disclosing_terms(rows).persist()
+    terms = disclosing_terms(rows)
     if terms.count() <= broadcast_terms:
         known = rows.sparkSession.sparkContext.broadcast({r.term: r.share for r in terms.collect()})  # counted above
         joined = rows.select("doc_id", "text", F.lit(None).cast("map<string,double>").alias("own"))

@@ -3,7 +3,7 @@ import itertools
 import math
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow.fs as pafs
@@ -96,6 +96,50 @@ def test_personal_data(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(spans(r.text)).encode()).hexdigest()
 
 
+def disclosed(texts, bits=4.0, least=0.5, docs=2):
+    """All pairs of every line, counted one by one."""
+    n_term, n_entity, n_pair = Counter(), Counter(), Counter()
+    for text in texts:
+        found, pairs, entities = pii.base_spans(text or ""), set(), set()
+        bare = list(text or "")
+        for s, e, _ in found:
+            bare[s:e] = " " * (e - s)
+        bare = "".join(bare)
+        for s, e, kind in found:
+            start, end = bare.rfind("\n", 0, s) + 1, bare.find("\n", s)
+            entities.add((kind, text[s:e]))
+            pairs |= {(t, kind, text[s:e]) for t in pii._terms(bare[start : end if end >= 0 else len(bare)])}
+        n_term.update(pii._terms(text or ""))
+        n_entity.update(entities)
+        n_pair.update(pairs)
+    told = {}
+    for (t, *e), n in n_pair.items():
+        if n >= docs and n / n_term[t] >= least and math.log2(n * len(texts) / (n_term[t] * n_entity[tuple(e)])) >= bits:
+            told[t] = max(told.get(t, 0), n / n_term[t])
+    return told
+
+
+@pytest.mark.parametrize("bits, least, docs", [(4.0, 0.5, 2), (1.0, 0.2, 1), (2.5, 0.9, 3)])
+def test_disclosing_terms_are_those_of_all_pairs(spark, bits, least, docs):
+    rng = random.Random(5)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.choice('mnop')}{rng.choice('xyz')}"
+    owner = lambda k: f"u{k}@x.org " + rng.choice(["", f"nick{'abcdefghijklmnopqrst'[k]}", f"{word()}\nnick{'abcdefghijklmnopqrst'[k]}"])
+    line = lambda: " ".join(owner(rng.randrange(20)) if rng.random() < 0.15 else word() for _ in range(rng.randrange(12)))
+    texts = ["\n".join(line() if rng.random() < 0.25 else "the end of it" for _ in range(rng.randrange(5))) for _ in range(300)]
+    texts += texts[:40] * 3 + [None, "", "rare u1@x.org\nrare u2@x.org\nrare u1@x.org", "rare u1@x.org"]
+    got = pii.disclosing_terms(documents(spark, list(enumerate(texts))), bits, least, docs)
+    want = disclosed(texts, bits, least, docs)
+    assert want and {r.term: round(r.share, 9) for r in got.collect()} == {t: round(x, 9) for t, x in want.items()}
+
+
+def test_lines_of_many_addresses_and_words_are_few_pairs(spark):
+    letters = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i:05d}")
+    dense = " ".join(f"a{i}@x.org {letters(i)}" for i in range(3000))
+    rows = [(0, dense), (1, dense), (2, dense + " more"), *((i, "nothing to see") for i in range(3, 100))]
+    got = {r.term: r.share for r in pii.disclosing_terms(documents(spark, rows)).collect()}
+    assert got == {letters(i): 1.0 for i in range(3000)}
+
+
 # --- chat formatting
 
 
