@@ -56,6 +56,14 @@ def neighbors(edges: DataFrame, entity: str, direction: str = "both", relationsh
     return out if direction == "out" else into if direction == "in" else out.unionByName(into)
 
 
+def props_json(props: DataFrame) -> DataFrame:
+    """(node_id, props) of ``props(node_id, key, value)``: a node's properties as one JSON text, keys in order; null keys and
+    values are left out, of a repeated key the greatest value counts."""
+    once = props.where("key is not null and value is not null").groupBy("node_id", "key").agg(F.max("value").alias("value"))
+    pairs = F.array_sort(F.collect_list(F.struct("key", "value")))  # a node's distinct keys
+    return once.groupBy("node_id").agg(F.to_json(F.map_from_entries(pairs)).alias("props"))
+
+
 def undirected(edges: DataFrame) -> DataFrame:
     """(a, b, weight): each pair of ends both ways once, at its least weight; null and 0 weights count 1."""
     w = F.when(F.coalesce("weight", F.lit(0.0)) == 0, 1.0).otherwise(F.col("weight"))

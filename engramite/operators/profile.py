@@ -158,6 +158,29 @@ def learned(known: DataFrame, counts: DataFrame, category: str, cluster=greedy_c
     return table, counts.join(table, [category, "word"]).groupBy(category, "canonical").agg(F.sum("n").alias("n"))
 
 
+def pattern_map(messages: DataFrame) -> DataFrame:
+    """``messages`` with ``map``: by bucket, the examples a message gives. Emoji are distinct, 20 at most; words in capitals
+    the first 10; what is only counted, such as marks and a small i, is there as often as it occurs."""
+    t = F.coalesce("text", F.lit(""))
+    each = text.tokens(t)
+    bare = F.filter(F.transform(each, lambda w: F.regexp_replace(w, r"[^A-Za-z]", "")), lambda w: w.rlike("^[A-Z]{2,}$"))
+    found = lambda pattern: F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
+    low = F.filter(text.sentences(t), lambda x: F.regexp_extract(x, r"\p{L}", 0).rlike(r"^\p{Ll}"))
+    buckets = {
+        "elongations": F.filter(each, lambda w: w.rlike(r"([A-Za-z])\1\1")), "emoji": F.slice(F.array_distinct(found(text.EMOJI)), 1, 20),
+        "all_caps": F.slice(bare, 1, 10), "low_starts": F.when(F.size(low) > 0, F.slice(low, 1, 1)).otherwise(F.array().cast("array<string>")),
+        "small_i": found("(?<![A-Za-z])i(?![A-Za-z])"), "multi_exclaim": found("!{2,}"), "multi_ask": found(r"\?{2,}"),
+        "ellipses": found(r"\.{3}|…"), "mixed_marks": found(r"(?:!\?|\?!)+"), "repeats": found(text.REPEATED),
+    }
+    return messages.withColumn("map", F.struct(*(c.alias(k) for k, c in buckets.items())))
+
+
+def ingested(maps: DataFrame, by: str) -> DataFrame:
+    """The examples of ``maps(by, map)`` counted by bucket; what a message only shows or doesn't counts once."""
+    buckets = maps.schema["map"].dataType.names
+    return maps.groupBy(by).agg(*(F.sum(F.size(F.col(f"map.{k}")).cast("long")).alias(k) for k in buckets))
+
+
 #: Slang by abbreviation and by word, interjections and sounds, and what laughter holds.
 ABBREVIATIONS = ("ngl", "af", "rn", "dm", "pm", "ig", "bc", "imo", "gg", "omw", "ftw", "nvm", "atm", "jk", "lmk", "np", "thx", "pls", "plz")
 SLANG = ("cap", "periodt", "bestie", "bro", "sis", "fam", "stan", "ship", "vibe", "flex", "ghost", "simp", "cope", "salty", "toxic", "woke", "fire", "slaps", "hits", "lowkey", "highkey", "noob", "pro", "skibidi")

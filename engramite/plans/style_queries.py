@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import talk, text
 from ..operators import graph, lifecycle, profile, similarity, style
-from ..sources.star import table
+from ..sources import files
+from ..sources.star import catalog, table
 from ..streaming import windows
 from .registry import _CASED, _LEXICON, _MARKS, _RARE, _SIGNATURE, _SQL_HITS, _SQL_SAID, _SQL_TURNS, _SQL_WORDS, SQL, _stream, _turns, _words, query
 
@@ -210,3 +213,45 @@ SQL["profile_lifetime"] = f"WITH {_SQL_TURNS} SELECT conv_id, {_SQL_SUMS}, CAST(
 def stream_profile(spark, sf_dir):
     """The profile kept up to date as messages stream by."""
     return windows.drained(spark, style.lifetime(_stream(spark, sf_dir, "conversations")), ["conv_id"])
+
+
+# --- files of profiles and patterns
+
+
+def _counted(spark, sf_dir, rest):
+    """Words of every other conversation under their forms without repeated letters."""
+    n = style.words(_turns(spark, sf_dir).where(F.col("conv_id") % 2 == rest)).groupBy("word").agg(F.count("*").alias("n"))
+    return n.select(F.substring("word", 1, 1).alias("category"), text.collapsed(F.col("word")).alias("canonical"), "word", "n")
+
+
+@query("WITH n AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(strip_accents(coalesce(text, ''))), '[a-z]+')) AS word FROM conversations WHERE conv_id IS NOT NULL) GROUP BY 1) SELECT substr(word, 1, 1) AS category, array_to_string(list_filter(string_split(word, ''), lambda c, i: i = 1 OR c <> word[i - 1]), '') AS canonical, count(*) AS variants, CAST(sum(n) AS BIGINT) AS total FROM n GROUP BY 1, 2")
+def pattern_memory_file(spark, sf_dir):
+    """S10: even conversations are saved first, odd ones appended; clusters as read back."""
+    folder = f"{graph.shared_base(spark).rstrip('/')}/patterns-{uuid.uuid4().hex}"
+    for rest in (0, 1):
+        files.write_patterns(_counted(spark, sf_dir, rest), folder)
+    return files.patterns(spark, folder).groupBy("category", "canonical").agg(F.count("*").alias("variants"), F.sum("n").alias("total"))
+
+
+@query("SELECT conv_id, CAST(CASE WHEN max(turn) > 1 THEN 2 ELSE 1 END AS BIGINT) AS saved, count(*) AS messages, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS chars FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1")
+def profile_file(spark, sf_dir):
+    """S11: profiles of the first turns are saved, then those of conversations that went on; each one's last save."""
+    folder = f"{graph.shared_base(spark).rstrip('/')}/profiles-{uuid.uuid4().hex}"
+    turns = _turns(spark, sf_dir).where("conv_id is not null")
+    summed = lambda t: t.groupBy("conv_id").agg(F.count("*").alias("messages"), F.sum(F.char_length(F.coalesce("text", F.lit(""))).cast("long")).alias("chars"), F.max("turn").alias("last"))
+    files.write_profiles(summed(turns.where("turn <= 1")).drop("last"), folder, 1, "conv_id")
+    files.write_profiles(summed(turns).where("last > 1").drop("last"), folder, 2, "conv_id")
+    return files.profiles(spark, folder, "messages long, chars long", "conv_id").withColumn("conv_id", F.col("conv_id").cast("long"))
+
+
+@query()
+def pattern_examples(spark, sf_dir):
+    """L10 and L30: examples by bucket, counted a conversation; tested against Python."""
+    return profile.ingested(profile.pattern_map(_turns(spark, sf_dir)), "conv_id")
+
+
+@query("""SELECT 'ent::' || upper(c_name) AS node_id, '{"segment":"' || c_mktsegment || '"}' AS props, NULL AS brand FROM customer WHERE c_mktsegment IS NOT NULL UNION ALL SELECT 'ent::PART#' || p_partkey, '{"brand":"' || p_brand || '","size":"' || p_size || '"}', p_brand FROM part""")
+def node_props_json(spark, sf_dir):
+    """what a node holds as JSON, and one field of it read back."""
+    told = graph.props_json(catalog(spark, sf_dir).node_props)
+    return told.withColumn("brand", F.get_json_object("props", "$.brand"))

@@ -183,3 +183,41 @@ def test_zero_vectors_and_ties(spark):
 def test_question_files_skip_bad_lines(spark, tmp_path):
     (tmp_path / "q.jsonl").write_text('{"query": "a", "answers": ["x"]}\nnot json\n{"answers": ["y"]}\n{"query": "b"}\n')
     assert sorted((r["query"], r["answers"]) for r in files.questions(spark, f"file://{tmp_path}/q.jsonl").collect()) == [("a", ["x"]), ("b", [])]
+
+
+def test_pattern_files_add_up_and_skip_bad_lines(spark, tmp_path):
+    rows = [("s", "so", "sooo", 2), ("s", "so", "so", 5)]
+    for part in (rows, [("s", "so", "sooo", 3), ("s", "sa", "so", 1), ("t", "to", "too", None)]):
+        files.write_patterns(spark.createDataFrame(part, "category string, canonical string, word string, n long"), f"{tmp_path}/p")
+    (tmp_path / "p" / "more.json").write_text('{"category": "x"}\nno json\n')
+    got = sorted(tuple(r) for r in files.patterns(spark, f"{tmp_path}/p").collect())
+    assert got == [("s", "so", "sa", 6), ("s", "sooo", "so", 5), ("t", "too", "to", 0)]
+
+
+def test_profiles_are_the_last_saved(spark, tmp_path):
+    frame = lambda rows: spark.createDataFrame(rows, "user_id string, words long, name string")
+    files.write_profiles(frame([("a", 1, "é"), ("b", 2, None), (None, 9, "x")]), f"{tmp_path}/p", 1)
+    files.write_profiles(frame([("a", 5, 'q"')]), f"{tmp_path}/p", 2)
+    got = sorted(tuple(r) for r in files.profiles(spark, f"{tmp_path}/p", "words long, name string, later double").collect())
+    assert got == [("a", 2, 5, 'q"', None), ("b", 1, 2, None, None)]
+
+
+def test_pattern_examples_against_python(spark):
+    said = [(1, "WOW soooo good!!! i i said... REALLY?? \U0001f600\U0001f600\U0001f602"), (1, None), (2, "lower start. Then the the end?! " + "AB " * 12), (2, ""), (3, "Fine. It is.")]
+    rows = [(c, n, t) for n, (c, t) in enumerate(said)]
+    got = {r.conv_id: r for r in profile.ingested(profile.pattern_map(spark.createDataFrame(rows, "conv_id long, turn long, text string")), "conv_id").collect()}
+    for c in (1, 2, 3):
+        texts = [t or "" for k, t in said if k == c]
+        count = lambda p: sum(len(re.findall(p, t)) for t in texts)
+        caps = sum(min(10, sum(bool(re.fullmatch("[A-Z]{2,}", re.sub("[^A-Za-z]", "", w))) for w in t.split())) for t in texts)
+        emoji = sum(len(set(re.findall("[\U0001f300-\U0001faff]", t))) for t in texts)
+        long = sum(bool(re.search(r"([A-Za-z])\1\1", w)) for t in texts for w in t.split())
+        want = (long, emoji, caps, count("(?<![A-Za-z])i(?![A-Za-z])"), count("!{2,}"), count(r"\?{2,}"), count(r"\.{3}|…"), count(r"(?:!\?|\?!)+"), count(r"(?i)\b(\w+)\b(?:\s+\1\b)+"))
+        r = got[c]
+        assert (r.elongations, r.emoji, r.all_caps, r.small_i, r.multi_exclaim, r.multi_ask, r.ellipses, r.mixed_marks, r.repeats) == want
+    assert [got[c].low_starts for c in (1, 2, 3)] == [1, 1, 0]  # "i i said..." starts a sentence
+
+
+def test_node_props_as_json(spark):
+    props = spark.createDataFrame([("n", "b", "2"), ("n", "a", 'x"y'), ("n", "a", "w"), ("m", None, "1"), ("m", "c", None)], "node_id string, key string, value string")
+    assert [tuple(r) for r in graph.props_json(props).collect()] == [("n", '{"a":"x\\"y","b":"2"}')]
