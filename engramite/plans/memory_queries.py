@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking, scoring, talk, text
 from ..operators import graph, retrieval, search, store, vector
-from ..sources.star import SQL_EDGES, catalog, order_evidence, table
+from ..sources.star import SQL_EDGES, catalog, derived, order_evidence, table
 from . import dsl
 from .registry import _COS, query
 
@@ -114,13 +114,13 @@ def _ordered(spark, sf_dir):
 
 @query(SQL_EDGES + "SELECT id, name, label FROM nodes")
 def node_scan(spark, sf_dir):
-    return catalog(spark, sf_dir).nodes
+    return derived(spark, sf_dir).nodes
 
 
 @query(SQL_EDGES + "SELECT id, name, label FROM nodes JOIN (SELECT DISTINCT 'ent::' || upper(s_name) AS id FROM supplier WHERE s_nationkey < 10) USING (id)")
 def node_lookup(spark, sf_dir):
     wanted = table(spark, sf_dir, "supplier").where("s_nationkey < 10").select(F.concat(F.lit("ent::"), text.name_key(F.col("s_name"))).alias("id")).distinct()
-    return catalog(spark, sf_dir).nodes.join(wanted, "id", "left_semi")
+    return derived(spark, sf_dir).nodes.join(wanted, "id", "left_semi")
 
 
 @query(SQL_EDGES + "SELECT 'node' AS part, label AS kind, count(*) AS n FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', relationship, count(*) FROM edges GROUP BY 2")
@@ -131,14 +131,14 @@ def graph_dump(spark, sf_dir):
 
 @query(SQL_EDGES + "SELECT source || ' --' || relationship || '--> ' || destination AS line, source || ' is ' || lower(replace(relationship, '_', ' ')) || ' ' || destination AS said, destination AS back FROM edges")
 def edge_lines(spark, sf_dir):
-    e = catalog(spark, sf_dir).edges
+    e = derived(spark, sf_dir).edges
     line = talk.edge_line(F.col("source"), F.col("relationship"), F.col("destination"))
     return e.select(line.alias("line"), talk.edge_sentence(F.col("source"), F.col("relationship"), F.col("destination")).alias("said")).withColumn("back", talk.parsed_edge(F.col("line"))["destination"])
 
 
 @query(SQL_EDGES + "SELECT a.source || ' in nation ' || a.destination || ', which in region ' || b.destination AS said FROM edges a JOIN edges b ON a.destination = b.source WHERE a.relationship = 'IN_NATION' AND b.relationship = 'IN_REGION'")
 def path_sentences(spark, sf_dir):
-    e = catalog(spark, sf_dir).edges
+    e = catalog(spark, sf_dir, ["IN_NATION", "IN_REGION"]).edges
     pick = lambda kind, name: e.where(F.col("relationship") == kind).select(F.struct("source", "relationship", "destination").alias(name))
     met = pick("IN_NATION", "a").join(pick("IN_REGION", "b"), F.col("a.destination") == F.col("b.source"))
     return met.select(talk.path_sentence(F.array("a", "b")).alias("said"))
@@ -168,7 +168,7 @@ def entity_roles(spark, sf_dir):
 
 @query(SQL_EDGES + "SELECT destination AS id, string_agg(DISTINCT source, ',' ORDER BY source) AS entities, string_agg(DISTINCT relationship, ',' ORDER BY relationship) AS relations FROM edges GROUP BY 1")
 def distinct_collections(spark, sf_dir):
-    e = catalog(spark, sf_dir).edges
+    e = derived(spark, sf_dir).edges
     return e.groupBy(F.col("destination").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("entities"), F.array_join(F.array_sort(F.collect_set("relationship")), ",").alias("relations"))
 
 
@@ -240,7 +240,7 @@ def attach_ids(spark, sf_dir):
 
 @query(SQL_EDGES + "SELECT source, 'PART_OF' AS relationship, destination, CAST(sum(weight) AS DOUBLE) AS weight FROM edges WHERE relationship IN ('IN_NATION', 'IN_REGION') GROUP BY 1, 3")
 def merge_relations(spark, sf_dir):
-    return store.merged_relations(graph.scan(catalog(spark, sf_dir).edges, ["IN_NATION", "IN_REGION"]), {"IN_NATION": "PART_OF", "IN_REGION": "PART_OF"})
+    return store.merged_relations(graph.scan(catalog(spark, sf_dir, ["IN_NATION", "IN_REGION"]).edges, ["IN_NATION", "IN_REGION"]), {"IN_NATION": "PART_OF", "IN_REGION": "PART_OF"})
 
 
 _CAPITALS = "array_to_string(list_transform(string_split(lower({c}), ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
@@ -279,7 +279,7 @@ def edge_lookup(spark, sf_dir):
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     first = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_name").select(F.upper("n_name"), F.upper("r_name")).first()
     n, r = (f"ent::{x}" for x in first or ("", ""))
-    e = catalog(spark, sf_dir).edges
+    e = catalog(spark, sf_dir, ["IN_NATION", "IN_REGION"]).edges
     found = graph.scan(e, ["IN_NATION"], destination=n).union(graph.scan(e, ["IN_REGION"], n, r))
     return found.select("source", "relationship", "destination", "weight")
 
@@ -423,6 +423,6 @@ def graph_first_search(spark, sf_dir):
 @query(SQL_EDGES + "SELECT a.name AS a_name, a.id AS a_id, b.id AS b_id FROM edges JOIN nodes a ON source = a.id JOIN nodes b ON destination = b.id WHERE relationship = 'IN_NATION' AND a.label = 'SUPPLIER' AND b.id IN (SELECT 'ent::' || upper(n_name) FROM nation WHERE n_regionkey = 2)")
 def dsl_similar_nodes(spark, sf_dir):
     """SIMILAR with a caller's search: here the nations of one region."""
-    c = catalog(spark, sf_dir)
+    c = catalog(spark, sf_dir, ["IN_NATION"])
     search = lambda text_, k, least: table(spark, sf_dir, "nation").where("n_regionkey = 2").select(F.concat(F.lit("ent::"), F.upper("n_name")).alias("id"))
     return dsl.compile_query("MATCH (a:SUPPLIER)-[:IN_NATION]->(b) WHERE SIMILAR(b, 'region two', 50, 0.2) RETURN a.name, a.id, b.id", c.nodes, c.node_props, c.edges, search)

@@ -16,3 +16,22 @@ def test_reasoning_chains_broadcast_only_the_few_first_edges(spark, tmp_path):
     numbered = edges.selectExpr("concat_ws('|', source, relationship, destination) AS eid", "source", "destination")
     assert plan_of(graph._first_pairs(numbered, numbered, "destination", "destination", "source", 5)).count("BroadcastExchange") == 1
     assert graph.reasoning_chains(edges, 5).count() == 5
+
+
+def test_edges_of_some_relationships_do_not_read_line_items(spark, tmp_path):
+    import os
+
+    from engramite.plans import memory_queries, registry
+    from engramite.sources import star
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("region", "nation", "customer", "supplier"):
+        os.symlink(f"{sf}/{name}.parquet", f"{tmp_path}/{name}.parquet")
+    some = star._edges(spark, str(tmp_path), "IN_NATION")
+    assert some.count() == spark.read.parquet(f"{sf}/customer.parquet").count() + spark.read.parquet(f"{sf}/supplier.parquet").count()
+    whole = star.catalog(spark, sf).edges
+    assert sorted(map(repr, whole.collect())) == sorted(map(repr, star.derived(spark, sf).edges.collect()))
+    for query in (memory_queries.edge_lookup, registry.dsl_directed_reverse):
+        assert "ORDERED_FROM" not in "".join(query(spark, sf).inputFiles()) and "SUPPLIES" not in "".join(query(spark, sf).inputFiles())
+    for query in (memory_queries.edge_lines, memory_queries.distinct_collections):  # read once, so not written first
+        assert "lineitem.parquet" in "".join(query(spark, sf).inputFiles())
