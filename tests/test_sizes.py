@@ -35,3 +35,20 @@ def test_edges_of_some_relationships_do_not_read_line_items(spark, tmp_path):
         assert "ORDERED_FROM" not in "".join(query(spark, sf).inputFiles()) and "SUPPLIES" not in "".join(query(spark, sf).inputFiles())
     for query in (memory_queries.edge_lines, memory_queries.distinct_collections):  # read once, so not written first
         assert "lineitem.parquet" in "".join(query(spark, sf).inputFiles())
+
+
+def test_lsh_meets_pairs_in_their_tasks(spark):
+    import numpy as np
+
+    from engramite.operators import retrieval
+    from engramite.plans import memory_queries
+
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((60, 8))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(99, [1.0])], "vec_id long, embedding array<double>")
+    found = retrieval.lsh_top_k(v, v.where("vec_id < 5").selectExpr("vec_id AS qid", "embedding AS query"), 60, bits=3, tables=2)
+    assert "Join" not in plan_of(found) and "Generate" not in plan_of(found)
+    planes = np.random.default_rng(42).standard_normal((8, 6))
+    side = ((x @ planes) > 0).reshape(60, 2, 3)
+    want = {(q, i) for q in range(5) for i in range(60) if i != q and (side[q] == side[i]).all(axis=1).any()}
+    assert {(r.qid, r.vec_id) for r in found.collect()} == want
