@@ -52,3 +52,24 @@ def test_lsh_meets_pairs_in_their_tasks(spark):
     side = ((x @ planes) > 0).reshape(60, 2, 3)
     want = {(q, i) for q in range(5) for i in range(60) if i != q and (side[q] == side[i]).all(axis=1).any()}
     assert {(r.qid, r.vec_id) for r in found.collect()} == want
+
+
+def test_search_lets_go_of_pairs_that_cannot_be_among_the_best(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from engramite.operators import search
+
+    texts = spark.range(400).selectExpr("id AS memory_id", "concat('said ', id % 7, ' of Hub and ', CASE WHEN id % 40 = 0 THEN 'Rare Kin' ELSE concat('Other', id % 11) END, ' w', id) AS text")
+    index = texts.selectExpr("memory_id", "explode(array_distinct(transform(regexp_extract_all(text, '[A-Z][a-z0-9]+', 0), x -> upper(x)))) AS entity")
+    said = index.where("entity <> 'HUB'").selectExpr("memory_id", "'HUB' AS source", "'SAID' AS relationship", "entity AS destination")
+    edges = said.groupBy("source", "relationship", "destination").agg(F.count("*").cast("double").alias("weight"), F.lit(None).cast("timestamp").alias("updated_at"))
+    memory = search.Memory(texts, index, said, edges)
+    asked = spark.createDataFrame([(1, "what of Hub and Rare Kin"), (2, "Other3 w3"), (3, "nothing"), (4, None)], "qid long, text string")
+    pairs, real = [], search.promising
+    monkeypatch.setattr(search, "FIRST_LOOK", 100)
+    monkeypatch.setattr(search, "promising", lambda *a: pairs.append(real(*a).cache().count()) or real(*a))
+    find = lambda: search.hybrid_search(asked, memory, F.lit("2024-01-01").cast("timestamp"), 5, first=3, hops=2, exclude=spark.createDataFrame([(1, 40)], "qid long, memory_id long")).collect()
+    got = sorted(find())
+    monkeypatch.setattr(search, "promising", lambda nodes, hits, names, memory, *rest: pairs.append(search.linked(nodes, memory.index).count()) or search.linked(nodes, memory.index))
+    assert got == sorted(find()) and len(got) >= 10
+    assert pairs[0] * 3 < pairs[1] * 2
