@@ -73,3 +73,34 @@ def test_search_lets_go_of_pairs_that_cannot_be_among_the_best(spark, monkeypatc
     monkeypatch.setattr(search, "promising", lambda nodes, hits, names, memory, *rest: pairs.append(search.linked(nodes, memory.index).count()) or search.linked(nodes, memory.index))
     assert got == sorted(find()) and len(got) >= 10
     assert pairs[0] * 3 < pairs[1] * 2
+
+
+def test_words_of_a_conversation_share_one_state():
+    import pandas as pd
+
+    from engramite.streaming import states
+
+    class State:
+        kept, calls = None, 0
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            self.calls += 1
+            return self.kept
+
+        def update(self, value):
+            self.calls += 1
+            self.kept = value
+
+    state = State()
+    scores = states._PartScores(0.9)
+    scores.init(type("Handle", (), {"getValueState": lambda self, *a: state})())
+    frame = lambda *rows: iter([pd.DataFrame(rows, columns=["word", "turn"])])
+    list(scores.handleInputRows((1, 0), frame(("a", 3), ("b", 0), ("a", 1)), None))
+    (out,) = scores.handleInputRows((1, 0), frame(("a", 2), ("a", 5)), None)
+    assert state.calls == 3  # whatever the number of words
+    want = sum(0.1 * 0.9 ** (5 - t) for t in (1, 2, 3, 5))
+    assert out["word"].tolist() == ["a"] and out["last"].tolist() == [5] and abs(out["value"][0] - want) < 1e-12
+    assert state.kept[0] == ["b", "a"] or state.kept[0] == ["a", "b"]
