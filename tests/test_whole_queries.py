@@ -46,3 +46,17 @@ def test_top_k_searches_more_queries_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector, "MAX_QUERIES", 6)
     assert len(want) == 60
     assert sorted(map(tuple, vector.top_k(vectors, queries, 3).collect())) == want
+
+
+def test_fusion_adaptive_joins_no_texts(spark, tmp_path):
+    """A pair's text would be carried, lower-cased and split once a pair."""
+    spark.createDataFrame([(1, "red boat")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "red")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    def joined(node):
+        below = [node.children().apply(i) for i in range(node.children().size())]
+        own = [node.output().apply(i).name() for i in range(node.output().size())] if node.nodeName() == "Join" else []
+        return own + [name for b in below for name in joined(b)]
+
+    names = set(joined(registry.fusion_adaptive(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan()))
+    assert "doc_id" in names and not names & {"text", "query", "low", "d", "q"}
