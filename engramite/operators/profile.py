@@ -142,10 +142,11 @@ def semantic_clusters(words_: DataFrame, category: str, least: float = 0.85) ->
     from .similarity import leaders, set_pairs, trigrams
 
     of = words_.select(category, "word", "n").groupBy(category, "word").agg(F.sum("n").alias("n"))
-    end = lambda c: of.select(F.col("word").alias(c), F.struct(category, "word").alias(f"id_{c}"), F.col(category).alias(f"in_{c}"))
-    like = set_pairs(of.select(F.col("word").alias("id"), trigrams(F.col("word")).alias("tokens")), least, "cosine")
-    met = like.join(end("a"), "a").join(end("b"), "b").where(F.col("in_a").eqNullSafe(F.col("in_b")))
-    found = leaders(of.select(F.struct(category, "word").alias("id"), F.struct((-F.col("n")).alias("less"), "word").alias("place")), met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.round("score", 9).alias("score")), nearest=True)
+    inside = F.concat(F.coalesce(F.col(category).cast("string"), F.lit("")), F.lit(" "))  # words of two categories share no token
+    tokens = F.transform(trigrams(F.col("word")), lambda t: F.concat(inside, t))
+    like = set_pairs(of.select(F.struct(category, "word").alias("id"), tokens.alias("tokens")), least, "cosine")
+    met = like.where(F.col(f"a.{category}").eqNullSafe(F.col(f"b.{category}")))
+    found = leaders(of.select(F.struct(category, "word").alias("id"), F.struct((-F.col("n")).alias("less"), "word").alias("place")), met.select("a", "b", F.round("score", 9).alias("score")), nearest=True)
     return found.select(f"id.{category}", "id.word", F.col("leader.word").alias("canonical"))
 
 

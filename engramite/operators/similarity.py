@@ -17,28 +17,38 @@ def _least_overlap(size, measure: str, least: float):
     return F.ceil(size * part - 1e-9)
 
 
+#: Sets that are met in one block of a token; those of a token that more hold meet block by block.
+BLOCK = 2000
+
+
 def set_pairs(items: DataFrame, least: float, measure: str = "jaccard") -> DataFrame:
     """(a, b, score), a before b: all pairs of ``items(id, tokens)`` whose token sets have a Jaccard, cosine or Dice
     similarity of ``least`` or more.
 
     Prefix filter: with the tokens of each set in order of rarity, similar sets share one among their first few, so only
-    those are joined, and only sets of fitting sizes. A token that a third of all sets hold is hardly ever among the first.
-    Sets without tokens, null ids and repeats of an id are left out or count once; each overlap is counted on the sets."""
+    those are joined, only sets of fitting sizes, and only where what follows the shared token could make up the overlap.
+    The join holds both sets as numbers and lets go there what is not similar: no candidate is written or joined again.
+    Sets without tokens, null ids and repeats of an id are left out or count once."""
     if not 0 < least <= 1:
         raise ValueError("a threshold above 0, at most 1")
     sets = graph.settled(items.where("id is not null").select("id", F.array_distinct(F.filter("tokens", lambda t: t.isNotNull())).alias("tokens")).where(F.size("tokens") > 0).dropDuplicates(["id"]))
-    rare = sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    each = sets.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("token")).join(rare, "token")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("n", "token"))
-    first = each.withColumn("place", place).where(F.col("place") <= F.col("size") - _least_overlap(F.col("size"), measure, least) + 1)
-    first = graph.settled(first.select("id", "size", "token"))
-    a, b = (first.select(F.col("id").alias(c), F.col("size").alias(f"n{c}"), "token") for c in "ab")
+    rare = graph.settled(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).withColumn("t", F.monotonically_increasing_id()))
+    met = sets.select("id", F.explode("tokens").alias("token")).join(rare, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))  # a set's tokens
+    ranked = met.select("id", F.transform("o", lambda x: x["t"]).alias("s"), F.size("o").alias("size"))
+    prefix = F.slice("s", F.lit(1), (F.col("size") - _least_overlap(F.col("size"), measure, least) + 1).cast("int"))
+    first = graph.settled(ranked.select("id", "s", "size", F.posexplode(prefix).alias("place", "t")))
+    many = first.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = first.join(many, "t").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    side = lambda c, own, other: dealt.select("t", F.col("own").alias(own), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other), F.col("id").alias(c), F.col("s").alias(f"s{c}"), F.col("size").alias(f"n{c}"), F.col("place").alias(f"p{c}"))
+    a, b = side("a", "i", "j"), side("b", "j", "i")
+    na, nb = F.col("na"), F.col("nb")
     fits = _least_overlap(F.greatest("na", "nb"), measure, least) <= F.least("na", "nb")
-    met = a.join(b, "token").where((F.col("a") < F.col("b")) & fits).select("a", "b").distinct()
-    both = met.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
-    shared, na, nb = F.size(F.array_intersect("ta", "tb")), F.size("ta"), F.size("tb")
+    needed = {"jaccard": least / (1 + least) * (na + nb), "cosine": least * F.sqrt(na.cast("double") * nb), "dice": least / 2 * (na + nb)}[measure]
+    reach = F.least(na - F.col("pa"), nb - F.col("pb")) >= needed - 1e-6  # places from 0; the first token that both share has the others behind it
+    near = a.join(b, ["t", "i", "j"]).where((F.col("a") < F.col("b")) & fits & reach)
+    shared = F.size(F.array_intersect("sa", "sb"))
     score = {"jaccard": shared / (na + nb - shared), "cosine": shared / F.sqrt(na.cast("double") * nb), "dice": 2 * shared / (na + nb)}[measure]
-    return both.select("a", "b", score.cast("double").alias("score")).where(F.col("score") >= least - 1e-12)
+    return near.select("a", "b", score.cast("double").alias("score")).where(F.col("score") >= least - 1e-12).distinct()
 
 
 def letters(c: Column) -> Column:

@@ -94,6 +94,14 @@ def test_set_pairs_against_all_pairs(spark, measure, least):
     assert {(r.a, r.b): round(r.score, 9) for r in similarity.set_pairs(frame, least, measure).collect()} == want
 
 
+def test_set_pairs_of_a_common_token_meet_block_by_block(spark, monkeypatch):
+    """All sets hold one token and nothing rarer: no task may hold all of them, and none of their pairs is lost."""
+    monkeypatch.setattr(similarity, "BLOCK", 4)
+    frame = spark.createDataFrame([(i, ["x"]) for i in range(30)] + [(99, ["x", "y"])], "id long, tokens array<string>")
+    got = [(r.a, r.b) for r in similarity.set_pairs(frame, 0.9, "cosine").collect()]
+    assert sorted(got) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+
+
 @pytest.mark.parametrize("sep", [r"\s+", "_"])
 def test_similar_names_against_all_pairs(spark, sep):
     join = " " if sep != "_" else "_"
