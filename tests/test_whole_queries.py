@@ -60,3 +60,36 @@ def test_fusion_adaptive_joins_no_texts(spark, tmp_path):
 
     names = set(joined(registry.fusion_adaptive(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan()))
     assert "doc_id" in names and not names & {"text", "query", "low", "d", "q"}
+
+
+def _edges(spark, pairs):
+    return spark.createDataFrame([(a, "R", b, 1.0 + i % 3) for i, (a, b) in enumerate(pairs)], "source string, relationship string, destination string, weight double")
+
+
+def test_components_of_a_chain_take_one_round_and_join_what_ends_leave_apart(spark):
+    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(60)]
+    # two cliques whose only link is neither the least nor the greatest one at its ends; a loop alone is no component
+    clique = lambda c: [(f"{c}{i}", f"{c}{j}") for i in range(5) for j in range(i)]
+    pairs = [*chain, *clique("p"), *clique("r"), ("p2", "r2"), ("q0", "p2"), ("z", "r2"), ("r2", "a"), ("loop", "loop"), ("n004", "n003")]
+    near = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+    def least(x):
+        seen, to = {x}, [x]
+        while to:
+            new = near[to.pop()] - seen
+            seen |= new
+            to += new
+        return min(seen)
+
+    assert {r.id: r.cluster_id for r in graph.components(_edges(spark, pairs), max_rounds=2).collect()} == {x: least(x) for x in near}
+
+
+def test_distances_without_paths_are_the_same(spark):
+    edges = _edges(spark, [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "a"), ("d", "e")])
+    bare = graph.distances(edges, "a", paths=False)
+    assert bare.columns == ["id", "dist"]
+    assert sorted(map(tuple, bare.collect())) == sorted(map(tuple, graph.distances(edges, "a").select("id", "dist").collect()))
