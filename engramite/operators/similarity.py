@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,14 +59,59 @@ def letters(c: Column) -> Column:
     return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x)).cast("string")))
 
 
+#: The least ratio for which names are met by segments, and the longest name that is.
+SEGMENTS_FROM, LONGEST = 0.8, 60
+
+
+def segment_pairs(names: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of ``names(name, low)`` whose texts ``low`` have a common subsequence of ``least`` of their mean length
+    or more, and some others within that many edits.
+
+    Names of lengths s <= l then differ by at most ``(1 - least) * (s + l)`` characters put in or left out. The shorter one is
+    cut into one segment more than that, so one segment is whole in the longer one, moved by no more than what can be put in
+    or left out before it. Names meet by segments, those of a frequent one block by block, and by their edit distance there."""
+    most = lambda s: F.floor(s * (2 - least) / least + 1e-9)  # noqa: E731, the length of the longest name to one of s
+    apart = lambda s, n: F.floor((1 - least) * (s + n) + 1e-9)
+    cut = lambda i, s: F.floor(i * s / (apart(s, most(s)) + 1))  # noqa: E731, where the i-th segment of a name of length s begins
+    sized = names.select("name", "low", F.char_length("low").cast("long").alias("n")).where(F.col("n") <= LONGEST)
+    segments = lambda s: F.explode(F.sequence(F.lit(0).cast("long"), apart(s, most(s)))).alias("i")
+    part = F.substring("low", (F.col("from") + 1).cast("int"), F.col("size").cast("int")).alias("part")
+    n, s, i = F.col("n"), F.col("s"), F.col("i")
+    own = sized.select("*", n.alias("s")).select("*", segments(s)).select("*", cut(i, s).alias("from"), (cut(i + 1, s) - cut(i, s)).alias("size")).select("name", "low", "n", "s", "i", part)
+    shorter = F.explode(F.sequence(F.ceil(n * least / (2 - least) - 1e-9), n)).alias("s")
+    tried = sized.select("*", shorter).select("*", segments(s)).select("*", F.explode(F.sequence(-F.floor((apart(s, n) - (n - s)) / 2), F.floor((apart(s, n) + (n - s)) / 2))).alias("moved"))
+    tried = tried.select("*", (cut(i, s) + F.col("moved")).alias("from"), (cut(i + 1, s) - cut(i, s)).alias("size")).where((F.col("from") >= 0) & (F.col("from") + F.col("size") <= n)).select("name", "low", "n", "s", "i", part).distinct()
+    spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["s", "i", "part"]
+    count = lambda frame, name: frame.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    own, tried = graph.settled(own), graph.settled(tried)
+    blocks = count(own, "k1").join(count(tried, "k2"), keys)
+
+    def side(frame, c, mine, other, block, blocked):
+        dealt = frame.join(blocks, keys).withColumn(block, F.pmod(F.xxhash64("name"), F.col(mine)).cast("int"))
+        every = dealt.select(*keys, block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(blocked), F.col("name").alias(c), F.col("low").alias(f"l{c}"), F.col("n").alias(f"n{c}"))
+        return every.repartition(spread, *keys, "x", "y")  # a number of its own, as few bytes here are much work
+
+    met = side(own, "a", "k1", "k2", "x", "y").join(side(tried, "b", "k2", "k1", "y", "x"), [*keys, "x", "y"])
+    far = apart(F.col("na"), F.col("nb"))
+    near = met.where("a <> b and (na < nb or a < b)").where(F.levenshtein("la", "lb") <= far)
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def similar(names: DataFrame, least: float, sep: str = r"\s+", contained: bool = True) -> DataFrame:
     """(a, b, score), both ways: all pairs of ``names(name)`` that are equal ignoring case (1), whose sequence ratio or,
     together with the shared share of their words by ``sep``, its mean with that reaches ``least``; with ``contained``,
     a name within the other counts by the share of lengths where that reaches it. The greatest counts."""
-    one = graph.settled(names.where("name is not null and name <> ''").select("name").distinct())
-    by = [set_pairs(one.select(F.col("name").alias("id"), letters(F.col("name")).alias("tokens")), least, "dice")]
-    by.append(set_pairs(one.select(F.col("name").alias("id"), F.filter(F.array_distinct(F.split(F.lower("name"), sep)), lambda w: w != "").alias("tokens")), least, "jaccard"))
-    found = by[0].select("a", "b").union(by[1].select("a", "b")).distinct()
+    one = graph.settled(names.where("name is not null and name <> ''").select("name", F.lower("name").alias("low")).distinct())
+    lettered = one
+    by = [set_pairs(one.select(F.col("name").alias("id"), F.filter(F.array_distinct(F.split("low", sep)), lambda w: w != "").alias("tokens")), least, "jaccard")]
+    if least >= SEGMENTS_FROM:
+        by.append(segment_pairs(one, least))
+        lettered = one.where(F.char_length("low") >= (LONGEST + 1) * least / (2 - least) - 1e-9)  # what can be alike to a longer name
+        lettered = lettered if not one.where(F.char_length("low") > LONGEST).isEmpty() else None
+    if lettered is not None:
+        by.append(set_pairs(lettered.select(F.col("name").alias("id"), letters(F.col("name")).alias("tokens")), least, "dice"))
+    found = graph.settled(reduce(DataFrame.union, (x.select("a", "b") for x in by)).distinct())
     both = found.union(found.select("b", "a")).toDF("a", "b")
     la, lb = F.lower("a"), F.lower("b")
     lengths = F.least(F.char_length(la), F.char_length(lb)) / F.greatest(F.char_length(la), F.char_length(lb))

@@ -124,6 +124,38 @@ def test_similar_names_against_all_pairs(spark, sep):
     assert {(r.a, r.b): round(r.score, 9) for r in got.collect()} == want and want
 
 
+@pytest.mark.parametrize(("least", "longest"), [(0.8, 60), (0.9, 60), (0.9, 9)])
+def test_names_meet_by_segments_and_long_ones_by_letters(spark, monkeypatch, least, longest):
+    """Edits anywhere, the frequent segments block by block; few pairs that are not alike are left to compare in Python."""
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    monkeypatch.setattr(similarity, "LONGEST", longest)
+    rng = random.Random(int(100 * least) + longest)
+    names = {"".join(rng.choice("abé ") for _ in range(rng.randint(1, 22))) for _ in range(25)}
+    for name in sorted(names):
+        for _ in range(6):
+            chars = list(name)
+            for _ in range(rng.randint(1, 4)):
+                at = rng.randrange(len(chars) + 1)
+                chars[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "B"])
+            names.add("".join(chars))
+    names = sorted(names - {""})
+
+    def common(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            row = list(itertools.accumulate(range(len(y)), lambda left, j: max(left, row[j + 1], row[j] + (c == y[j])), initial=0))
+        return row[-1]
+
+    near = lambda x, y: 2 * common(x, y) >= least * (len(x) + len(y)) - 1e-9
+    frame = spark.createDataFrame([(n, n.lower()) for n in names], "name string, low string")
+    got = {(r.a, r.b) for r in similarity.segment_pairs(frame, least).collect()}
+    want = {(a, b) for a, b in itertools.combinations(names, 2) if near(a.lower(), b.lower())}
+    assert {p for p in want if max(map(len, p)) <= longest} <= got and len(got) < 4 * len(want) + 100
+    ratio = lambda a, b: difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+    found = {(r.a, r.b) for r in similarity.similar(frame.select("name"), least).collect()}
+    assert {p for p in want if ratio(*p) >= least} | {p for p in want if p[0].lower() == p[1].lower()} <= found
+
+
 def test_best_targets_follow_to_the_first(spark):
     pairs = [("c", "b", 0.9), ("c", "a", 0.9), ("b", "a", 0.8), ("d", "c", 0.95), ("d", "a", 0.7), ("e", "f", 1.0)]
     frame = spark.createDataFrame(pairs + [(b, a, s) for a, b, s in pairs], "a string, b string, score double")
