@@ -331,10 +331,11 @@ def hybrid_search_batch(spark, sf_dir):
     v, q = _probe(spark, sf_dir)
     index = v.select(F.col("vec_id").alias("memory_id"), F.explode(F.array(F.concat(F.lit("S"), (F.col("vec_id") % 37).cast("string")), F.concat(F.lit("L"), F.col("label").cast("string")))).alias("entity"))
     asked = index.where("memory_id % 20 = 0").select(F.col("memory_id").alias("qid"), "entity")
-    hits = vector.top_k(v, q, 30).select("qid", F.col("vec_id").alias("memory_id"), "score")
-    linked = asked.where("entity like 'S%'").join(index, "entity").where("qid <> memory_id").select("qid", "memory_id").distinct().withColumn("boost", ranking.traversal_boost(F.lit(0.2)))
+    hits = graph.settled(vector.top_k(v, q, 30).select("qid", F.col("vec_id").alias("memory_id"), "score"))
+    timed = index.where("memory_id % 2 = 0")
+    linked = retrieval.linked(asked.where("entity like 'S%'"), index, timed, hits, 10).withColumn("boost", ranking.traversal_boost(F.lit(0.2)))
     degrees = index.groupBy("entity").agg(F.count("*").alias("degree"))
-    return retrieval.hybrid(retrieval.candidates(hits, linked), asked, index, degrees, index.where("memory_id % 2 = 0"), 10)
+    return retrieval.hybrid(retrieval.candidates(hits, linked), asked, index, degrees, timed, 10)
 
 
 @query(f"WITH {_SQL_NEAR} SELECT qid, string_agg(line, chr(10) ORDER BY k, part) AS context FROM (SELECT qid, line, min(k) AS k, min_by(part, k * 2 + part) AS part FROM (SELECT qid, k, 0 AS part, 'M' || memory_id || ' --HAS--> L' || label AS line FROM near JOIN embeddings ON vec_id = memory_id WHERE k <= 3 UNION ALL SELECT qid, k, 1, 'text ' || memory_id % 5 FROM near WHERE k <= 3) GROUP BY 1, 2) GROUP BY 1")

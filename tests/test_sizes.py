@@ -104,3 +104,19 @@ def test_words_of_a_conversation_share_one_state():
     want = sum(0.1 * 0.9 ** (5 - t) for t in (1, 2, 3, 5))
     assert out["word"].tolist() == ["a"] and out["last"].tolist() == [5] and abs(out["value"][0] - want) < 1e-12
     assert state.kept[0] == ["b", "a"] or state.kept[0] == ["a", "b"]
+
+
+def test_of_memories_that_only_differ_by_their_ids_the_first_are_linked(spark):
+    from pyspark.sql import functions as F
+
+    from engramite.operators import retrieval
+
+    index = spark.range(400).selectExpr("id AS memory_id", "explode(array(concat('S', id % 3), concat('L', id % 2), CASE WHEN id % 7 = 0 THEN NULL ELSE 'L9' END)) AS entity")
+    asked = index.where("memory_id % 50 = 0").selectExpr("memory_id AS qid", "entity")
+    hits = spark.range(0, 400, 50).selectExpr("id AS qid", "explode(sequence(id + 101, id + 140, 3)) AS m").selectExpr("qid", "m % 400 AS memory_id", "0.9 - (m % 5) / 10D AS score")
+    timed, degrees = index.where("memory_id % 4 = 0"), index.groupBy("entity").agg(F.count("*").alias("degree"))
+    every = asked.where("entity like 'S%'").join(index, "entity").where("qid <> memory_id").select("qid", "memory_id").distinct()
+    few = retrieval.linked(asked.where("entity like 'S%'"), index, timed, hits, 5)
+    best = lambda x: sorted(map(tuple, retrieval.hybrid(retrieval.candidates(hits, x.withColumn("boost", F.lit(0.46))), asked, index, degrees, timed, 5).collect()))
+    assert best(few) == best(every) and len(best(few)) == 40
+    assert few.count() * 2 < every.count() and few.subtract(every).isEmpty()
