@@ -120,3 +120,20 @@ def test_of_memories_that_only_differ_by_their_ids_the_first_are_linked(spark):
     best = lambda x: sorted(map(tuple, retrieval.hybrid(retrieval.candidates(hits, x.withColumn("boost", F.lit(0.46))), asked, index, degrees, timed, 5).collect()))
     assert best(few) == best(every) and len(best(few)) == 40
     assert few.count() * 2 < every.count() and few.subtract(every).isEmpty()
+
+
+def test_a_task_of_a_search_hands_on_the_best_of_all_its_rows(spark, monkeypatch):
+    import numpy as np
+
+    from engramite.operators import vector
+
+    monkeypatch.setattr(vector, "ROWS", 16)
+    x = np.round(np.random.default_rng(3).standard_normal((300, 4)), 1)
+    x[40:60] = x[7]  # ties go to the lesser id
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>").repartition(2)
+    q = v.where("vec_id < 30").selectExpr("vec_id AS qid", "embedding AS query").cache()
+    rows, real = [], vector.ranked
+    monkeypatch.setattr(vector, "ranked", lambda found, *rest: rows.append(found.count()) or real(found, *rest))
+    got = sorted((r.qid, r.rank, r.vec_id) for r in vector.top_k(v, q, 3, "ip").collect())
+    want = [(i, k + 1, j) for i in range(30) for k, j in enumerate(sorted((j for j in range(300) if j != i), key=lambda j: (-round(float(x[i] @ x[j]), 12), j))[:3])]
+    assert got == want and rows[0] <= 2 * 30 * 3  # tasks, queries, k
