@@ -137,3 +137,19 @@ def test_a_task_of_a_search_hands_on_the_best_of_all_its_rows(spark, monkeypatch
     got = sorted((r.qid, r.rank, r.vec_id) for r in vector.top_k(v, q, 3, "ip").collect())
     want = [(i, k + 1, j) for i in range(30) for k, j in enumerate(sorted((j for j in range(300) if j != i), key=lambda j: (-round(float(x[i] @ x[j]), 12), j))[:3])]
     assert got == want and rows[0] <= 2 * 30 * 3  # tasks, queries, k
+
+
+def test_all_edges_are_shuffled_once_for_steps_and_not_for_small_fronts(spark, monkeypatch):
+    edges = spark.createDataFrame([("a", "R", "b", 1.0, None), ("b", "Q", "a", 9.0, None), ("c", "S", "b", None, None), ("b", "S", "c", 4.0, None), ("d", "T", "c", 2.0, None), ("a", "R", "d", 8.0, None), ("d", "U", "d", 1.0, None)], "source string, relationship string, destination string, weight double, updated_at timestamp")
+    paths = spark.createDataFrame([("d", ["a", "b", "c", "d"]), ("x", ["a", "x"]), ("a", ["a"]), ("b", ["c", "b", "a"])], "id string, path array<string>")
+    found = graph.path_edges(paths, edges)
+    want = [("b", 0, "c", "b", "S", 4.0), ("b", 1, "b", "a", "Q", 9.0), ("d", 0, "a", "b", "R", 1.0), ("d", 1, "b", "c", "S", 4.0), ("d", 2, "c", "d", "T", 2.0), ("x", 0, "a", "x", "CONNECTS", 1.0)]
+    assert sorted(map(tuple, found.collect())) == want
+    assert plan_of(found).split("Initial Plan")[-1].count("SortMergeJoin") <= 1
+    sides, real = [], graph._met
+    monkeypatch.setattr(graph, "_met", lambda front, n: sides.append(n) or real(front, n))
+    few = sorted(map(tuple, graph.distances(edges, "a").collect()))
+    monkeypatch.setattr(graph, "FRONT", 0)
+    assert few == sorted(map(tuple, graph.distances(edges, "a").collect())) and sides[0] == 1
+    assert "Broadcast" not in plan_of(edges.join(graph._met(paths, 1), edges.source == paths.id))
+    assert {(r.id, r.degree) for r in graph.degrees(edges).collect()} == {("a", 2), ("b", 2), ("c", 2), ("d", 2)}
