@@ -198,22 +198,28 @@ def marked_phrases(messages: DataFrame, lexicon: dict[str, list[str]], signature
     any and each; special; ngram2 and ngram3 of normalised tokens. A null text has none."""
     t = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
     read = messages.select("conv_id", "turn", t.alias("t")).select("conv_id", "turn", "t", text.tokens(F.col("t")).alias("raw"))
-    read = read.select("*", F.transform("raw", text.normalized_token).alias("canon"))
-    part = lambda label, c, n=None: read.select("conv_id", F.lit(label).alias("label"), F.explode(c).alias("phrase")).select("conv_id", "label", "phrase", F.lit(1).cast("long").alias("n"))
-    count = lambda label, phrase, n: read.select("conv_id", F.lit(label).alias("label"), F.lit(phrase).alias("phrase"), n.cast("long").alias("n")).where("n > 0")
+    from .graph import settled
+
+    # dealt anew, as a file of few bytes is one task's otherwise and this is much work
+    spread = int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    read = settled(read.repartition(spread).select("*", F.transform("raw", text.normalized_token).alias("canon")))  # tokens are taken once
+    row = lambda label, phrase, n: F.struct(F.lit(label).alias("label"), phrase.alias("phrase"), n.cast("long").alias("n"))
+    rows_of = lambda frame, every: frame.select("conv_id", F.explode(every).alias("x")).select("conv_id", "x.*").where("n > 0")
+    part = lambda label, c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda w: row(label, w, F.lit(1)))
+    count = lambda label, phrase, n: F.array(row(label, F.lit(phrase), n))
     plain = lambda w: w.rlike(r"^\p{L}{2,}$")
     rows = [(c, w) for c, ws in lexicon.items() for w in ws]
     known = messages.sparkSession.createDataFrame(rows, "label string, phrase string")
     said = read.select("conv_id", F.explode("canon").alias("phrase")).join(F.broadcast(known), "phrase").select("conv_id", "label", "phrase", F.lit(1).cast("long").alias("n"))
-    words = read.select("conv_id", "turn", F.split(F.lower("t"), " ").alias("blank"), F.explode(F.filter("canon", plain)).alias("phrase"))
-    each = words.groupBy("conv_id", "turn", "phrase").agg(F.count("*").alias("k"), F.any_value("blank").alias("blank"))
-    stands = F.size(F.filter("blank", lambda w: w == F.col("phrase"))).cast("long")
-    slang, laughs = F.col("phrase").isin(*ABBREVIATIONS, *SLANG), F.col("phrase").rlike("|".join(LAUGHTER))
-    size, marked = F.char_length("phrase"), lambda label, c, n: each.where(c).select("conv_id", F.lit(label).alias("label"), "phrase", n.alias("n")).where("n > 0")
+    each = read.select("conv_id", "turn", F.explode(F.filter("canon", plain)).alias("phrase")).groupBy("conv_id", "turn", "phrase").agg(F.count("*").alias("k"))
+    blank = F.split(F.lower("t"), " ")
+    stand = lambda label, fits: F.transform(F.array_distinct(F.filter("canon", lambda w: plain(w) & fits(w))), lambda w: row(label, w, F.size(F.filter(blank, lambda x: x == w))))
+    size, marked = F.char_length("phrase"), lambda label, c, n: row(label, F.col("phrase"), F.when(c, n).otherwise(0))
+    classes = [
+        marked("user_frequent", F.col("k") > 1, F.col("k")), marked("user_signature", (size > 6) | F.col("phrase").rlike(signature), F.col("k")), marked("user_rare", (size > 8) | F.col("phrase").rlike(rare), F.lit(1)),
+    ]
     parts = [
-        said,
-        marked("slang", slang, stands), marked("affective", F.col("phrase").isin(*INTERJECTIONS, *SOUNDS) | laughs, stands),
-        marked("user_frequent", F.col("k") > 1, F.col("k")), marked("user_signature", (size > 6) | F.col("phrase").rlike(signature), F.col("k")), marked("user_rare", (size > 8) | F.col("phrase").rlike(rare), F.lit(1).cast("long")),
+        stand("slang", lambda w: w.isin(*ABBREVIATIONS, *SLANG)), stand("affective", lambda w: w.isin(*INTERJECTIONS, *SOUNDS) | w.rlike("|".join(LAUGHTER))),
         part("elongation", F.filter("raw", lambda w: w.rlike(r"([A-Za-z])\1\1"))),
         part("emoji", F.regexp_extract_all("t", F.lit(text.EMOJI), F.lit(0))), count("emoji", "any", F.regexp_count("t", F.lit(text.EMOJI))),
         *(count("punct", name, F.regexp_count("t", F.lit(p))) for name, p in (("ellipses", r"\.{3}|…"), ("multi_exclaim", "!{2,}"), ("multi_ask", r"\?{2,}"), ("mixed_marks", r"(?:!\?|\?!)+"))),
@@ -226,9 +232,7 @@ def marked_phrases(messages: DataFrame, lexicon: dict[str, list[str]], signature
     for k in (2, 3):
         runs = F.when(F.size("canon") >= k, F.transform(F.sequence(F.lit(1), F.size("canon") - (k - 1)), run(k)))
         parts.append(part(f"ngram{k}", F.transform(F.filter(runs, lambda g: F.forall(g, plain)), lambda g: F.array_join(g, "_"))))
-    every = parts[0]
-    for more in parts[1:]:
-        every = every.union(more)
+    every = said.union(rows_of(each, F.array(*classes))).union(rows_of(read, F.concat(*parts)))
     return every.groupBy("conv_id", "label", "phrase").agg(F.sum("n").alias("n"))
 
 

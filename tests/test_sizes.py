@@ -153,3 +153,12 @@ def test_all_edges_are_shuffled_once_for_steps_and_not_for_small_fronts(spark, m
     assert few == sorted(map(tuple, graph.distances(edges, "a").collect())) and sides[0] == 1
     assert "Broadcast" not in plan_of(edges.join(graph._met(paths, 1), edges.source == paths.id))
     assert {(r.id, r.degree) for r in graph.degrees(edges).collect()} == {("a", 2), ("b", 2), ("c", 2), ("d", 2)}
+
+
+def test_messages_are_taken_apart_once_for_all_labels(spark):
+    from engramite.operators import profile
+
+    frame = spark.createDataFrame([(1, 1, "lowkey good haha"), (1, 2, None)], "conv_id long, turn long, text string")
+    marked = profile.marked_phrases(frame, {"hedge": ["maybe"]}, "ness$", "z")
+    assert plan_of(marked).split("Initial Plan")[-1].count("Scan ExistingRDD") <= 4  # the lexicon, what it meets, words, all others
+    assert {(r.label, r.phrase, r.n) for r in marked.collect() if r.label in ("slang", "affective")} == {("slang", "lowkey", 1), ("affective", "haha", 1)}
