@@ -162,3 +162,12 @@ def test_messages_are_taken_apart_once_for_all_labels(spark):
     marked = profile.marked_phrases(frame, {"hedge": ["maybe"]}, "ness$", "z")
     assert plan_of(marked).split("Initial Plan")[-1].count("Scan ExistingRDD") <= 4  # the lexicon, what it meets, words, all others
     assert {(r.label, r.phrase, r.n) for r in marked.collect() if r.label in ("slang", "affective")} == {("slang", "lowkey", 1), ("affective", "haha", 1)}
+
+
+def test_texts_are_taken_a_few_at_a_time(spark, monkeypatch):
+    from engramite.operators import search
+
+    frame = spark.range(50).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('some words of ', id % 9, ' words') END AS text").coalesce(1)
+    whole = sorted(map(tuple, search.embedded(frame, "id").collect()))
+    monkeypatch.setattr(search, "EMBEDDED_ROWS", 8)  # a name that the old code does not have
+    assert whole == sorted(map(tuple, search.embedded(frame, "id").collect())) and len(whole) == 50
