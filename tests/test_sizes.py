@@ -169,5 +169,5 @@ def test_texts_are_taken_a_few_at_a_time(spark, monkeypatch):
 
     frame = spark.range(50).selectExpr("id", "CASE WHEN id % 7 = 0 THEN NULL ELSE concat('some words of ', id % 9, ' words') END AS text").coalesce(1)
     whole = sorted(map(tuple, search.embedded(frame, "id").collect()))
-    monkeypatch.setattr(search, "EMBEDDED_ROWS", 8)  # a name that the old code does not have
+    monkeypatch.setattr(search, "EMBEDDED_ROWS", 8)
     assert whole == sorted(map(tuple, search.embedded(frame, "id").collect())) and len(whole) == 50
