@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranking, scoring, talk, text
 from ..operators import graph, retrieval, search, store, vector
-from ..sources.star import SQL_EDGES, catalog, derived, order_evidence, table
+from ..sources.star import SQL_EDGES, catalog, derived, named_orders, order_evidence, table
 from . import dsl
 from .registry import _COS, query
 
@@ -107,9 +107,8 @@ _SQL_ORDERED = SQL_EDGES + ", o AS (SELECT * FROM edges WHERE relationship = 'OR
 
 
 def _ordered(spark, sf_dir):
-    met = order_evidence(spark, sf_dir).join(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_custkey").join(table(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
     node = lambda c: F.concat(F.lit("ent::"), F.upper(c))
-    return met.select(node("c_name").alias("source"), F.lit("ORDERED_FROM").alias("relationship"), node("s_name").alias("destination"), "weight", "updated_at")
+    return named_orders(spark, sf_dir).select(node("c_name").alias("source"), F.lit("ORDERED_FROM").alias("relationship"), node("s_name").alias("destination"), "weight", "updated_at")
 
 
 @query(SQL_EDGES + "SELECT id, name, label FROM nodes")

@@ -171,3 +171,20 @@ def test_texts_are_taken_a_few_at_a_time(spark, monkeypatch):
     whole = sorted(map(tuple, search.embedded(frame, "id").collect()))
     monkeypatch.setattr(search, "EMBEDDED_ROWS", 8)
     assert whole == sorted(map(tuple, search.embedded(frame, "id").collect())) and len(whole) == 50
+
+
+def test_line_items_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
+    from engramite.plans import memory_queries
+    from engramite.sources import star
+
+    sf, parts = "/root/testdata/sf0.001", lambda df: df.rdd.getNumPartitions()
+    whole = sorted(map(tuple, memory_queries.fan_out_capped(spark, sf).collect()))
+    lines = star.table(spark, sf, "lineitem").count()
+    monkeypatch.setattr(star, "LINES", 500)
+    n = -(-lines // 500)
+    assert star.tasks(star.table(spark, sf, "lineitem")) == n > 4
+    assert parts(star.order_evidence(spark, sf)) == n and parts(star.named_orders(spark, sf)) == n  # not joined again
+    plan = plan_of(memory_queries.fan_out_capped(spark, sf)).split("Initial Plan")[-1]
+    # what a file holds doesn't decide whether orders or customers go to every task; each is shuffled once, and so are the few best edges
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 5
+    assert whole == sorted(map(tuple, memory_queries.fan_out_capped(spark, sf).collect()))
