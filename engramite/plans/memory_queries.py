@@ -408,7 +408,7 @@ def dsl_similar(spark, sf_dir):
     """Edges whose far end is among the 50 entities most like a vector, at 0.2 or more."""
     v = table(spark, sf_dir, "embeddings")
     near = vector.top_k(v, v.where("vec_id = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query")), 50).where("score >= 0.2").select(F.col("vec_id").alias("s_suppkey"))
-    return order_evidence(spark, sf_dir).join(near, "s_suppkey", "left_semi").select(F.col("c_custkey").alias("source"), F.col("s_suppkey").alias("destination"))
+    return order_evidence(spark, sf_dir, near).select(F.col("c_custkey").alias("source"), F.col("s_suppkey").alias("destination"))
 
 
 @query(_SQL_ASKED + f", n AS (SELECT o_custkey, count(*) AS related, sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS payloads FROM orders GROUP BY 1) SELECT c_custkey, CASE WHEN len({_SQL_WORDS}) <= 2 AND len(list_filter({_SQL_WORDS}, lambda w: NOT list_contains({_LIST(talk.FILLERS)}, w))) = 0 THEN 'greeting_filler' WHEN length(trim(x)) < 4 THEN 'too_short' WHEN related IS NULL AND x LIKE '%Customer%' THEN 'vector_fallback' WHEN related IS NULL THEN 'no_entities' WHEN payloads = 0 THEN 'relations_only' ELSE 'ranked' END AS status FROM a LEFT JOIN n ON c_custkey = o_custkey")

@@ -188,3 +188,10 @@ def test_line_items_are_dealt_to_as_many_tasks_as_they_need(spark, monkeypatch):
     # what a file holds doesn't decide whether orders or customers go to every task; each is shuffled once, and so are the few best edges
     assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 5
     assert whole == sorted(map(tuple, memory_queries.fan_out_capped(spark, sf).collect()))
+
+
+def test_of_orders_only_those_of_like_suppliers_are_joined(spark):
+    from engramite.plans import memory_queries
+
+    plan = plan_of(memory_queries.dsl_similar(spark, "/root/testdata/sf0.001")).split("Initial Plan")[-1]
+    assert plan.count("BroadcastExchange") == 1 and plan.count("SortMergeJoin") == 1  # the suppliers, at most 50; not all orders
