@@ -195,3 +195,36 @@ def test_of_orders_only_those_of_like_suppliers_are_joined(spark):
 
     plan = plan_of(memory_queries.dsl_similar(spark, "/root/testdata/sf0.001")).split("Initial Plan")[-1]
     assert plan.count("BroadcastExchange") == 1 and plan.count("SortMergeJoin") == 1  # the suppliers, at most 50; not all orders
+
+
+def test_words_of_a_part_of_all_forms_share_one_state(monkeypatch):
+    import pandas as pd
+    import pyarrow as pa
+
+    from engramite.streaming import states
+
+    class State:
+        kept, calls = None, 0
+
+        def exists(self):
+            return self.kept is not None
+
+        def get(self):
+            self.calls += 1
+            return self.kept
+
+        def update(self, value):
+            self.calls += 1
+            self.kept = value
+
+    state, memory = State(), states._Patterns()
+    memory.init(type("Handle", (), {"getValueState": lambda self, *a: state})())
+    frame = lambda *rows: iter([pd.DataFrame([(0, *r) for r in rows], columns=["part", "form", "word", "n"])])
+    list(memory.handleInputRows((0,), frame(("so", "sooo", 2), ("hm", "hm", 1), ("so", "soo", 1), ("so", "sooo", 1)), None))
+    (out,) = memory.handleInputRows((0,), frame(("so", "sso", 4), ("so", "sooo", 1)), None)
+    assert state.calls == 3  # whatever the number of words
+    assert out.values.tolist() == [["so", "soo", 3, 9]]  # of equal length the first
+    assert list(memory.handleInputRows((0,), frame(), None)) == [] and state.kept[2] == [4, 1, 4, 1]
+    monkeypatch.setattr(states, "COUNTED", 2)
+    said = [pa.RecordBatch.from_arrays([pa.array(w)], ["word"]) for w in (["a", "a"], ["b", "a"], ["a"], [])]
+    assert [b.to_pydict() for b in states._counted(iter(said))] == [{"word": ["a", "b"], "n": [3, 1]}, {"word": ["a"], "n": [1]}]
