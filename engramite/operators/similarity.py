@@ -59,8 +59,26 @@ def letters(c: Column) -> Column:
     return F.transform(chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x)).cast("string")))
 
 
-#: The least ratio for which names are met by segments, and the longest name that is.
-SEGMENTS_FROM, LONGEST = 0.8, 60
+#: The least ratio for which names are met by segments, and the longest name that is; names whose segments a task cuts.
+SEGMENTS_FROM, LONGEST, NAMES = 0.8, 60, 4000
+
+
+def _segments(least: float, longest: int) -> tuple[list[tuple], list[tuple]]:
+    """(n, key, from, size, left, right, same) of the shorter and of the longer names of length ``n``: where a segment is cut,
+    under what key it meets, and how many edits are before and behind it at most."""
+    own, tried = [], []
+    for long in range(1, longest + 1):
+        for short in range(math.ceil(long * least / (2 - least) - 1e-9), long + 1):
+            apart = math.floor((1 - least) * (short + long) + 1e-9)
+            apart -= (apart - (long - short)) % 2  # characters put in and left out are as odd or even as the lengths differ
+            for i in range(apart + 1) if apart > 0 else ():
+                at, end = i * short // (apart + 1), (i + 1) * short // (apart + 1)
+                of = (end - at, i, apart - i, short == long)
+                key = (long * (LONGEST + 1) + short) * (LONGEST + 1) + i
+                own.append((short, key, at, *of))
+                moves = (m for m in range(-i, i + 1, 2) if abs(long - short - m) <= apart - i)
+                tried += [(long, key, at + m, *of) for m in moves if 0 <= at + m and end + m <= long]
+    return own, tried
 
 
 def segment_pairs(names: DataFrame, least: float) -> DataFrame:
@@ -68,34 +86,43 @@ def segment_pairs(names: DataFrame, least: float) -> DataFrame:
     or more, and some others within that many edits.
 
     Names of lengths s <= l then differ by at most ``(1 - least) * (s + l)`` characters put in or left out. The shorter one is
-    cut into one segment more than that, so one segment is whole in the longer one, moved by no more than what can be put in
-    or left out before it. Names meet by segments, those of a frequent one block by block, and by their edit distance there."""
-    most = lambda s: F.floor(s * (2 - least) / least + 1e-9)  # noqa: E731, the length of the longest name to one of s
-    apart = lambda s, n: F.floor((1 - least) * (s + n) + 1e-9)
-    cut = lambda i, s: F.floor(i * s / (apart(s, most(s)) + 1))  # noqa: E731, where the i-th segment of a name of length s begins
-    sized = names.select("name", "low", F.char_length("low").cast("long").alias("n")).where(F.col("n") <= LONGEST)
-    segments = lambda s: F.explode(F.sequence(F.lit(0).cast("long"), apart(s, most(s)))).alias("i")
-    part = F.substring("low", (F.col("from") + 1).cast("int"), F.col("size").cast("int")).alias("part")
-    n, s, i = F.col("n"), F.col("s"), F.col("i")
-    own = sized.select("*", n.alias("s")).select("*", segments(s)).select("*", cut(i, s).alias("from"), (cut(i + 1, s) - cut(i, s)).alias("size")).select("name", "low", "n", "s", "i", part)
-    shorter = F.explode(F.sequence(F.ceil(n * least / (2 - least) - 1e-9), n)).alias("s")
-    tried = sized.select("*", shorter).select("*", segments(s)).select("*", F.explode(F.sequence(-F.floor((apart(s, n) - (n - s)) / 2), F.floor((apart(s, n) + (n - s)) / 2))).alias("moved"))
-    tried = tried.select("*", (cut(i, s) + F.col("moved")).alias("from"), (cut(i + 1, s) - cut(i, s)).alias("size")).where((F.col("from") >= 0) & (F.col("from") + F.col("size") <= n)).select("name", "low", "n", "s", "i", part).distinct()
-    spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = ["s", "i", "part"]
-    count = lambda frame, name: frame.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
-    own, tried = graph.settled(own), graph.settled(tried)
-    blocks = count(own, "k1").join(count(tried, "k2"), keys)
+    cut into one segment more than that. Counted from the left, the first time that there are fewer edits than segments, the
+    segment passed last is whole in the longer name and the i-th of them has just i edits before it, so that it is moved by i at
+    most, and the rest behind it. Names meet by such segments, those of a frequent one block by block, and are let go in
+    the join where the letters before or behind it differ by more; what is left is compared by the edit distance."""
+    fit = names.where(F.char_length("low") <= LONGEST)
+    # a number of partitions of its own, as few bytes here are much work
+    spread = max(2 * names.sparkSession.sparkContext.defaultParallelism, math.ceil(names.count() / NAMES))
+    lows = graph.settled(fit.select("low").distinct().repartition(spread, "low").select("low", F.char_length("low").alias("n")))
+    parity = F.expr("transform(sequence(0, n), k -> aggregate(sequence(1, greatest(k, 1)), 0L, (m, i) -> IF(i <= k, m ^ shiftleft(1L, pmod(ascii(substring(low, i, 1)), 32)), m)))")
+    sized = lows.select("low", "n", parity.alias("odd"))  # which letters the first 0, 1, ... characters hold an odd number of times
+    columns = "n int, key int, from int, size int, left int, right int, same boolean"
+    plans = [names.sparkSession.createDataFrame(plan, columns) for plan in _segments(least, lows.agg(F.max("n")).first()[0] or 0)]
+
+    def keyed(plan):
+        met = sized.join(F.broadcast(plan), "n")
+        part = F.substring("low", F.col("from") + 1, F.col("size"))
+        behind = F.get("odd", F.col("n")).bitwiseXOR(F.get("odd", F.col("from") + F.col("size")))
+        return met.select(F.xxhash64("key", part).alias("h"), "low", F.shiftleft(F.get("odd", F.col("from")), 32).bitwiseOR(behind).alias("odd"), "left", "right", "same")
+
+    own, tried = keyed(plans[0]), keyed(plans[1]).select("h", "low", "odd")
+    many = lambda frame, name: frame.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name)).where(F.col(name) > 1)
+    blocks = graph.settled(many(own, "k1").join(many(tried, "k2"), "h", "full").select("h", *(F.coalesce(c, F.lit(1)).alias(c) for c in ("k1", "k2"))))
+    keys = ["h"] if blocks.isEmpty() else ["h", "x", "y"]
 
     def side(frame, c, mine, other, block, blocked):
-        dealt = frame.join(blocks, keys).withColumn(block, F.pmod(F.xxhash64("name"), F.col(mine)).cast("int"))
-        every = dealt.select(*keys, block, F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(blocked), F.col("name").alias(c), F.col("low").alias(f"l{c}"), F.col("n").alias(f"n{c}"))
-        return every.repartition(spread, *keys, "x", "y")  # a number of its own, as few bytes here are much work
+        if len(keys) > 1:
+            dealt = frame.join(blocks, "h", "left").withColumn(block, F.coalesce(F.pmod(F.xxhash64("low"), F.col(mine)).cast("int"), F.lit(0)))
+            frame = dealt.withColumn(blocked, F.explode(F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1))).drop("k1", "k2")
+        return frame.withColumnRenamed("low", f"l{c}").withColumnRenamed("odd", f"odd{c}").repartition(spread, *keys)
 
-    met = side(own, "a", "k1", "k2", "x", "y").join(side(tried, "b", "k2", "k1", "y", "x"), [*keys, "x", "y"])
-    far = apart(F.col("na"), F.col("nb"))
-    near = met.where("a <> b and (na < nb or a < b)").where(F.levenshtein("la", "lb") <= far)
-    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = side(own, "a", "k1", "k2", "x", "y").join(side(tried, "b", "k2", "k1", "y", "x").hint("merge"), keys)
+    far = F.floor((1 - least) * (F.char_length("la") + F.char_length("lb")) + 1e-9)
+    odd = F.expr("bit_count(shiftrightunsigned(odda ^ oddb, 32)) <= left AND bit_count((odda ^ oddb) & 4294967295L) <= right AND (NOT same OR la < lb)")
+    alike = graph.settled(met.where(odd & (F.levenshtein("la", "lb") <= far)).select("la", "lb").distinct())
+    named = lambda c: fit.select(F.col("name").alias(c), F.col("low").alias(f"l{c}"))
+    pairs = alike.union(lows.select("low", "low")).join(named("a"), "la").join(named("b"), "lb").where("la <> lb or a < b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar(names: DataFrame, least: float, sep: str = r"\s+", contained: bool = True) -> DataFrame:
@@ -111,7 +138,8 @@ def similar(names: DataFrame, least: float, sep: str = r"\s+", contained: bool =
         lettered = lettered if not one.where(F.char_length("low") > LONGEST).isEmpty() else None
     if lettered is not None:
         by.append(set_pairs(lettered.select(F.col("name").alias("id"), letters(F.col("name")).alias("tokens")), least, "dice"))
-    found = graph.settled(reduce(DataFrame.union, (x.select("a", "b") for x in by)).distinct())
+    found = reduce(DataFrame.union, (x.select("a", "b") for x in by)).distinct()
+    found = graph.settled(found.repartition(2 * names.sparkSession.sparkContext.defaultParallelism))  # a pair is few bytes and much work
     both = found.union(found.select("b", "a")).toDF("a", "b")
     la, lb = F.lower("a"), F.lower("b")
     lengths = F.least(F.char_length(la), F.char_length(lb)) / F.greatest(F.char_length(la), F.char_length(lb))

@@ -156,6 +156,17 @@ def test_names_meet_by_segments_and_long_ones_by_letters(spark, monkeypatch, lea
     assert {p for p in want if ratio(*p) >= least} | {p for p in want if p[0].lower() == p[1].lower()} <= found
 
 
+def test_names_that_differ_by_more_letters_are_let_go_in_the_join_and_all_tasks_cut_them(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(similarity.graph, "settled", lambda frame, f=similarity.graph.settled: held.append(f(frame)) or held[-1])
+    monkeypatch.setattr(similarity, "NAMES", 1)
+    name = "abcdefghijklmnopqr"
+    names = [name, name[:6] + "z" + name[7:], name[:6] + "z" + name[7:13] + "y" + name[14:]]
+    got = {(r.a, r.b) for r in similarity.segment_pairs(spark.createDataFrame([(n, n) for n in names], "name string, low string"), 0.9).collect()}
+    assert got == {(names[0], names[1]), tuple(sorted(names[1:]))}  # two letters changed are four edits, where two are allowed
+    assert held[0].rdd.getNumPartitions() >= 8
+
+
 def test_best_targets_follow_to_the_first(spark):
     pairs = [("c", "b", 0.9), ("c", "a", 0.9), ("b", "a", 0.8), ("d", "c", 0.95), ("d", "a", 0.7), ("e", "f", 1.0)]
     frame = spark.createDataFrame(pairs + [(b, a, s) for a, b, s in pairs], "a string, b string, score double")
