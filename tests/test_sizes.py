@@ -75,6 +75,48 @@ def test_search_lets_go_of_pairs_that_cannot_be_among_the_best(spark, monkeypatc
     assert pairs[0] * 3 < pairs[1] * 2
 
 
+def _hub(spark):
+    from pyspark.sql import functions as F
+
+    from engramite.operators import search
+
+    texts = spark.range(300).selectExpr("id AS memory_id", "concat('said ', id % 7, ' of Hub and Other', id % 11, ' w', id % 50) AS text")
+    index = texts.selectExpr("memory_id", "explode(array_distinct(transform(regexp_extract_all(text, '[A-Z][a-z0-9]+', 0), x -> upper(x)))) AS entity")
+    said = index.where("entity <> 'HUB'").selectExpr("memory_id", "'HUB' AS source", "'SAID' AS relationship", "entity AS destination")
+    edges = said.groupBy("source", "relationship", "destination").agg(F.count("*").cast("double").alias("weight"), F.lit(None).cast("timestamp").alias("updated_at"))
+    asked = spark.createDataFrame([(1, "what of Hub and w3"), (2, "Other3 w3 said 5"), (3, "Hub said"), (4, None)], "qid long, text string")
+    return search.Memory(texts, index, said, edges), asked, F.lit("2024-01-01").cast("timestamp")
+
+
+def test_no_more_pairs_of_a_hub_leave_a_task_than_can_be_found(spark, monkeypatch):
+    from engramite.operators import search, vector
+
+    memory, asked, at = _hub(spark)
+    led, real = [], search.promising
+    monkeypatch.setattr(search, "FIRST_LOOK", 64)
+    monkeypatch.setattr(search, "promising", lambda *a: led.append(real(*a)) or led[-1])
+    exclude = spark.createDataFrame([(1, 3), (1, 14), (2, 3)], "qid long, memory_id long")
+    find = lambda: sorted(search.hybrid_search(asked, memory, at, 4, first=6, hops=2, exclude=exclude).collect())
+    want = find()
+    assert max(r["count"] for r in led[0].groupBy("qid").count().collect()) == 6  # four, and two that are not to be found
+    assert "Generate" not in plan_of(led[0]).split("MapInArrow")[0]
+    monkeypatch.setattr(vector, "MAX_QUERIES", 2)  # the same in blocks of questions
+    assert find() == want and len(want) == 12
+    monkeypatch.setattr(search, "promising", lambda nodes, hits, names, memory, *rest: search.linked(nodes, memory.index))
+    assert find() == want
+
+
+def test_neighbours_are_weighed_once_for_all_questions(spark, monkeypatch):
+    from engramite.operators import graph, search
+
+    memory, _, at = _hub(spark)
+    rows, real = [], graph.settled
+    monkeypatch.setattr(graph, "settled", lambda frame: rows.append(real(frame)) or rows[-1])
+    starts = spark.createDataFrame([(i, "HUB") for i in range(20)] + [(99, "OTHER3")], "qid long, id string")
+    got = search.best_neighbours(memory.edges, starts, at, 5).collect()
+    assert len(got) == 20 * 5 + 1 and rows[0].count() == 12
+
+
 def test_words_of_a_conversation_share_one_state():
     import pandas as pd
 
