@@ -117,6 +117,18 @@ def test_neighbours_are_weighed_once_for_all_questions(spark, monkeypatch):
     assert len(got) == 20 * 5 + 1 and rows[0].count() == 12
 
 
+def test_texts_are_read_once_for_all_questions_and_not_once_a_pair(spark, monkeypatch):
+    from engramite.operators import search, vector
+
+    memory, asked, _ = _hub(spark)
+    pairs = asked.select("qid").crossJoin(memory.texts.select("memory_id").where("memory_id < 40"))
+    found = search.rescored(pairs, memory.texts, asked)
+    assert "Generate" not in plan_of(found) and "embedding" not in plan_of(found)
+    want = sorted(found.collect())
+    monkeypatch.setattr(vector, "MAX_QUERIES", 2)
+    assert len(want) == 160 and sorted(search.rescored(pairs, memory.texts, asked).collect()) == want
+
+
 def test_words_of_a_conversation_share_one_state():
     import pandas as pd
 
