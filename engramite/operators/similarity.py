@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +30,8 @@ def set_pairs(items: DataFrame, least: float, measure: str = "jaccard") -> DataF
 
     Prefix filter: with the tokens of each set in order of rarity, similar sets share one among their first few, so only
     those are joined, only sets of fitting sizes, and only where what follows the shared token could make up the overlap.
-    The join holds both sets as numbers and lets go there what is not similar: no candidate is written or joined again.
+    Sets of a token meet in one task, as numbers and many at once, and what is not similar is let go there: no candidate is written
+    or joined again, and a pair is found at the first token that both share only.
     Sets without tokens, null ids and repeats of an id are left out or count once."""
     if not 0 < least <= 1:
         raise ValueError("a threshold above 0, at most 1")
@@ -36,20 +39,102 @@ def set_pairs(items: DataFrame, least: float, measure: str = "jaccard") -> DataF
     rare = graph.settled(sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).withColumn("t", F.monotonically_increasing_id()))
     met = sets.select("id", F.explode("tokens").alias("token")).join(rare, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("o"))  # a set's tokens
     ranked = met.select("id", F.transform("o", lambda x: x["t"]).alias("s"), F.size("o").alias("size"))
+    # a bit for each token, on where an odd number of them falls: two sets that differ by n tokens differ by n bits at most
+    ranked = ranked.withColumn("bits", F.expr("aggregate(s, 0L, (m, t) -> m ^ shiftleft(1L, CAST(pmod(xxhash64(t), 64) AS INT)))"))
     prefix = F.slice("s", F.lit(1), (F.col("size") - _least_overlap(F.col("size"), measure, least) + 1).cast("int"))
-    first = graph.settled(ranked.select("id", "s", "size", F.posexplode(prefix).alias("place", "t")))
-    many = first.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = first.join(many, "t").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    side = lambda c, own, other: dealt.select("t", F.col("own").alias(own), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias(other), F.col("id").alias(c), F.col("s").alias(f"s{c}"), F.col("size").alias(f"n{c}"), F.col("place").alias(f"p{c}"))
-    a, b = side("a", "i", "j"), side("b", "j", "i")
-    na, nb = F.col("na"), F.col("nb")
-    fits = _least_overlap(F.greatest("na", "nb"), measure, least) <= F.least("na", "nb")
-    needed = {"jaccard": least / (1 + least) * (na + nb), "cosine": least * F.sqrt(na.cast("double") * nb), "dice": least / 2 * (na + nb)}[measure]
-    reach = F.least(na - F.col("pa"), nb - F.col("pb")) >= needed - 1e-6  # places from 0; the first token that both share has the others behind it
-    near = a.join(b, ["t", "i", "j"]).where((F.col("a") < F.col("b")) & fits & reach)
-    shared = F.size(F.array_intersect("sa", "sb"))
+    first = graph.settled(ranked.select("id", "s", "size", "bits", F.posexplode(prefix).alias("place", "t")))
+    many = first.groupBy("t").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    dealt = first.join(many.drop("n"), "t").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # blocks i <= j of a token meet; a row is in those of its own block and any other
+    other = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).select("t", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "own", "id", "s", "size", "place", "bits")
+    spread = max(2 * items.sparkSession.sparkContext.defaultParallelism, math.ceil(first.count() / MET))
+    kind = first.schema["id"].dataType.simpleString()
+    met = other.repartition(spread, "t", "i", "j").sortWithinPartitions("t", "i", "j").mapInArrow(_meeting(least, measure), f"a {kind}, b {kind}, na int, nb int, shared int")
+    na, nb, shared = F.col("na"), F.col("nb"), F.col("shared")
     score = {"jaccard": shared / (na + nb - shared), "cosine": shared / F.sqrt(na.cast("double") * nb), "dice": 2 * shared / (na + nb)}[measure]
-    return near.select("a", "b", score.cast("double").alias("score")).where(F.col("score") >= least - 1e-12).distinct()
+    ahead = F.col("a") < F.col("b")
+    near = met.select(F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b"), score.cast("double").alias("score"))
+    return near.where(F.col("score") >= least - 1e-12)
+
+
+#: Rows of sets' beginnings a task; pairs that leave it at once; pairs of tokens that are compared at once.
+MET, FOUND, CELLS = 100_000, 20_000, 4_000_000
+
+
+def _meeting(least: float, measure: str):
+    """What a task does with rows ``(t, i, j, own, id, s, size, place, bits)`` in order of t, i and j: the pairs that share t as their
+    first token, with their sizes and how many tokens they share, where these may be enough."""
+
+    def needed(na, nb):
+        return {"jaccard": lambda: least / (1 + least) * (na + nb), "cosine": lambda: least * np.sqrt(na * nb), "dice": lambda: least / 2 * (na + nb)}[measure]()
+
+    def pairs_of(own, i, j, size, place, bits):
+        """Positions of a group's rows that may be alike, each pair once."""
+        left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+        for at in range(0, len(left), 512):
+            a = left[at : at + 512]
+            na, nb = size[a][:, None], size[right][None, :]
+            least_ = needed(na, nb) - 1e-6
+            may = (np.minimum(na - place[a][:, None], nb - place[right][None, :]) >= least_) & (np.bitwise_count(bits[a][:, None] ^ bits[right][None, :]) <= na + nb - 2 * least_)
+            if i == j:
+                may &= a[:, None] < right[None, :]
+            x, y = np.nonzero(may)
+            yield a[x], right[y]
+
+    def compared(x, y, lists, size, place):
+        """How many tokens the sets of rows x and y share, -1 where another shared token comes before."""
+        out = np.empty(len(x), np.int32)
+        longest = int(max(size[x].max(), size[y].max()))
+        step = max(1, CELLS // longest**2)
+        for at in range(0, len(x), step):
+            a, b = x[at : at + step], y[at : at + step]
+            if step == 1:  # long sets
+                u, v = (lists[1][lists[0][r[0]] : lists[0][r[0]] + size[r[0]]] for r in (a, b))
+                met = np.isin(u, v, assume_unique=True)[None, :]
+            else:
+                u, v = (np.where(np.arange(longest) < size[r][:, None], lists[1][np.minimum(lists[0][r][:, None] + np.arange(longest), len(lists[1]) - 1)], none) for r, none in ((a, -1), (b, -2)))
+                met = (u[:, :, None] == v[:, None, :]).any(axis=2)
+            out[at : at + step] = np.where(met.argmax(axis=1) == place[a], met.sum(axis=1), -1)
+        return out
+
+    def run(batches):
+        rest = None
+        for b in _and_end(batches):
+            held = [x for x in (rest, b) if x is not None]
+            if not held:
+                return
+            table = pa.Table.from_batches(held).combine_chunks()
+            rows = table.to_batches()[0] if table.num_rows else None
+            if rows is None:
+                continue
+            key = np.stack([rows.column(c).to_numpy() for c in ("t", "i", "j")])
+            begin = np.append(0, np.nonzero((key[:, 1:] != key[:, :-1]).any(axis=0))[0] + 1)
+            last = len(key[0]) if b is None else begin[-1]  # the last group may go on
+            rest = rows.slice(last) if b is not None else None
+            own, size, place, bits = (rows.column(c).to_numpy().astype(np.int64) for c in ("own", "size", "place", "bits"))
+            bits = bits.view(np.uint64)  # of a negative number the bits of its absolute value would count
+            s = rows.column("s")
+            lists = (s.offsets.to_numpy()[:-1].astype(np.int64), s.values.to_numpy())
+            found = []
+            for g, end in zip(begin, np.append(begin[1:], len(key[0])), strict=True):
+                if g < last and end - g > 1:
+                    found += [(x + g, y + g) for x, y in pairs_of(own[g:end], key[1, g], key[2, g], size[g:end], place[g:end], bits[g:end]) if len(x)]
+            if not found:
+                continue
+            x, y = (np.concatenate(z) for z in zip(*found, strict=True))
+            shared = compared(x, y, lists, size, place)
+            keep = shared > 0
+            x, y, shared = x[keep], y[keep], shared[keep]
+            for at in range(0, len(x), FOUND):
+                a, c = x[at : at + FOUND], y[at : at + FOUND]
+                yield pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(a)), rows.column("id").take(pa.array(c)), *(pa.array(z.astype(np.int32)) for z in (size[a], size[c], shared[at : at + FOUND]))], names=["a", "b", "na", "nb", "shared"])
+
+    return run
+
+
+def _and_end(batches):
+    yield from (b for b in batches if b.num_rows)
+    yield None
 
 
 def letters(c: Column) -> Column:

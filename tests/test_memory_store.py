@@ -102,6 +102,22 @@ def test_set_pairs_of_a_common_token_meet_block_by_block(spark, monkeypatch):
     assert sorted(got) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
 
 
+@pytest.mark.parametrize("cells", [1, 4_000_000])
+def test_sets_meet_as_arrays_and_a_pair_is_found_once(spark, monkeypatch, cells):
+    monkeypatch.setattr(similarity, "CELLS", cells)
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    rng = random.Random(4)
+    sets = {i: rng.sample(range(14), rng.randint(6, 12)) for i in range(60)}
+    frame = spark.createDataFrame([((i % 2 == 0, f"n{i:02}"), [f"t{x}" for x in s]) for i, s in sets.items()], "id struct<even boolean, name string>, tokens array<string>")
+    found = similarity.set_pairs(frame, 0.8, "cosine")
+    plan = found._jdf.queryExecution().toString()
+    assert "array_intersect" not in plan and "MapInArrow" in plan
+    value = lambda a, b: len({*sets[a]} & {*sets[b]}) / (len(sets[a]) * len(sets[b])) ** 0.5
+    key = lambda i: (i % 2 == 0, f"n{i:02}")
+    want = sorted((*sorted((key(a), key(b))), round(value(a, b), 9)) for a, b in itertools.combinations(sets, 2) if value(a, b) >= 0.8 - 1e-12)
+    assert sorted((tuple(r.a), tuple(r.b), round(r.score, 9)) for r in found.collect()) == want and len(want) > 100
+
+
 @pytest.mark.parametrize("sep", [r"\s+", "_"])
 def test_similar_names_against_all_pairs(spark, sep):
     join = " " if sep != "_" else "_"
